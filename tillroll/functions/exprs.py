@@ -89,3 +89,17 @@ def currency(c: str | Column, decimals: int = 2) -> Column:
 def thousands(c: str | Column, decimals: int = 0) -> Column:
     """``1,234`` text (fixed decimals, thousands separators)."""
     return F.format_number(_col(c).cast("double"), decimals)
+
+
+def sized_broadcast(df, max_rows: int = 2_000_000):
+    """Broadcast ``df`` only after checking its row count against ``max_rows``.
+
+    For dimension tables (products, stores) whose size is unknown up front.
+    The count is one cheap action (Parquet answers it from footers when no
+    filter applies). Above the bound the frame is returned unchanged and the
+    planner falls back to a shuffle join (AQE may still switch to broadcast
+    from the *measured* shuffle size).
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -18,7 +18,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.exprs import ratio, zero_sum
+from tillroll.functions.exprs import ratio, sized_broadcast, zero_sum
 
 # The payment types compared, and the default selection.
 PAYMENT_TYPES = ("CASH", "CREDIT", "DEBIT")
@@ -28,13 +28,14 @@ AMOUNT_BASES = ("basket_per_line", "basket", "line")
 
 
 def payment_lines(sets: DataFrame, items: DataFrame, gtin: DataFrame,
-                  types: Iterable[str] = PAYMENT_TYPES) -> DataFrame:
+                  types: Iterable[str] = PAYMENT_TYPES, max_product_rows: int = 2_000_000) -> DataFrame:
     """J2 + J3: one row per basket line of a chosen payment type, with the
     product's category/description (left join: unknown products kept).
 
     Both amounts are kept under distinct names: ``set_amount`` (the basket
     total, repeated on each of its lines) and ``line_amount``. The type
-    filter is applied to the basket table before the join.
+    filter is applied to the basket table before the join. The product
+    master is broadcast when its row count is within ``max_product_rows``.
     """
     baskets = sets.where(F.col("PAYMENT_TYPE").isNotNull() & F.col("PAYMENT_TYPE").isin(list(types))).select(
         "TRANSACTION_SET_ID", "PAYMENT_TYPE", F.col("GRAND_TOTAL_AMOUNT").alias("set_amount"),
@@ -42,14 +43,21 @@ def payment_lines(sets: DataFrame, items: DataFrame, gtin: DataFrame,
     lines = items.select(
         "TRANSACTION_SET_ID", "GTIN", "UNIT_QUANTITY", F.col("GRAND_TOTAL_AMOUNT").alias("line_amount"),
     )
-    products = gtin.select("GTIN", "CATEGORY", "SKUPOS_DESCRIPTION")
+    products = sized_broadcast(gtin.select("GTIN", "CATEGORY", "SKUPOS_DESCRIPTION"), max_product_rows)
     # Product join first, basket join last: the basket-keyed partitioning it
     # leaves behind is what the per-basket aggregates below reuse.
     return lines.join(products, "GTIN", "left").join(baskets, "TRANSACTION_SET_ID", "inner")
 
 
-def _per_basket(lines: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
-    return lines.groupBy("TRANSACTION_SET_ID", "PAYMENT_TYPE", *extra_keys).agg(
+def basket_products(lines: DataFrame) -> DataFrame:
+    """One row per basket x payment type x product (description, category)
+    with every measure the payment page needs.
+
+    Keyed by the basket id (the join key), so it runs inside the join's
+    partitions. Both A4 and A5 roll up from it, so a page that shows both
+    can persist this frame (much smaller than the lines) and scan it twice.
+    """
+    return lines.groupBy("TRANSACTION_SET_ID", "PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY").agg(
         F.sum("set_amount").alias("set_amount_lines"),   # basket total x its lines
         F.count("set_amount").alias("n_set_amount"),
         F.max("set_amount").alias("basket_amount"),      # basket total once
@@ -59,9 +67,13 @@ def _per_basket(lines: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _bp(df: DataFrame) -> DataFrame:
+    return df if "set_amount_lines" in df.columns else basket_products(df)
+
+
 def payment_summary(lines: DataFrame, amount_basis: str = "basket_per_line") -> DataFrame:
     """A4: per payment type - distinct baskets, spend, mean ticket, items and
-    items per basket.
+    items per basket. ``lines`` is ``payment_lines`` or ``basket_products``.
 
     ``amount_basis``:
       * ``"basket_per_line"`` (published): the basket total is summed once per
@@ -71,14 +83,18 @@ def payment_summary(lines: DataFrame, amount_basis: str = "basket_per_line") ->
     """
     if amount_basis not in AMOUNT_BASES:
         raise ValueError(f"amount_basis must be one of {AMOUNT_BASES}")
-    b = _per_basket(lines)
+    per_basket = _bp(lines).groupBy("TRANSACTION_SET_ID", "PAYMENT_TYPE").agg(
+        F.sum("set_amount_lines").alias("set_amount_lines"), F.sum("n_set_amount").alias("n_set_amount"),
+        F.max("basket_amount").alias("basket_amount"), F.sum("line_amount").alias("line_amount"),
+        F.sum("n_line_amount").alias("n_line_amount"), F.sum("units").alias("units"),
+    )
     spend, n = {
         "basket_per_line": (F.sum("set_amount_lines"), F.sum("n_set_amount")),
         "basket": (F.sum("basket_amount"), F.count("basket_amount")),
         "line": (F.sum("line_amount"), F.sum("n_line_amount")),
     }[amount_basis]
     return (
-        b.groupBy("PAYMENT_TYPE")
+        per_basket.groupBy("PAYMENT_TYPE")
         .agg(
             F.count(F.lit(1)).alias("num_transactions"),
             F.coalesce(spend, F.lit(0)).alias("total_spend"),
@@ -92,13 +108,12 @@ def payment_summary(lines: DataFrame, amount_basis: str = "basket_per_line") ->
 def product_by_payment(lines: DataFrame) -> DataFrame:
     """A5: per type x product x category (non-null category) - distinct
     baskets (``purchase_count``) and revenue on the published basis (basket
-    total once per line)."""
-    per = lines.where(F.col("CATEGORY").isNotNull()).groupBy(
-        "TRANSACTION_SET_ID", "PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY"
-    ).agg(F.sum("set_amount").alias("amount"))
-    return per.groupBy("PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY").agg(
+    total once per line). Rows of ``basket_products`` are one per basket
+    within a group, so ``count(*)`` is the distinct basket count."""
+    bp = _bp(lines).where(F.col("CATEGORY").isNotNull())
+    return bp.groupBy("PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY").agg(
         F.count(F.lit(1)).alias("purchase_count"),
-        zero_sum("amount").alias("revenue"),
+        zero_sum("set_amount_lines").alias("revenue"),
     )
 
 
@@ -129,9 +144,10 @@ def mean_of_group_means(summary: DataFrame, col: str = "avg_ticket") -> DataFram
     return summary.agg(F.avg(col).alias("overall_avg"))
 
 
-def weighted_mean(lines: DataFrame, amount: str = "set_amount") -> DataFrame:
+def weighted_mean(lines: DataFrame) -> DataFrame:
     """The overall mean ticket over all lines (weighted alternative to A10)."""
-    return lines.agg(ratio(F.sum(amount), F.count(amount)).alias("overall_avg"))
+    bp = _bp(lines)
+    return bp.agg(ratio(F.sum("set_amount_lines"), F.sum("n_set_amount")).alias("overall_avg"))
 
 
 def payment_kpis(summary: DataFrame, selection: Iterable[str] = DEFAULT_SELECTION) -> DataFrame:

@@ -3,9 +3,9 @@
 The dashboard receives ``daily`` already aggregated; this builds it from the
 basket and line tables. Plan shape (checked with ``explain``):
 
-1. lines LEFT JOIN products on GTIN - the product master is a dimension, the
-   planner broadcasts it when its measured size is under the threshold and
-   sort-merges otherwise;
+1. lines LEFT JOIN products on GTIN - the product master is a dimension;
+   it is broadcast after a row-count check (``max_product_rows``) and
+   sort-merged otherwise (AQE splits a hot product's partition);
 2. INNER JOIN baskets on TRANSACTION_SET_ID - one shuffle of both sides;
 3. aggregate per (basket, day, store, product attributes) - keyed by the
    join key, so it reuses the join's hash partitioning (no shuffle) and makes
@@ -22,16 +22,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.exprs import sized_broadcast
+
 PRODUCT_ATTRS = ("CATEGORY", "SUBCATEGORY", "BRAND", "SKUPOS_DESCRIPTION")
 DAILY_KEYS = ("CALENDAR_YEAR", "CALENDAR_MONTH", "CALENDAR_WEEK", "CALENDAR_DATE", "STORE_ID") + PRODUCT_ATTRS
 
 
-def daily_rollup(items: DataFrame, sets: DataFrame, gtin: DataFrame) -> DataFrame:
+def daily_rollup(items: DataFrame, sets: DataFrame, gtin: DataFrame, max_product_rows: int = 2_000_000) -> DataFrame:
     lines = items.select(
         "TRANSACTION_SET_ID", "GTIN",
         F.col("UNIT_QUANTITY").alias("_qty"), F.col("GRAND_TOTAL_AMOUNT").alias("_amount"),
     )
-    products = gtin.select("GTIN", *PRODUCT_ATTRS)
+    products = sized_broadcast(gtin.select("GTIN", *PRODUCT_ATTRS), max_product_rows)
     baskets = sets.select(
         "TRANSACTION_SET_ID", "STORE_ID",
         F.year("DATE_TIME").alias("CALENDAR_YEAR"),

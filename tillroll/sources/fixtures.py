@@ -82,16 +82,30 @@ def stores_view(customer: DataFrame, nation: DataFrame) -> DataFrame:
     )
 
 
-def retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """gtin, sets, items, stores and the derived daily aggregate (all lazy)."""
+class RetailTables(dict):
+    """Table name -> DataFrame; ``daily`` is derived on first access only."""
+
+    def __missing__(self, key):
+        if key != "daily":
+            raise KeyError(key)
+        self["daily"] = daily_rollup(self["items"], self["sets"], self["gtin"])
+        return self["daily"]
+
+
+def retail_tables(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> RetailTables:
+    """gtin, sets, items, stores and the daily aggregate (all lazy).
+
+    Pass ``daily`` to use a materialised daily table instead of deriving it.
+    """
     t = {n: read_driver(spark, sf_dir, n) for n in ("part", "orders", "lineitem", "customer", "nation")}
-    out = {
-        "gtin": gtin_view(t["part"]),
-        "sets": sets_view(t["orders"]),
-        "items": items_view(t["lineitem"]),
-        "stores": stores_view(t["customer"], t["nation"]),
-    }
-    out["daily"] = daily_rollup(out["items"], out["sets"], out["gtin"])
+    out = RetailTables(
+        gtin=gtin_view(t["part"]),
+        sets=sets_view(t["orders"]),
+        items=items_view(t["lineitem"]),
+        stores=stores_view(t["customer"], t["nation"]),
+    )
+    if daily is not None:
+        out["daily"] = daily
     return out
 
 

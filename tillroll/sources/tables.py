@@ -83,8 +83,13 @@ def materialize(df: DataFrame, path: str, partition_by: Iterable[str] | None = N
     folders. Dynamic partition overwrite replaces only the partitions present
     in ``df`` so an incremental refresh of one month keeps the rest.
     """
-    w = df.write.mode(mode)
     parts = list(partition_by or [])
+    if parts:
+        # REBALANCE: AQE hash-distributes by the partition columns, then
+        # splits oversized (hot) partitions and merges tiny ones toward the
+        # advisory size - few files per folder, no single-task month.
+        df = df.hint("rebalance", *parts)
+    w = df.write.mode(mode)
     if parts:
         w = w.partitionBy(*parts).option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
