@@ -18,7 +18,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.exprs import ratio, sized_broadcast, zero_sum
+from tillroll.functions.exprs import cents, from_cents, ratio, sized_broadcast
 
 # The payment types compared, and the default selection.
 PAYMENT_TYPES = ("CASH", "CREDIT", "DEBIT")
@@ -57,13 +57,14 @@ def basket_products(lines: DataFrame) -> DataFrame:
     partitions. Both A4 and A5 roll up from it, so a page that shows both
     can persist this frame (much smaller than the lines) and scan it twice.
     """
+    set_c, line_c, qty_c = cents("set_amount"), cents("line_amount"), cents("UNIT_QUANTITY")
     return lines.groupBy("TRANSACTION_SET_ID", "PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY").agg(
-        F.sum("set_amount").alias("set_amount_lines"),   # basket total x its lines
-        F.count("set_amount").alias("n_set_amount"),
-        F.max("set_amount").alias("basket_amount"),      # basket total once
-        F.sum("line_amount").alias("line_amount"),
-        F.count("line_amount").alias("n_line_amount"),
-        F.sum("UNIT_QUANTITY").alias("units"),
+        F.sum(set_c).alias("set_amount_lines"),   # basket total x its lines (cents)
+        F.count(set_c).alias("n_set_amount"),
+        F.max(set_c).alias("basket_amount"),      # basket total once (cents)
+        F.sum(line_c).alias("line_amount"),
+        F.count(line_c).alias("n_line_amount"),
+        F.sum(qty_c).alias("units"),
     )
 
 
@@ -97,9 +98,9 @@ def payment_summary(lines: DataFrame, amount_basis: str = "basket_per_line") ->
         per_basket.groupBy("PAYMENT_TYPE")
         .agg(
             F.count(F.lit(1)).alias("num_transactions"),
-            F.coalesce(spend, F.lit(0)).alias("total_spend"),
-            ratio(spend, n).alias("avg_ticket"),
-            zero_sum("units").alias("total_items"),
+            from_cents(F.coalesce(spend, F.lit(0))).alias("total_spend"),
+            ratio(from_cents(spend), n).alias("avg_ticket"),
+            from_cents(F.coalesce(F.sum("units"), F.lit(0))).alias("total_items"),
         )
         .withColumn("avg_items_per_txn", ratio("total_items", "num_transactions"))
     )
@@ -113,7 +114,7 @@ def product_by_payment(lines: DataFrame) -> DataFrame:
     bp = _bp(lines).where(F.col("CATEGORY").isNotNull())
     return bp.groupBy("PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY").agg(
         F.count(F.lit(1)).alias("purchase_count"),
-        zero_sum("set_amount_lines").alias("revenue"),
+        from_cents(F.coalesce(F.sum("set_amount_lines"), F.lit(0))).alias("revenue"),
     )
 
 
@@ -147,7 +148,7 @@ def mean_of_group_means(summary: DataFrame, col: str = "avg_ticket") -> DataFram
 def weighted_mean(lines: DataFrame) -> DataFrame:
     """The overall mean ticket over all lines (weighted alternative to A10)."""
     bp = _bp(lines)
-    return bp.agg(ratio(F.sum("set_amount_lines"), F.sum("n_set_amount")).alias("overall_avg"))
+    return bp.agg(ratio(from_cents(F.sum("set_amount_lines")), F.sum("n_set_amount")).alias("overall_avg"))
 
 
 def payment_kpis(summary: DataFrame, selection: Iterable[str] = DEFAULT_SELECTION) -> DataFrame:

@@ -21,6 +21,11 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Per-basket aggregates reuse the basket join's partitioning. When one
+    # basket id is hot (e.g. a sentinel id on a third of the lines) AQE may
+    # only split that join partition if it can add the shuffle the aggregate
+    # then needs; partial aggregation runs before that shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -63,6 +68,24 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return fallback
 
 
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Suggested submit-time settings for an input of ``input_bytes``.
+
+    Shuffles start with enough partitions for ~``target_partition_bytes``
+    each and AQE coalesces them at run time, so one setting serves small
+    slices and the full history. Pass the result to ``spark-submit --conf``.
+    """
+    initial = max(200, int(input_bytes // target_partition_bytes))
+    return {
+        **{k: v for k, v in SESSION_DEFAULTS.items() if k != "spark.ui.showConsoleProgress"},
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes * 4),
+    }
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
