@@ -24,7 +24,7 @@ from tillroll.sources.schemas import ACS_VARS, HOME_VALUE, INCOME, POPULATION, P
 SUMMARY_VARS = {"population": POPULATION, "income": INCOME, "poverty": POVERTY, "home_value": HOME_VALUE}
 
 
-def with_prefix(df: DataFrame, cols: Sequence[str], prefix: str, keep: Sequence[str] = ()) -> DataFrame:
+def with_prefix(df: DataFrame, cols: Sequence[str], prefix: str, keep: Sequence = ()) -> DataFrame:
     """P5: ``keep`` columns plus ``prefix``-renamed copies of ``cols`` in one
     projection (the county frame's variables become ``county_<var>``)."""
     return df.select(*keep, *[F.col(c).alias(f"{prefix}{c}") for c in cols])
@@ -55,10 +55,8 @@ def enrich_stores(stores: DataFrame, store_tract: DataFrame, tract_acs: DataFram
     out = base.join(store_tract.select("STORE_ID", *TRACT_KEYS), "STORE_ID", "left")
     out = out.join(tract_acs.select(*TRACT_KEYS, *variables), list(TRACT_KEYS), "left")
     if county_acs is not None:
-        county = county_acs.select(
-            F.col("state").alias("county_state"), F.col("county").alias("county_county"),
-            *[F.col(v).alias(f"county_{v}") for v in variables], F.col("NAME").alias("county_NAME"),
-        )
+        county = with_prefix(county_acs, [*variables, "NAME"], "county_", keep=[
+            F.col("state").alias("county_state"), F.col("county").alias("county_county")])
         out = out.join(
             county,
             (out["STATEFP"] == county["county_state"]) & (out["COUNTYFP"] == county["county_county"]),
@@ -92,6 +90,11 @@ def demographic_points(valid: DataFrame, extra: Sequence[str] = ("STATE", "CITY"
     )
 
 
+def summary_order():
+    """Display order of the state summary (most stores first)."""
+    return [F.desc("store_count"), F.asc("STATE")]
+
+
 def state_summary(valid: DataFrame) -> DataFrame:
     """Per state - stores with an id, and the mean of four variables."""
     pts = demographic_points(valid, extra=("STATE",))

@@ -21,7 +21,12 @@ from tillroll.functions.exprs import id_text
 from tillroll.sources.schemas import ACS_VARS, GEOCODE_JSON, TABLE_JSON, TRACT_KEYS
 
 
-def parse_geocode(raw: DataFrame, id_col: str = "STORE_ID", payload_col: str = "payload") -> DataFrame:
+def _kept(raw: DataFrame, keep: Sequence[str]) -> list[str]:
+    return [c for c in keep if c in raw.columns]
+
+
+def parse_geocode(raw: DataFrame, id_col: str = "STORE_ID", payload_col: str = "payload",
+                  keep: Sequence[str] = ("fetched_at",)) -> DataFrame:
     """Store -> (STATEFP, COUNTYFP, TRACT) from geocoder responses.
 
     The first listed tract is used. An empty tract list, malformed text or a
@@ -35,10 +40,12 @@ def parse_geocode(raw: DataFrame, id_col: str = "STORE_ID", payload_col: str = "
         first["STATE"].alias("STATEFP"),
         first["COUNTY"].alias("COUNTYFP"),
         first["TRACT"].alias("TRACT"),
+        *_kept(raw, keep),
     )
 
 
-def parse_tract_acs(raw: DataFrame, payload_col: str = "payload", variables: Sequence[str] = ACS_VARS) -> DataFrame:
+def parse_tract_acs(raw: DataFrame, payload_col: str = "payload", variables: Sequence[str] = ACS_VARS,
+                    keep: Sequence[str] = ("fetched_at",)) -> DataFrame:
     """Tract keys + the ACS variables from a tract response.
 
     The response is ``[header, row]``; the row's last three entries are the
@@ -49,12 +56,14 @@ def parse_tract_acs(raw: DataFrame, payload_col: str = "payload", variables: Seq
     a = F.from_json(F.col(payload_col), TABLE_JSON)
     row = F.get(a, 1)
     vals = F.slice(row, 1, F.greatest(F.size(row) - 3, F.lit(0)))
-    keyed = raw.select(*TRACT_KEYS, vals.alias("_v")).where(F.col("_v").isNotNull() & (F.size("_v") > 0))
-    return keyed.select(*TRACT_KEYS, *[F.get("_v", i).alias(v) for i, v in enumerate(variables)])
+    kept = _kept(raw, keep)
+    keyed = raw.select(*TRACT_KEYS, vals.alias("_v"), *kept).where(F.col("_v").isNotNull() & (F.size("_v") > 0))
+    return keyed.select(*TRACT_KEYS, *[F.get("_v", i).alias(v) for i, v in enumerate(variables)], *kept)
 
 
 def parse_county_acs(raw: DataFrame, payload_col: str = "payload", variables: Sequence[str] = ACS_VARS,
-                     extra: Sequence[str] = ("NAME", "state", "county")) -> DataFrame:
+                     extra: Sequence[str] = ("NAME", "state", "county"),
+                     keep: Sequence[str] = ("fetched_at",)) -> DataFrame:
     """County rows from responses whose first row is the header.
 
     Any number of responses (one per state, or one for all counties) may be
@@ -63,9 +72,19 @@ def parse_county_acs(raw: DataFrame, payload_col: str = "payload", variables: Se
     row gives NULLs rather than an error.
     """
     a = F.from_json(F.col(payload_col), TABLE_JSON)
-    rows = raw.select(F.get(a, 0).alias("_h"), F.explode(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))).alias("_r"))
+    kept = _kept(raw, keep)
+    rows = raw.select(F.get(a, 0).alias("_h"), F.explode(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))).alias("_r"),
+                      *kept)
     names = list(variables) + list(extra)
-    return rows.select(*[F.get("_r", F.array_position("_h", n).cast("int") - 1).alias(n) for n in names])
+    return rows.select(*[F.get("_r", F.array_position("_h", n).cast("int") - 1).alias(n) for n in names], *kept)
+
+
+def latest(df: DataFrame, keys: Sequence[str], ts_col: str = "fetched_at") -> DataFrame:
+    """The most recent landed row per key (a key fetched again replaces its
+    older response). One aggregate per key; versions per key are few."""
+    others = [c for c in df.columns if c not in keys]
+    newest = F.max_by(F.struct(*others), F.col(ts_col)).alias("_n")
+    return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_n.{c}").alias(c) for c in others])
 
 
 def pending_keys(keys: DataFrame, landed: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -1,0 +1,3 @@
+"""Incremental landing of lookup responses with Structured Streaming."""
+
+from tillroll.streaming.landing import land_responses  # noqa: F401
