@@ -31,6 +31,8 @@ def _pull(frames: dict) -> int:
     n = 0
     for df in frames.values():
         n += len(df.collect())
+    if hasattr(frames, "release"):
+        frames.release()
     return n
 
 

@@ -20,6 +20,32 @@ from tillroll.sources import census, tables
 Tables = Mapping[str, DataFrame]
 
 
+class PageResult(dict):
+    """Named result frames of a page, plus the intermediates it persisted.
+
+    A page's outputs share intermediates (the top-k list, the per-basket
+    payment aggregate, ...). With ``persist=True`` these are kept with
+    ``MEMORY_AND_DISK`` so each is computed once for all outputs; call
+    ``release()`` after the page has been pulled.
+    """
+
+    def __init__(self, frames: Mapping[str, DataFrame], cached: list[DataFrame]):
+        super().__init__(frames)
+        self.cached = cached
+
+    def release(self) -> None:
+        for df in self.cached:
+            df.unpersist()
+
+
+def _keep(df: DataFrame, persist: bool, cached: list[DataFrame]) -> DataFrame:
+    if not persist:
+        return df
+    df = tables.cached(df)
+    cached.append(df)
+    return df
+
+
 def _slice(t: Tables, year, months) -> period.Slice:
     return period.period_slice(t["daily"], t["sets"], t["items"], year, months)
 
@@ -46,12 +72,14 @@ def validation_page(t: Tables) -> dict[str, DataFrame]:
 
 
 def top_products_page(t: Tables, year=None, months=None, categories: Iterable[str] | None = None,
-                      k: int = 5, grain: str = "week", target: float | None = None) -> dict[str, DataFrame]:
+                      k: int = 5, grain: str = "week", target: float | None = None,
+                      persist: bool = True) -> PageResult:
     """Top non-fuel products, their weekly series and KPIs."""
     sl = _slice(t, year, months)
+    cached: list[DataFrame] = []
     cat = products.filter_categories(sl.daily, categories)
-    top = products.top_products(products.product_totals(cat), k)
-    weekly = products.weekly_totals(cat, top, grain, max_products=k)
+    top = _keep(products.top_products(products.product_totals(cat), k), persist, cached)
+    weekly = _keep(products.weekly_totals(cat, top, grain, max_products=k), persist, cached)
     if target is not None:
         weekly = present.with_threshold(weekly, target, "target")
     table = present.formatted(
@@ -62,22 +90,24 @@ def top_products_page(t: Tables, year=None, months=None, categories: Iterable[st
         }),
         money=["Revenue", "Avg Price"], counts=["Units", "Transactions"],
     )
-    return {
+    return PageResult({
         "categories": products.category_list(sl.daily),
         "top": top,
         "weekly": weekly,
         "kpis": kpis.top_products_kpis(top, weekly),
         "table": table,
-    }
+    }, cached)
 
 
 def brands_page(t: Tables, year=None, months=None, min_transactions: int = brands.MIN_TRANSACTIONS,
-                threshold: float = brands.REVENUE_THRESHOLD, k: int = 10, rank_by: str = "revenue") -> dict[str, DataFrame]:
+                threshold: float = brands.REVENUE_THRESHOLD, k: int = 10, rank_by: str = "revenue",
+                persist: bool = True) -> PageResult:
     """Beverage brand performance and drop candidates."""
     sl = _slice(t, year, months)
-    perf = brands.brand_performance(sl.daily, min_transactions=min_transactions)
+    cached: list[DataFrame] = []
+    perf = _keep(brands.brand_performance(sl.daily, min_transactions=min_transactions), persist, cached)
     drop = brands.drop_candidates(perf, k, rank_by)
-    return {
+    return PageResult({
         "categories_head": products.category_head(sl.daily, 20),
         "performance": present.with_threshold(perf, threshold),
         "drop": drop,
@@ -90,31 +120,28 @@ def brands_page(t: Tables, year=None, months=None, min_transactions: int = brand
             }),
             money=["Revenue", "$/Unit", "$/Transaction"], counts=["Units Sold", "Transactions"],
         ),
-    }
+    }, cached)
 
 
 def payments_page(t: Tables, year=None, months=None, selection: Iterable[str] = payments.DEFAULT_SELECTION,
-                  amount_basis: str = "basket_per_line", n: int = 5,
-                  persist_baskets: bool = False) -> dict[str, DataFrame]:
+                  amount_basis: str = "basket_per_line", n: int = 5, persist: bool = True) -> PageResult:
     """C4: payment-type comparison, top products per type, mean-of-means line.
 
-    Both roll-ups read the same per-basket x product pre-aggregate
-    (``persist_baskets=True`` keeps it for the page's three outputs; call
-    ``unpersist`` on the returned ``_cache`` frame afterwards).
+    Both roll-ups read the same per-basket x product pre-aggregate, which is
+    persisted (``persist=True``) so the basket join runs once per page.
     """
     sl = _slice(t, year, months)
     lines = payments.payment_lines(sl.sets, sl.items, t["gtin"], list(selection))
-    bp = payments.basket_products(lines)
-    if persist_baskets:
-        bp = tables.cached(bp)
-    summary = payments.payment_summary(bp, amount_basis)
-    return {
+    cached: list[DataFrame] = []
+    bp = _keep(payments.basket_products(lines), persist, cached)
+    summary = _keep(payments.payment_summary(bp, amount_basis), persist, cached)
+    return PageResult({
         "summary": summary,
         "top_products": payments.top_n_per_group(
             payments.product_by_payment(bp), "PAYMENT_TYPE",
             [F.desc("purchase_count"), F.asc_nulls_first("SKUPOS_DESCRIPTION"), F.asc_nulls_first("CATEGORY")], n),
         "overall_avg": payments.mean_of_group_means(summary),
-    }
+    }, cached)
 
 
 def land_census(census_raw: Mapping[str, DataFrame], out_dir: str) -> dict[str, DataFrame]:
@@ -136,24 +163,26 @@ def land_census(census_raw: Mapping[str, DataFrame], out_dir: str) -> dict[str,
 
 
 def demographics_page(t: Tables, census_tables: Mapping[str, DataFrame], year=None, months=None,
-                      clean: bool = False) -> dict[str, DataFrame]:
+                      clean: bool = False, persist: bool = True) -> PageResult:
     """Stores enriched with tract and county statistics and performance.
 
     ``census_tables`` holds the parsed ``store_tract`` and ``tract_acs`` and
     optionally ``county_acs`` (a missing county table behaves as empty).
     """
     sl = _slice(t, year, months)
+    cached: list[DataFrame] = []
     store_tract, tract_acs = census_tables["store_tract"], census_tables["tract_acs"]
     enriched = demographics.enrich_stores(t["stores"], store_tract, tract_acs, census_tables.get("county_acs"),
                                           demographics.store_performance(sl.daily))
     if clean:
         enriched = demographics.clean_annotations(enriched)
+    enriched = _keep(enriched, persist, cached)
     valid = demographics.valid_stores(enriched)
     points = demographics.demographic_points(valid)
-    return {
+    return PageResult({
         "pending_tracts": census.pending_keys(store_tract, tract_acs, ("STATEFP", "COUNTYFP", "TRACT")),
         "enriched": enriched,
         "state_summary": demographics.state_summary(valid),
         "points": points,
         "income_box": demographics.box_stats(points, "STATE", "income"),
-    }
+    }, cached)
