@@ -52,7 +52,10 @@ def enrich_stores(stores: DataFrame, store_tract: DataFrame, tract_acs: DataFram
     """
     keep = [c for c in store_cols if c in stores.columns]
     base = stores.select(id_text("STORE_ID").alias("STORE_ID"), *keep)
+    # Both store-keyed joins first: they share one STORE_ID partitioning.
     out = base.join(store_tract.select("STORE_ID", *TRACT_KEYS), "STORE_ID", "left")
+    if store_perf is not None:
+        out = out.join(store_perf, "STORE_ID", "left")
     out = out.join(tract_acs.select(*TRACT_KEYS, *variables), list(TRACT_KEYS), "left")
     if county_acs is not None:
         county = with_prefix(county_acs, [*variables, "NAME"], "county_", keep=[
@@ -65,8 +68,6 @@ def enrich_stores(stores: DataFrame, store_tract: DataFrame, tract_acs: DataFram
     else:
         out = out.select("*", *[F.lit(None).cast("string").alias(f"county_{v}") for v in variables],
                          F.lit(None).cast("string").alias("county_NAME"))
-    if store_perf is not None:
-        out = out.join(store_perf, "STORE_ID", "left")
     return out
 
 
