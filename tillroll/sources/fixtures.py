@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators.rollup import daily_rollup
+from tillroll.sources.tables import load_table
 from tillroll.sources.schemas import ACS_VARS
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+FACT_TABLES = ("orders", "lineitem")
 
 # Fixture mapping of part types to categories, and of order
 # priorities to payment types.
@@ -28,7 +30,7 @@ STATE_FIPS = "16"
 
 
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return load_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", fact=name in FACT_TABLES)
 
 
 def _null_str() -> Column:
