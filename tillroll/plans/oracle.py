@@ -179,7 +179,7 @@ ORACLE: dict[str, str] = {
     "parse_geocode": VIEWS + GEO + "SELECT CAST(STORE_ID AS VARCHAR) AS STORE_ID, " + TRACT_KEYS_SQL + " FROM geo",
     "parse_tract_acs": _parse_tract(),
     "parse_county_acs": _parse_county(),
-    "pending_keys": VIEWS + GEO + "SELECT DISTINCT " + TRACT_KEYS_SQL + " FROM geo WHERE g > 1 AND nk >= 10",
+    "pending_keys": VIEWS + GEO + "SELECT DISTINCT " + TRACT_KEYS_SQL + " FROM geo WHERE g > 1 AND tk % 10 = 3",
     "year_bounds": VIEWS + "SELECT min(CALENDAR_YEAR) AS min_year, max(CALENDAR_YEAR) AS max_year FROM daily",
     "store_activity": VIEWS + f"SELECT (SELECT count(*) FROM stores) AS master, (SELECT {n_unique_sql('STORE_ID')} FROM daily) AS active_ever, (SELECT {n_unique_sql('STORE_ID')} FROM daily WHERE {PERIOD_DAILY}) AS active_in_period",
     "home_kpis": VIEWS + f"SELECT (SELECT count(*) FROM stores) AS total_stores, (SELECT {n_unique_sql('STORE_ID')} FROM daily WHERE {PERIOD_DAILY}) AS active_stores, (SELECT count(*) FROM gtin) AS total_products, (SELECT CAST(coalesce(sum(GRAND_TOTAL_AMOUNT),0) AS DOUBLE) FROM sets WHERE {PERIOD_SETS}) AS total_revenue, (SELECT count(*) FROM sets WHERE {PERIOD_SETS}) AS total_transactions",

@@ -24,7 +24,6 @@ MONTHS = (1, 2, 3)
 THRESHOLD = 36_000_000
 TOP_K = 5
 DROP_K = 10
-LANDED_COUNTIES_BELOW = 10
 
 
 def _t(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -258,10 +257,11 @@ def parse_county_acs(spark, sf_dir):
 
 
 def pending_keys(spark, sf_dir):
+    """Tracts of geocoded stores that still lack ACS data (their landed
+    response held no data row), i.e. the next fetch's work list."""
     raw = fixtures.census_tables(spark, sf_dir)
     keys = census.parse_geocode(raw["geocode_raw"])
-    landed = raw["tract_raw"].where(F.col("COUNTYFP").cast("int") < LANDED_COUNTIES_BELOW)
-    return census.pending_keys(keys, landed, TRACT_KEYS)
+    return census.pending_keys(keys, census.parse_tract_acs(raw["tract_raw"]), TRACT_KEYS)
 
 
 # --- home page, validation, parameters ----------------------------------------
