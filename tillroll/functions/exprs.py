@@ -107,7 +107,7 @@ def thousands(c: str | Column, decimals: int = 0) -> Column:
     return F.format_number(_col(c).cast("double"), decimals)
 
 
-def sized_broadcast(df, max_rows: int = 2_000_000):
+def sized_broadcast(df, max_rows: int = 1_000_000):
     """Broadcast ``df`` only after checking its row count against ``max_rows``.
 
     For dimension tables (products, stores) whose size is unknown up front.

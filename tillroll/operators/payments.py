@@ -28,7 +28,7 @@ AMOUNT_BASES = ("basket_per_line", "basket", "line")
 
 
 def payment_lines(sets: DataFrame, items: DataFrame, gtin: DataFrame,
-                  types: Iterable[str] = PAYMENT_TYPES, max_product_rows: int = 2_000_000) -> DataFrame:
+                  types: Iterable[str] = PAYMENT_TYPES, max_product_rows: int = 1_000_000) -> DataFrame:
     """J2 + J3: one row per basket line of a chosen payment type, with the
     product's category/description (left join: unknown products kept).
 

@@ -29,7 +29,7 @@ PRODUCT_ATTRS = ("CATEGORY", "SUBCATEGORY", "BRAND", "SKUPOS_DESCRIPTION")
 DAILY_KEYS = ("CALENDAR_YEAR", "CALENDAR_MONTH", "CALENDAR_WEEK", "CALENDAR_DATE", "STORE_ID") + PRODUCT_ATTRS
 
 
-def daily_rollup(items: DataFrame, sets: DataFrame, gtin: DataFrame, max_product_rows: int = 2_000_000) -> DataFrame:
+def daily_rollup(items: DataFrame, sets: DataFrame, gtin: DataFrame, max_product_rows: int = 1_000_000) -> DataFrame:
     lines = items.select(
         "TRANSACTION_SET_ID", "GTIN",
         cents("UNIT_QUANTITY").alias("_qty"), cents("GRAND_TOTAL_AMOUNT").alias("_amount"),
