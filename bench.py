@@ -6,7 +6,8 @@ checkpoint folder; steps 2.. time each page pulling all of its result
 frames. Each timing is the median of ``BENCH_REPS`` runs after a warm-up.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPS (default 3). Prints one JSON line.
+BENCH_REPS (default 3), BENCH_EVENT_LOG (optional folder for Spark's event
+log). Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     reps = int(os.environ.get("BENCH_REPS", "3"))
-    spark = local_session(cpus, cpus * 2, app_name="tillroll-bench",
-                          extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    if os.environ.get("BENCH_EVENT_LOG"):   # stage/task times without any UI
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
+    spark = local_session(cpus, cpus * 2, app_name="tillroll-bench", extra=extra)
     root = ensure_checkpoint_dir(spark, "/tmp/tillroll-checkpoints")
     out_dir = f"{root.rstrip('/')}/tillroll-bench-{uuid.uuid4().hex[:8]}"
 

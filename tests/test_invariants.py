@@ -40,3 +40,12 @@ def test_daily_revenue_equals_line_revenue_of_known_baskets(small_tables):
     joined = t["items"].join(t["sets"].select("TRANSACTION_SET_ID"), "TRANSACTION_SET_ID", "left_semi")
     want = joined.agg(F.sum("GRAND_TOTAL_AMOUNT")).first()[0]
     assert t["daily"].agg(F.sum("TOTAL_REVENUE_AMOUNT")).first()[0] == want
+
+
+def test_table_profile_approx_close_to_exact(small_tables):
+    from tillroll.operators import kpis
+
+    spec = [("items", small_tables["items"], "GTIN")]
+    exact = kpis.table_profile(spec).first().n_distinct
+    approx = kpis.table_profile(spec, approx=True).first().n_distinct
+    assert abs(approx - exact) <= 0.06 * exact

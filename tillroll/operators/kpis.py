@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.exprs import n_unique, ratio, zero_sum
+from tillroll.functions.exprs import approx_n_unique, n_unique, ratio, zero_sum
 
 
 def one_row(first: DataFrame, **others: DataFrame) -> DataFrame:
@@ -48,11 +48,16 @@ def home_kpis(stores: DataFrame, gtin: DataFrame, slice_) -> DataFrame:
     )
 
 
-def table_profile(spec: Iterable[tuple[str, DataFrame, str]]) -> DataFrame:
+def table_profile(spec: Iterable[tuple[str, DataFrame, str]], approx: bool = False) -> DataFrame:
     """A12 + A11 (C6): per (table, column) - row count and distinct values
-    (NULL counted as a value). One aggregate per table, stacked."""
+    (NULL counted as a value). One aggregate per table, stacked.
+
+    ``approx=True`` counts distinct values with HyperLogLog (bounded memory,
+    ~2% error) for very high-cardinality columns on huge tables.
+    """
+    distinct = approx_n_unique if approx else n_unique
     parts = [
-        df.agg(F.count(F.lit(1)).alias("n_rows"), n_unique(col).alias("n_distinct")).select(
+        df.agg(F.count(F.lit(1)).alias("n_rows"), distinct(col).alias("n_distinct")).select(
             F.lit(name).alias("table_name"), F.lit(col).alias("column_name"), "n_rows", "n_distinct")
         for name, df, col in spec
     ]
