@@ -13,7 +13,10 @@ SF_ORACLE = "/root/testdata/sf0.01"
 def spark(tmp_path_factory):
     from tillroll.session import ensure_checkpoint_dir, local_session
 
-    s = local_session(4, 4, app_name="tillroll-tests", extra={"spark.driver.memory": "4g"})
+    s = local_session(4, 4, app_name="tillroll-tests", extra={
+        "spark.driver.memory": "4g",
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+    })
     ensure_checkpoint_dir(s, str(tmp_path_factory.mktemp("ckpt")))
     yield s
     s.stop()

@@ -131,7 +131,9 @@ def payments_page(t: Tables, year=None, months=None, selection: Iterable[str] =
     persisted (``persist=True``) so the basket join runs once per page.
     """
     sl = _slice(t, year, months)
-    lines = payments.payment_lines(sl.sets, sl.items, t["gtin"], list(selection))
+    # The inner join with the period's baskets already restricts the lines;
+    # a semi join of the items first would only add a pass.
+    lines = payments.payment_lines(sl.sets, t["items"], t["gtin"], list(selection))
     cached: list[DataFrame] = []
     bp = _keep(payments.basket_products(lines), persist, cached)
     summary = _keep(payments.payment_summary(bp, amount_basis), persist, cached)

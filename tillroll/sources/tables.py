@@ -111,6 +111,20 @@ def materialize(df: DataFrame, path: str, partition_by: Iterable[str] | None = N
     w.parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "overwrite") -> DataFrame:
+    """Layout for co-located joins: save ``df`` as a catalog table bucketed
+    and sorted by ``key``; returns the table.
+
+    Writing the basket table and the line table once with the same bucket
+    count on the basket id makes every later basket join a sort-merge join
+    with *no* exchange on either side (and the per-basket aggregates stay in
+    the same stage), instead of shuffling both fact tables per query. Read
+    bucketed tables with ``spark.table`` and do not ``spread`` them.
+    """
+    df.write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def read_or_none(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
     """The materialised table if it exists, else ``None`` (not ready)."""
     try:
