@@ -40,3 +40,17 @@ def test_period_filter_reaches_parquet_scan(small_tables):
     plan = period.filter_sets(small_tables["sets"], 1996, [1]).select("TRANSACTION_SET_ID")._jdf \
         .queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "o_orderdate" in plan.split("PushedFilters")[1][:400]
+
+
+def test_invalid_month_rejected(small_tables):
+    import pytest
+
+    with pytest.raises(ValueError):
+        period.filter_sets(small_tables["sets"], 1996, [13])
+
+
+def test_december_range_crosses_year(small_tables):
+    sets = small_tables["sets"]
+    got = period.filter_sets(sets, 1996, [12]).count()
+    want = sets.where((F.year("DATE_TIME") == 1996) & (F.month("DATE_TIME") == 12)).count()
+    assert got == want

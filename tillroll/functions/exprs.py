@@ -78,14 +78,12 @@ def as_double(c: str | Column) -> Column:
 def matches_any(cols: Iterable[str], words: Iterable[str]) -> Column:
     """Case-insensitive "contains any word" over several nullable columns.
 
-    A NULL column never matches (``rlike`` on NULL is NULL, and NULL OR TRUE is
-    TRUE), which is the reference's null-aware OR. Words are treated as
-    literal text.
+    ``upper(col)`` contains ``upper(word)``: literal text, no regex engine per
+    row, and the same Unicode upper-casing SQL engines use for
+    ``upper(x) LIKE '%WORD%'``. A NULL column never matches (NULL OR TRUE is
+    TRUE, NULL OR FALSE is NULL, which a filter drops).
     """
-    import re
-
-    pattern = "(?i)(" + "|".join(re.escape(w) for w in words) + ")"
-    preds = [F.col(c).rlike(pattern) for c in cols]
+    preds = [F.upper(F.col(c)).contains(w.upper()) for c in cols for w in words]
     out = preds[0]
     for p in preds[1:]:
         out = out | p

@@ -19,7 +19,11 @@ ALL_MONTHS = tuple(range(1, 13))
 
 
 def _month_list(months: Iterable[int] | None) -> list[int]:
-    return list(ALL_MONTHS if months is None else months)
+    ms = list(ALL_MONTHS if months is None else months)
+    bad = [m for m in ms if m not in ALL_MONTHS]
+    if bad:
+        raise ValueError(f"months must be in 1..12, got {bad}")
+    return ms
 
 
 def filter_daily(daily: DataFrame, year: int | None = None, months: Iterable[int] | None = None) -> DataFrame:
