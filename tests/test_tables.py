@@ -44,3 +44,12 @@ def test_refresh_sees_new_files(spark, tmp_path):
     spark.range(5).write.mode("overwrite").parquet(path)
     tables.refresh(spark, [path], [df])
     assert spark.read.parquet(path).count() == 5
+
+
+def test_load_daily_normalises_week_column(spark, small_tables, tmp_path):
+    path = str(tmp_path / "daily_src")
+    small_tables["daily"].withColumnRenamed("CALENDAR_WEEK", "WEEk").write.parquet(path)
+    d = tables.load_daily(spark, path)
+    assert "CALENDAR_WEEK" in d.columns and "WEEk" not in d.columns
+    assert d.count() == small_tables["daily"].count()
+    assert dict(d.dtypes)["TOTAL_REVENUE_AMOUNT"] == "decimal(18,2)"

@@ -54,6 +54,9 @@ DAILY = StructType([
     _s("TOTAL_REVENUE_AMOUNT", AMOUNT), _s("QUANTITY", AMOUNT), _s("TRANSACTION_COUNT", LongType()),
 ])
 
+# Source column names that differ from the contract (matched case-insensitively).
+DAILY_ALIASES = {"CALENDAR_WEEK": ("WEEk",)}
+
 SETS = StructType([
     _s("TRANSACTION_SET_ID", LongType()), _s("DATE_TIME", TimestampType()),
     _s("STORE_ID", LongType()), _s("GRAND_TOTAL_AMOUNT", AMOUNT), _s("PAYMENT_TYPE", StringType()),

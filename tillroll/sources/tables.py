@@ -13,13 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def check_contract(df: DataFrame, schema: StructType, name: str = "table") -> DataFrame:
+def check_contract(df: DataFrame, schema: StructType, name: str = "table",
+                   aliases: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
     """Fail fast when a required column is missing; project to the contract.
 
-    Types are cast to the contract type (a no-op when they already agree), so
+    Names match case-insensitively; ``aliases`` maps a contract name to
+    source names it may appear under (``WEEk`` -> ``CALENDAR_WEEK``). Types
+    are cast to the contract type (a no-op when they already agree), so
     downstream arithmetic sees the documented types.
     """
     have = {f.name.lower(): f.name for f in df.schema.fields}
+    for target, sources in (aliases or {}).items():
+        if target.lower() not in have:
+            for src in sources:
+                if src.lower() in have:
+                    have[target.lower()] = have[src.lower()]
+                    break
     missing = [f.name for f in schema.fields if f.name.lower() not in have]
     if missing:
         raise ValueError(f"{name}: missing columns {missing}")
@@ -46,7 +55,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 
 def load_table(spark: SparkSession, path: str | list[str], schema: StructType | None = None,
-               name: str = "table", fact: bool = False) -> DataFrame:
+               name: str = "table", fact: bool = False,
+               aliases: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
     """Read a Parquet table (file, folder or list of files).
 
     With a contract, columns are pruned to it and checked; Parquet still only
@@ -57,7 +67,15 @@ def load_table(spark: SparkSession, path: str | list[str], schema: StructType |
     df = spark.read.parquet(*paths)
     if fact:
         df = spread(df)
-    return check_contract(df, schema, name) if schema is not None else df
+    return check_contract(df, schema, name, aliases) if schema is not None else df
+
+
+def load_daily(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The daily aggregate under its contract (source ``WEEk`` is normalised
+    to ``CALENDAR_WEEK``); partition columns of a year/month layout prune."""
+    from tillroll.sources.schemas import DAILY, DAILY_ALIASES
+
+    return load_table(spark, path, DAILY, "daily", aliases=DAILY_ALIASES)
 
 
 def load_items(spark: SparkSession, path: str | list[str], schema: StructType | None = None) -> DataFrame:
