@@ -20,7 +20,7 @@ from tillroll.sources.tables import load_table
 from tillroll.sources.schemas import ACS_VARS
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-FACT_TABLES = ("orders", "lineitem")
+FACT_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}   # basket id of each fact table
 
 # Fixture mapping of part types to categories, and of order
 # priorities to payment types.
@@ -30,7 +30,7 @@ STATE_FIPS = "16"
 
 
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return load_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", fact=name in FACT_TABLES)
+    return load_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", fact=FACT_KEYS.get(name, False))
 
 
 def _null_str() -> Column:

@@ -40,33 +40,39 @@ def check_contract(df: DataFrame, schema: StructType, name: str = "table",
     return df.select(*cols)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None, key: str | None = None) -> DataFrame:
     """Use every core even when a scan yields few partitions.
 
     Parquet splits at row-group boundaries, so a table stored as a few huge
     row groups scans in a few tasks and everything up to the first shuffle
     (joins with broadcast dimensions, partial aggregation) runs there too.
     Below ``min_partitions`` (default: the cluster's default parallelism)
-    the rows are redistributed round-robin; at scale, where a scan has
-    thousands of splits, this is a no-op and adds no shuffle.
+    the rows are redistributed - by ``key`` when given (the basket id of a
+    fact table, so a later broadcast join keeps that partitioning and the
+    per-basket aggregates need no further exchange), else round-robin. At
+    scale, where a scan has thousands of splits, this is a no-op and adds no
+    shuffle.
     """
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, key) if key else df.repartition(n)
 
 
 def load_table(spark: SparkSession, path: str | list[str], schema: StructType | None = None,
-               name: str = "table", fact: bool = False,
+               name: str = "table", fact: bool | str = False,
                aliases: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
     """Read a Parquet table (file, folder or list of files).
 
     With a contract, columns are pruned to it and checked; Parquet still only
     reads the columns a later query uses (column pruning) and row groups its
-    filters keep (pushed filters). ``fact=True`` applies :func:`spread`.
+    filters keep (pushed filters). ``fact=True`` (or the name of the join
+    key) applies :func:`spread`.
     """
     paths = [path] if isinstance(path, str) else list(path)
     df = spark.read.parquet(*paths)
     if fact:
-        df = spread(df)
+        df = spread(df, key=fact if isinstance(fact, str) else None)
     return check_contract(df, schema, name, aliases) if schema is not None else df
 
 
@@ -85,7 +91,7 @@ def load_items(spark: SparkSession, path: str | list[str], schema: StructType |
     files into ``spark.sql.files.maxPartitionBytes`` pieces, so part count
     does not bound parallelism.
     """
-    return load_table(spark, path, schema, "items", fact=True)
+    return load_table(spark, path, schema, "items", fact="TRANSACTION_SET_ID")
 
 
 def stack(frames: Iterable[DataFrame]) -> DataFrame:
