@@ -55,7 +55,8 @@ def basket_products(lines: DataFrame) -> DataFrame:
 
     Keyed by the basket id (the join key), so it runs inside the join's
     partitions. Both A4 and A5 roll up from it, so a page that shows both
-    can persist this frame (much smaller than the lines) and scan it twice.
+    can persist this frame (at most one row per line, only key and measure
+    columns) and scan it twice instead of repeating the basket join.
     """
     set_c, line_c, qty_c = cents("set_amount"), cents("line_amount"), cents("UNIT_QUANTITY")
     return lines.groupBy("TRANSACTION_SET_ID", "PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY").agg(
