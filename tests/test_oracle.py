@@ -12,6 +12,7 @@ import pytest
 from tests.conftest import SF_ORACLE
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
 
 
 def _norm(v):
@@ -51,10 +52,13 @@ def test_query_matches_oracle(spark, duck, name):
 
     df = queries()[name](spark, SF_ORACLE)
     rows = [tuple(r) for r in df.collect()]
+    rel = duck.sql(oracle_sql()[name])
+    otypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
     res = duck.execute(oracle_sql()[name])
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == otypes
     assert len(rows) == len(orows)
     assert rows, "fixture should not be empty"
     assert _canon(df.columns, rows) == _canon(ocols, orows)
