@@ -10,7 +10,7 @@ from tillroll.session import local_session
 spark = local_session(8, 8, extra={"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"})
 names = ["daily_rollup", "payment_summary_published", "top_products_by_payment", "weekly_top_products", "items_in_period"]
 out = ["# Physical plans at scale settings", "",
-       "Generated by `python scripts/show_plans.py --scale <name>` (size-based broadcasts and AQE off, so",
+       "Generated by `python scripts/gen_plans_doc.py` (size-based broadcasts and AQE off, so",
        "every exchange a large cluster would run is visible; the product master is still broadcast",
        "because `sized_broadcast` checked its row count). Only the operator trees are kept.",
        "The `Exchange` directly above a `Scan` of lineitem/orders is `tables.spread`: the test files are",
