@@ -45,3 +45,16 @@ def test_read_if_fresh(spark):
                                "k string, fetched_at timestamp")
     got = read_if_fresh(df, 7200, now=F.lit(now).cast("timestamp")).collect()
     assert [r.k for r in got] == ["a"]
+
+
+def test_land_census_keeps_latest_response_per_key(spark, tmp_path):
+    from tillroll.plans import pages
+    from tillroll.sources.schemas import COUNTY_RAW, TRACT_RAW
+
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    geo = spark.createDataFrame([("1", _payload("000100"), t0), ("1", _payload("000200"), t1)], GEOCODE_RAW)
+    tract = spark.createDataFrame([], TRACT_RAW)
+    county = spark.createDataFrame([], COUNTY_RAW)
+    out = pages.land_census({"geocode_raw": geo, "tract_raw": tract, "county_raw": county}, str(tmp_path / "c"))
+    rows = out["store_tract"].collect()
+    assert len(rows) == 1 and rows[0].TRACT == "000200"

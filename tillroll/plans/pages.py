@@ -149,15 +149,21 @@ def payments_page(t: Tables, year=None, months=None, selection: Iterable[str] =
 def land_census(census_raw: Mapping[str, DataFrame], out_dir: str) -> dict[str, DataFrame]:
     """S6/S7 for the lookups: parse the landed responses once and write the
     parsed tables (store -> tract, tract ACS, county ACS) as Parquet, as the
-    dashboard cached them in files; returns the re-read tables."""
+    dashboard cached them in files; returns the re-read tables.
+
+    When responses carry ``fetched_at`` and a key was fetched more than once,
+    only its latest response is kept, so the enrichment joins stay 1:1.
+    """
     spark = next(iter(census_raw.values())).sparkSession
     parsed = {
-        "store_tract": census.parse_geocode(census_raw["geocode_raw"]),
-        "tract_acs": census.parse_tract_acs(census_raw["tract_raw"]),
-        "county_acs": census.parse_county_acs(census_raw["county_raw"]),
+        "store_tract": (census.parse_geocode(census_raw["geocode_raw"]), ["STORE_ID"]),
+        "tract_acs": (census.parse_tract_acs(census_raw["tract_raw"]), ["STATEFP", "COUNTYFP", "TRACT"]),
+        "county_acs": (census.parse_county_acs(census_raw["county_raw"]), ["state", "county"]),
     }
     out = {}
-    for name, df in parsed.items():
+    for name, (df, keys) in parsed.items():
+        if "fetched_at" in df.columns:
+            df = census.latest(df, keys)
         path = f"{out_dir.rstrip('/')}/{name}"
         tables.materialize(df, path)
         out[name] = spark.read.parquet(path)
