@@ -53,10 +53,15 @@ def spread(df: DataFrame, min_partitions: int | None = None, key: str | None = N
     scale, where a scan has thousands of splits, this is a no-op and adds no
     shuffle.
     """
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    n = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= n:
         return df
-    return df.repartition(n, key) if key else df.repartition(n)
+    if key:
+        # Same count as the shuffles that follow, so a later join or
+        # aggregate on ``key`` reuses this partitioning.
+        return df.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    return df.repartition(n)
 
 
 def load_table(spark: SparkSession, path: str | list[str], schema: StructType | None = None,
