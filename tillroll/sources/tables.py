@@ -54,8 +54,12 @@ def spread(df: DataFrame, min_partitions: int | None = None, key: str | None = N
     shuffle.
     """
     spark = df.sparkSession
-    n = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
+    try:
+        n = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view
+        return df
+    if have >= n:
         return df
     if key:
         # Same count as the shuffles that follow, so a later join or
