@@ -146,7 +146,14 @@ def n_unique_sql(c: str) -> str:
     return f"(count(DISTINCT {c}) + coalesce(max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END),0))"
 
 
+TOP5_SELECTED = TOP5.replace("WHERE CATEGORY <> 'FUEL'", "WHERE CATEGORY <> 'FUEL' AND CATEGORY IN ('Energy Drinks','STANDARD')")
+TOP5_PERIOD = TOP5.replace("WHERE CATEGORY <> 'FUEL'", "WHERE CATEGORY <> 'FUEL' AND CALENDAR_YEAR=1997 AND CALENDAR_MONTH IN (1,2,3)")
+PAY_PERIOD = PAY.replace("WHERE s.PAYMENT_TYPE IN", "WHERE year(s.DATE_TIME)=1997 AND month(s.DATE_TIME) IN (1,2,3) AND s.PAYMENT_TYPE IN")
+
 ORACLE: dict[str, str] = {
+    "top_products_selected_categories": VIEWS + TOP5_SELECTED + "SELECT BRAND, SKUPOS_DESCRIPTION, CATEGORY, CAST(rev AS DOUBLE) AS total_revenue, CAST(units AS DOUBLE) AS total_units FROM top5",
+    "weekly_top_products_period": VIEWS + TOP5_PERIOD + "SELECT CALENDAR_WEEK, SKUPOS_DESCRIPTION, BRAND, CAST(sum(TOTAL_REVENUE_AMOUNT) AS DOUBLE) AS weekly_revenue, CAST(sum(QUANTITY) AS DOUBLE) AS weekly_units FROM daily WHERE CATEGORY <> 'FUEL' AND CALENDAR_YEAR=1997 AND CALENDAR_MONTH IN (1,2,3) AND CALENDAR_WEEK IS NOT NULL AND SKUPOS_DESCRIPTION IN (SELECT SKUPOS_DESCRIPTION FROM top5) GROUP BY 1,2,3",
+    "payment_summary_period": VIEWS + PAY_PERIOD + "SELECT PAYMENT_TYPE, count(DISTINCT TRANSACTION_SET_ID) AS num_transactions, CAST(sum(set_amount) AS DOUBLE) AS total_spend, round(CAST(sum(set_amount) AS DOUBLE)/count(set_amount),4) AS avg_ticket, CAST(sum(UNIT_QUANTITY) AS DOUBLE) AS total_items, round(CAST(sum(UNIT_QUANTITY) AS DOUBLE)/count(DISTINCT TRANSACTION_SET_ID),4) AS avg_items_per_txn FROM pay GROUP BY 1",
     "filter_year_month": VIEWS + f"SELECT count(*) AS n_rows, CAST(coalesce(sum(TOTAL_REVENUE_AMOUNT),0) AS DOUBLE) AS revenue FROM daily WHERE {PERIOD_DAILY}",
     "set_kpis": VIEWS + f"SELECT CAST(coalesce(sum(GRAND_TOTAL_AMOUNT),0) AS DOUBLE) AS total_revenue, count(*) AS total_transactions, {n_unique_sql('STORE_ID')} AS unique_stores FROM sets WHERE {PERIOD_SETS}",
     "items_in_period": VIEWS + "SELECT count(*) AS n_items FROM items i WHERE EXISTS (SELECT 1 FROM sets s WHERE s.TRANSACTION_SET_ID=i.TRANSACTION_SET_ID AND year(s.DATE_TIME)=1997)",

@@ -113,6 +113,26 @@ def summary_text(spark, sf_dir):
     return present.formatted(shown, money=["Revenue", "Avg_Price"], counts=["Units", "Transactions"])
 
 
+SELECTED_CATEGORIES = ("Energy Drinks", "STANDARD")
+
+
+def top_products_selected_categories(spark, sf_dir):
+    """P10 with a non-empty selection: top five within two categories."""
+    daily = _t(spark, sf_dir)["daily"]
+    top = products.top_products(products.product_totals(
+        products.filter_categories(daily, SELECTED_CATEGORIES)), TOP_K)
+    return top.select(*products.PRODUCT_KEYS, _d("total_revenue"), _d("total_units"))
+
+
+def weekly_top_products_period(spark, sf_dir):
+    """C2 on a period slice: the weekly series of the period's top five."""
+    t = _t(spark, sf_dir)
+    cat = products.filter_categories(period.filter_daily(t["daily"], YEAR, MONTHS))
+    top = products.top_products(products.product_totals(cat), TOP_K)
+    w = products.weekly_totals(cat, top, "week", max_products=TOP_K)
+    return w.select("CALENDAR_WEEK", "SKUPOS_DESCRIPTION", "BRAND", _d("weekly_revenue"), _d("weekly_units"))
+
+
 # --- question 2 --------------------------------------------------------------
 
 def _bev(spark, sf_dir) -> DataFrame:
@@ -173,6 +193,16 @@ def payment_kpis(spark, sf_dir):
                     _r4("avg_items_per_txn"))
 
 
+def payment_summary_period(spark, sf_dir):
+    """C4 on a period slice: baskets of the period (pushed to the scan) joined
+    with all their lines."""
+    t = _t(spark, sf_dir)
+    lines = payments.payment_lines(period.filter_sets(t["sets"], YEAR, MONTHS), t["items"], t["gtin"])
+    s = payments.payment_summary(lines)
+    return s.select("PAYMENT_TYPE", "num_transactions", _d("total_spend"), _r4("avg_ticket"),
+                    _d("total_items"), _r4("avg_items_per_txn"))
+
+
 def product_by_payment(spark, sf_dir):
     p = payments.product_by_payment(_lines(spark, sf_dir))
     return p.select("PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY", "purchase_count", _d("revenue"))
@@ -307,6 +337,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         filter_year_month, set_kpis, items_in_period, category_list, category_list_head,
         top_products, weekly_top_products, weekly_top_products_year_week, top_products_kpis, summary_text,
+        top_products_selected_categories, weekly_top_products_period, payment_summary_period,
         brand_performance, drop_candidates, drop_candidates_by_units, threshold_count, below_threshold,
         payment_summary_published, payment_summary_per_basket, payment_summary_line, payment_kpis,
         product_by_payment, top_products_by_payment, mean_of_group_means, overall_mean_ticket,
