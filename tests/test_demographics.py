@@ -5,7 +5,7 @@ from tillroll.sources.schemas import ACS_VARS, COUNTY_ACS, TRACT_ACS
 
 
 def _stores(spark):
-    return spark.createDataFrame([(1, "ID", "Rigby"), (2, "ID", "Ririe"), (3, "UT", "Logan")],
+    return spark.createDataFrame([(1, "ID", "Springfield"), (2, "ID", "Riverton"), (3, "UT", "Logan")],
                                  "STORE_ID bigint, STATE string, CITY string")
 
 
