@@ -26,7 +26,10 @@ class PageResult(dict):
     A page's outputs share intermediates (the top-k list, the per-basket
     payment aggregate, ...). With ``persist=True`` these are kept with
     ``MEMORY_AND_DISK`` so each is computed once for all outputs; call
-    ``release()`` after the page has been pulled.
+    ``release()`` after the page has been pulled. The per-basket payment
+    frame has about one row per line: for an all-history page on very large
+    data, write it once as a table (``tables.materialize``) or pass
+    ``persist=False`` rather than caching it on executors.
     """
 
     def __init__(self, frames: Mapping[str, DataFrame], cached: list[DataFrame]):

@@ -81,9 +81,13 @@ def parse_county_acs(raw: DataFrame, payload_col: str = "payload", variables: Se
 
 def latest(df: DataFrame, keys: Sequence[str], ts_col: str = "fetched_at") -> DataFrame:
     """The most recent landed row per key (a key fetched again replaces its
-    older response). One aggregate per key; versions per key are few."""
-    others = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*others), F.col(ts_col)).alias("_n")
+    older response). One aggregate per key; versions per key are few.
+
+    ``max`` of a struct led by the timestamp compares field by field, so
+    responses landed at the same instant still resolve deterministically.
+    """
+    others = [ts_col] + [c for c in df.columns if c not in keys and c != ts_col]
+    newest = F.max(F.struct(*others)).alias("_n")
     return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_n.{c}").alias(c) for c in others])
 
 
