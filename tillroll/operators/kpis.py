@@ -39,12 +39,21 @@ def store_activity(stores: DataFrame, daily: DataFrame, period_daily: DataFrame)
 def home_kpis(stores: DataFrame, gtin: DataFrame, slice_) -> DataFrame:
     """A16 (home page): store counts, product count, period revenue and
     transactions (from baskets)."""
-    return one_row(
+    # Both basket numbers come from one scan: a struct-valued subquery.
+    baskets = slice_.sets.agg(F.struct(
+        zero_sum("GRAND_TOTAL_AMOUNT").cast("double").alias("revenue"),
+        F.count(F.lit(1)).alias("transactions"),
+    ))
+    row = one_row(
         stores.agg(F.count(F.lit(1)).alias("total_stores")),
         active_stores=slice_.daily.agg(n_unique("STORE_ID")),
         total_products=gtin.agg(F.count(F.lit(1))),
-        total_revenue=slice_.sets.agg(zero_sum("GRAND_TOTAL_AMOUNT").cast("double")),
-        total_transactions=slice_.sets.agg(F.count(F.lit(1))),
+        _baskets=baskets,
+    )
+    return row.select(
+        "total_stores", "active_stores", "total_products",
+        F.col("_baskets.revenue").alias("total_revenue"),
+        F.col("_baskets.transactions").alias("total_transactions"),
     )
 
 
