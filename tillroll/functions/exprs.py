@@ -109,11 +109,13 @@ def sized_broadcast(df, max_rows: int = 1_000_000):
     """Broadcast ``df`` only after checking its row count against ``max_rows``.
 
     For dimension tables (products, stores) whose size is unknown up front.
-    The count is one cheap action (Parquet answers it from footers when no
-    filter applies). Above the bound the frame is returned unchanged and the
-    planner falls back to a shuffle join (AQE may still switch to broadcast
-    from the *measured* shuffle size).
+    The check reads at most ``max_rows + 1`` rows (a limited count), so a
+    huge table passed by mistake costs a bounded read, not a full scan.
+    Above the bound the frame is returned unchanged and the planner falls
+    back to a shuffle join (AQE may still switch to broadcast from the
+    *measured* shuffle size).
     """
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.count() <= max_rows else df
+    if max_rows < 0:
+        return df
+    within = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if within else df
