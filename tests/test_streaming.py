@@ -58,3 +58,16 @@ def test_land_census_keeps_latest_response_per_key(spark, tmp_path):
     out = pages.land_census({"geocode_raw": geo, "tract_raw": tract, "county_raw": county}, str(tmp_path / "c"))
     rows = out["store_tract"].collect()
     assert len(rows) == 1 and rows[0].TRACT == "000200"
+
+
+def test_land_census_ttl_drops_stale_responses(spark, tmp_path):
+    from tillroll.plans import pages
+    from tillroll.sources.schemas import COUNTY_RAW, TRACT_RAW
+
+    now = dt.datetime.now()
+    geo = spark.createDataFrame([("1", _payload("000100"), now - dt.timedelta(hours=5)),
+                                 ("2", _payload("000200"), now - dt.timedelta(minutes=5))], GEOCODE_RAW)
+    raw = {"geocode_raw": geo, "tract_raw": spark.createDataFrame([], TRACT_RAW),
+           "county_raw": spark.createDataFrame([], COUNTY_RAW)}
+    out = pages.land_census(raw, str(tmp_path / "c"), ttl_seconds=7200)
+    assert [r.STORE_ID for r in out["store_tract"].collect()] == ["2"]

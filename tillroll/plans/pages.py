@@ -149,15 +149,21 @@ def payments_page(t: Tables, year=None, months=None, selection: Iterable[str] =
     }, cached)
 
 
-def land_census(census_raw: Mapping[str, DataFrame], out_dir: str) -> dict[str, DataFrame]:
+def land_census(census_raw: Mapping[str, DataFrame], out_dir: str,
+                ttl_seconds: int | None = None) -> dict[str, DataFrame]:
     """S6/S7 for the lookups: parse the landed responses once and write the
     parsed tables (store -> tract, tract ACS, county ACS) as Parquet, as the
     dashboard cached them in files; returns the re-read tables.
 
     When responses carry ``fetched_at`` and a key was fetched more than once,
-    only its latest response is kept, so the enrichment joins stay 1:1.
+    only its latest response is kept, so the enrichment joins stay 1:1. With
+    ``ttl_seconds`` (the dashboard cached lookups for 7,200 s) older
+    responses are ignored, so their keys return to the pending work list.
     """
     spark = next(iter(census_raw.values())).sparkSession
+    if ttl_seconds is not None:
+        census_raw = {k: (tables.read_if_fresh(v, ttl_seconds) if "fetched_at" in v.columns else v)
+                      for k, v in census_raw.items()}
     parsed = {
         "store_tract": (census.parse_geocode(census_raw["geocode_raw"]), ["STORE_ID"]),
         "tract_acs": (census.parse_tract_acs(census_raw["tract_raw"]), ["STATEFP", "COUNTYFP", "TRACT"]),
