@@ -37,6 +37,14 @@ def _pull(frames: dict) -> int:
     return n
 
 
+def _sf_number(sf_dir: str):
+    tag = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        return float(tag)
+    except ValueError:
+        return tag
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -90,7 +98,7 @@ def main() -> None:
         "value": round(sum(med.values()), 3),
         "unit": "sec",
         "queries": med,
-        "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
+        "sf": _sf_number(sf_dir),
         "cpus": cpus,
         "reps": reps,
         "spark": spark.version,
