@@ -36,22 +36,26 @@ def store_activity(stores: DataFrame, daily: DataFrame, period_daily: DataFrame)
     )
 
 
-def home_kpis(stores: DataFrame, gtin: DataFrame, slice_) -> DataFrame:
+def home_kpis(stores: DataFrame, gtin: DataFrame, slice_, daily: DataFrame | None = None) -> DataFrame:
     """A16 (home page): store counts, product count, period revenue and
-    transactions (from baskets)."""
+    transactions (from baskets). With ``daily`` the row also carries
+    ``active_ever`` (stores with sales in any period), so the home page's
+    store-count panel (A17) needs no second frame."""
     # Both basket numbers come from one scan: a struct-valued subquery.
     baskets = slice_.sets.agg(F.struct(
         zero_sum("GRAND_TOTAL_AMOUNT").cast("double").alias("revenue"),
         F.count(F.lit(1)).alias("transactions"),
     ))
+    extra = {"active_ever": daily.agg(n_unique("STORE_ID"))} if daily is not None else {}
     row = one_row(
         stores.agg(F.count(F.lit(1)).alias("total_stores")),
         active_stores=slice_.daily.agg(n_unique("STORE_ID")),
         total_products=gtin.agg(F.count(F.lit(1))),
         _baskets=baskets,
+        **extra,
     )
     return row.select(
-        "total_stores", "active_stores", "total_products",
+        "total_stores", *extra, "active_stores", "total_products",
         F.col("_baskets.revenue").alias("total_revenue"),
         F.col("_baskets.transactions").alias("total_transactions"),
     )

@@ -54,11 +54,12 @@ def _slice(t: Tables, year, months) -> period.Slice:
 
 
 def home_page(t: Tables, year: int | None = None, months: Iterable[int] | None = None) -> dict[str, DataFrame]:
-    """Headline KPIs and store counts for the period."""
+    """Headline KPIs and store counts for the period (one KPI row that
+    also carries the store-count panel: master, active ever, active in the
+    period)."""
     sl = _slice(t, year, months)
     return {
-        "kpis": kpis.home_kpis(t["stores"], t["gtin"], sl),
-        "store_activity": kpis.store_activity(t["stores"], t["daily"], sl.daily),
+        "kpis": kpis.home_kpis(t["stores"], t["gtin"], sl, daily=t["daily"]),
         "year_options": present.year_options(t["daily"]),
     }
 
