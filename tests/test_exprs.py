@@ -48,3 +48,9 @@ def test_currency_and_thousands(spark):
 def test_ratio_is_double(spark):
     df = spark.range(1).select(ratio(F.lit(1), F.lit(3)).alias("x"))
     assert dict(df.dtypes)["x"] == "double"
+
+
+def test_months_subtitle():
+    from tillroll.operators.present import months_subtitle
+
+    assert months_subtitle([1, 2, 3]) == "Months: 1, 2, 3"

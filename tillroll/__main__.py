@@ -81,6 +81,10 @@ def main(argv: list[str] | None = None) -> None:
     order = {"weekly": products.weekly_order(), "state_summary": demographics.summary_order(),
              "drop": ["revenue" if a.rank_by == "revenue" else a.rank_by, "BRAND"],
              "top": ["total_revenue"], "performance": ["revenue"]}
+    if a.page == "top_products":
+        from tillroll.operators.present import months_subtitle
+
+        print(months_subtitle(months or range(1, 13)))
     with pd.option_context("display.width", 200, "display.max_columns", 40):
         for name, df in page.items():
             print(f"== {name}")

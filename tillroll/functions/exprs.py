@@ -50,11 +50,6 @@ def ratio(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(_col(num).cast("double"), _col(den).cast("double"))
 
 
-def money_sum(c: str | Column) -> Column:
-    """Exact decimal sum (0 for empty groups) of an amount column."""
-    return zero_sum(_col(c).cast("decimal(18,2)"))
-
-
 def cents(c: str | Column) -> Column:
     """Exact integer cents of a 2-decimal amount.
 
@@ -71,10 +66,6 @@ def from_cents(c: str | Column) -> Column:
     return (_col(c).cast("decimal(38,0)") / F.lit(100)).cast("decimal(38,2)")
 
 
-def as_double(c: str | Column) -> Column:
-    return _col(c).cast("double")
-
-
 def matches_any(cols: Iterable[str], words: Iterable[str]) -> Column:
     """Case-insensitive "contains any word" over several nullable columns.
 

@@ -10,8 +10,6 @@ handling is observable. The same mapping is written in SQL for the oracle
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,6 @@ from tillroll.operators.rollup import daily_rollup
 from tillroll.sources.tables import load_table
 from tillroll.sources.schemas import ACS_VARS
 
-DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 FACT_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}   # basket id of each fact table
 
 # Fixture mapping of part types to categories, and of order
@@ -210,7 +207,3 @@ def census_tables(spark: SparkSession, sf_dir: str, stores: DataFrame | None = N
         "tract_raw": tract_payloads(tracts),
         "county_raw": county_payloads(read_driver(spark, sf_dir, "nation")),
     }
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
