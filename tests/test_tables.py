@@ -53,3 +53,18 @@ def test_load_daily_normalises_week_column(spark, small_tables, tmp_path):
     assert "CALENDAR_WEEK" in d.columns and "WEEk" not in d.columns
     assert d.count() == small_tables["daily"].count()
     assert dict(d.dtypes)["TOTAL_REVENUE_AMOUNT"] == "decimal(18,2)"
+
+
+def test_store_contract_requires_coordinates(spark, small_tables):
+    from tillroll.sources.schemas import STORES
+
+    with pytest.raises(ValueError, match="LATITUDE"):
+        tables.check_contract(small_tables["stores"], STORES, "stores")
+    full = small_tables["stores"].withColumns({"LATITUDE": F.lit(43.6), "LONGITUDE": F.lit(-111.9)})
+    assert tables.check_contract(full, STORES).columns == [f.name for f in STORES.fields]
+
+
+def test_stack_unions_by_name(spark):
+    a = spark.createDataFrame([(1, "x")], "k int, v string")
+    b = spark.createDataFrame([("y", 2)], "v string, k int")
+    assert sorted(tuple(r) for r in tables.stack([a, b]).collect()) == [(1, "x"), (2, "y")]
