@@ -141,3 +141,59 @@ def fresh(df: DataFrame, **columns: str) -> DataFrame:
 
 def cpu_count() -> int:
     return os.cpu_count() or 1
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """Bytes of an integer array, plane by plane (first all lowest bytes, ...), compressed."""
+    import zstandard
+
+    a = np.ascontiguousarray(a)
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else np.zeros((0,), np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unsqueeze(data, dtype) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
+
+
+def squeeze_sorted(a: np.ndarray) -> bytes:
+    """For sorted unsigned 64-bit integers: their differences."""
+    return squeeze(np.diff(a.astype(U64, copy=False), prepend=U64(0)))
+
+
+def unsqueeze_sorted(data) -> np.ndarray:
+    return np.cumsum(unsqueeze(data, U64), dtype=U64)
+
+
+def components(edges: DataFrame, tag: str) -> DataFrame:
+    """(node, component) of every node on an edge (a, b: long); component: the smallest node reachable.
+
+    Each round every node hooks onto its smallest neighbour, paths are halved, and the edges between the
+    roots that remain go on; the edges shrink by a factor each round. All tables stay distributed; each
+    round's are landed in the shared folder.
+    """
+    def distinct(e: DataFrame) -> DataFrame:
+        return e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    e = land(distinct(edges), f"{tag}-edges")
+    mapping = None
+    while not e.isEmpty():
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        p = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
+        up = p.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        p = land(p.join(up, "root").select("node", F.col("above").alias("root")), f"{tag}-roots")
+        root_a = p.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        root_b = p.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        e = land(distinct(e.join(root_a, "a").join(root_b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))), f"{tag}-edges")
+        if mapping is None:
+            mapping = p
+        else:
+            on = p.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            mapping = land(mapping.join(on, "root", "left").select("node", F.coalesce("above", "root").alias("root")), f"{tag}-map")
+    if mapping is None:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return mapping.select("node", F.col("root").alias("component"))

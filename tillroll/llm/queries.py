@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import automaton_bpe, heap_bpe, id_shards, pareto_mix
+from tillroll.llm import automaton_bpe, count_rtree, heap_bpe, id_shards, pareto_mix, weak_labels
 from tillroll.llm.common import WORD, read
 
 
@@ -18,6 +18,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(read(spark, sf_dir, "documents"))
 
 
+def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_shards.encode_and_read(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
@@ -26,10 +30,14 @@ def op6_heap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heap_bpe.count_tokens(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_rtree.jaccard_components(read(spark, sf_dir, "documents"), k=5, percent=80)
+
+
 def op9_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton_bpe.encode_texts(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op3_id_shards, op6_heap_bpe, op9_automaton_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_weak_labels, op3_id_shards, op6_heap_bpe, op7_count_rtree, op9_automaton_bpe)}
 
 ORACLE: dict[str, str] = {}
