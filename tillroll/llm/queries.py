@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import automaton_bpe, count_rtree, heap_bpe, id_shards, pareto_mix, weak_labels
+from tillroll.llm import automaton_bpe, count_rtree, heap_bpe, id_shards, itq_dups, nn_descent, pareto_mix, weak_labels
 from tillroll.llm.common import WORD, read
 
 
@@ -26,6 +26,10 @@ def op3_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_shards.encode_and_read(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest_rows(read(spark, sf_dir, "embeddings"), every=20, count=20)
+
+
 def op6_heap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heap_bpe.count_tokens(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -34,10 +38,14 @@ def op7_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_rtree.jaccard_components(read(spark, sf_dir, "documents"), k=5, percent=80)
 
 
+def op8_itq_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dups.near_duplicates(read(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op9_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton_bpe.encode_texts(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_weak_labels, op3_id_shards, op6_heap_bpe, op7_count_rtree, op9_automaton_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_weak_labels, op3_id_shards, op5_nn_descent, op6_heap_bpe, op7_count_rtree, op8_itq_dups, op9_automaton_bpe)}
 
 ORACLE: dict[str, str] = {}
