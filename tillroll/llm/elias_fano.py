@@ -26,8 +26,10 @@ def encode(values: np.ndarray) -> bytes:
         raise ValueError("the values must not fall")
     low = max(0, (u // max(n, 1)).bit_length() - 1)
     if low and n:
-        bits = (v[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)
-        lows = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
+        step = 1 << 15   # a multiple of 8 values fills whole bytes
+        lows = np.concatenate([
+            np.packbits(((v[a:a + step, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+            for a in range(0, n, step)])
     else:
         lows = np.zeros(0, np.uint8)
     high = np.zeros(((u >> low) + n + 8) // 8, np.uint8)

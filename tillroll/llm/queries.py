@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import automaton_bpe, count_rtree, heap_bpe, id_shards, itq_dups, nn_descent, pareto_mix, weak_labels
-from tillroll.llm.common import WORD, read
+from tillroll.llm import (automaton_bpe, compact_windows, count_rtree, heap_bpe, id_shards, itq_dups, ngram_trie, nn_descent, pareto_mix,
+                          weak_labels)
+from tillroll.llm.common import read
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +27,10 @@ def op3_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_shards.encode_and_read(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(read(spark, sf_dir, "documents"), k=5, least=50, percent=80)
+
+
 def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest_rows(read(spark, sf_dir, "embeddings"), every=20, count=20)
 
@@ -46,6 +51,11 @@ def op9_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton_bpe.encode_texts(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_weak_labels, op3_id_shards, op5_nn_descent, op6_heap_bpe, op7_count_rtree, op8_itq_dups, op9_automaton_bpe)}
+def op10_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_weak_labels, op3_id_shards, op4_compact_windows, op5_nn_descent, op6_heap_bpe, op7_count_rtree,
+                                    op8_itq_dups, op9_automaton_bpe, op10_ngram_trie)}
 
 ORACLE: dict[str, str] = {}
