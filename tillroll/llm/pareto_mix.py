@@ -17,7 +17,7 @@ result. A source without words has target 0 and takes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import WORD, fresh, land
@@ -48,17 +48,23 @@ def targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFra
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(F.col("water") * F.col("w")).alias("target"))
 
 
+def draw_of(doc_id: Column, source: Column, text: Column, seed: str) -> Column:
+    """The hash that decides a document's draw (hexadecimal)."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.md5(F.concat_ws("|", F.lit(seed), part(doc_id), part(source), part(text)))
+
+
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix-1", weight: str | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, source) of every document.
+    """(doc_id, size, source_size, target, taken, copies, source, draw) of every document.
 
     ``weight``: an optional column of positive relative odds of the documents' last copy.
     """
     names = {"doc_id": "doc_id", "text": "text", "source": "source"} | ({"odds": weight} if weight else {})
     d = fresh(docs, **names)
     text = F.coalesce("text", F.lit(""))
-    draw = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), text))
+    draw = draw_of(F.col("doc_id"), F.col("source"), F.col("text"), seed)
     d = d.select(
-        "doc_id", "source", F.coalesce(F.col("odds"), F.lit(1.0)).cast("double").alias("odds") if weight else F.lit(1.0).alias("odds"),
+        "doc_id", draw.alias("draw"), "source", F.coalesce(F.col("odds"), F.lit(1.0)).cast("double").alias("odds") if weight else F.lit(1.0).alias("odds"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         ((F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)).alias("u"))
     d = land(d, "mix-sizes")   # narrow: the texts are read once
@@ -91,7 +97,15 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix-
     started = F.col("reached") - F.col("step") < F.col("rest")
     inner = inner.withColumn("more", (started & ((F.col("reached") <= F.col("rest")) | nearer)).cast("int"))
     outer = ranked.where(~crossing).withColumn("more", (F.col("before") + F.col("words") <= F.col("rest")).cast("int"))
-    columns = ["doc_id", "size", "source_size", "target", "whole", "more", "p", "source"]
+    columns = ["doc_id", "size", "source_size", "target", "whole", "more", "p", "source", "draw"]
     both = outer.select(*columns).unionByName(inner.select(*columns))
     copies = F.col("whole") + F.when(F.col("p") > 0, F.col("more")).otherwise(0)
-    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"), "source")
+    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"), "source", "draw")
+
+
+def mixed(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix-1") -> DataFrame:
+    """The mix itself: every document as often as it is taken, with all its columns."""
+    copies = mix(docs, share, cap, seed).where("copies > 0").select(F.col("draw").alias("_mix_draw"), F.col("copies").alias("_mix_copies")).distinct()
+    draw = draw_of(docs["doc_id"], docs["source"], docs["text"], seed)
+    taken = docs.join(copies, draw == F.col("_mix_draw"))
+    return taken.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[docs[c] for c in docs.columns])

@@ -71,7 +71,6 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     def mean(of_word: np.ndarray) -> np.ndarray:
         return np.bincount(doc, weights=of_word, minlength=len(n)) / per
 
-    found = pc.index_in(dictionary.cast(pa.large_string()), value_set=pa.array(INSULTS, pa.large_string()))
     bare = pc.utf8_trim(dictionary, ".,;:!?\"'()")
     found = pc.is_in(bare.cast(pa.large_string()), value_set=pa.array(INSULTS, pa.large_string())).to_numpy(zero_copy_only=False)
     return out | {
@@ -185,8 +184,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, d
     return w.astype(np.float32), float(bias)
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, p_good, p_toxic, kept) of every document. ``labels``: (doc_id, quality, toxic), 1, 0 or null."""
+def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE):
+    """The trained scorer, ``texts -> (p_good, p_toxic)``. ``labels``: (doc_id, quality, toxic), 1, 0 or null."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     d = fresh(docs, doc_id="doc_id", text="text")
@@ -237,14 +236,36 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAM
         trained.append(train([(np.frombuffer(r["w"], np.int32), np.frombuffer(r["s"], np.int32), float(x)) for r, x in zip(rows, p, strict=True)]))
     shipped = spark.sparkContext.broadcast(trained)   # 2 x BUCKETS weights
 
-    def score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = shipped.value
+    def score(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words, shapes, s = features(texts)
+        good, toxic = (np.array([1 / (1 + math.exp(-max(-30.0, min(30.0, margin(a, b, w, bias))))) for a, b in zip(words, shapes, strict=True)]) for w, bias in shipped.value)
+        return np.where(s["n"] == 0, 0.0, good), np.where(s["n"] == 0, 0.0, toxic)
+
+    return score
+
+
+def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, p_good, p_toxic, kept) of every document."""
+    score = fit(docs, labels, sample)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words, shapes, s = features(part.column("text"))
-                good, toxic = (np.array([1 / (1 + math.exp(-max(-30.0, min(30.0, margin(a, b, w, bias))))) for a, b in zip(words, shapes, strict=True)]) for w, bias in both)
-                good[s["n"] == 0] = 0.0
-                toxic[s["n"] == 0] = 0.0
+                good, toxic = score(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(good), pa.array(toxic), pa.array((good >= threshold) & (toxic < threshold))], ["doc_id", "p_good", "p_toxic", "kept"])
 
-    return d.mapInArrow(score_rows, f"doc_id {kind}, p_good double, p_toxic double, kept boolean")
+    return fresh(docs, doc_id="doc_id", text="text").mapInArrow(run, f"doc_id {kind}, p_good double, p_toxic double, kept boolean")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    score = fit(docs, labels, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                good, toxic = score(part.column("text"))
+                yield part.filter(pa.array((good >= threshold) & (toxic < threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
