@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,19 +63,12 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words of many texts at once, A-Z lower-cased.
 
     Returns (bounds, codes, dictionary): text i has the words ``codes[bounds[i]:bounds[i + 1]]``, numbers
-    into ``dictionary``. A null text has no words.
+    into ``dictionary`` (binary). A null text has no words.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    flat = lists.flatten()
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    offsets = offsets - offsets[0]
-    full = pc.not_equal(pc.binary_length(flat), 0)
-    if not pc.all(full, min_count=0).as_py():   # leading or trailing white space leaves empty strings
-        keep = full.to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
-        flat = flat.filter(full)
-    enc = flat.dictionary_encode()
-    return offsets, enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), enc.dictionary
+    words = [t.lower().split() for t in pc.fill_null(texts, "").cast(pa.binary()).to_pylist()]   # bytes: ASCII only
+    bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, count=len(words)))]).astype(np.int64)
+    enc = pa.array(list(chain.from_iterable(words)), pa.large_binary()).dictionary_encode()
+    return bounds, enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), enc.dictionary
 
 
 def hash_words(dictionary: pa.Array) -> np.ndarray:

@@ -54,6 +54,7 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     again = np.zeros(len(codes), bool)
     again[1:] |= (codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])
     again[2:] |= (codes[2:] == codes[:-2]) & (doc[2:] == doc[:-2])
+    dictionary = dictionary.cast(pa.large_string())
     lengths = pc.utf8_length(dictionary).to_numpy(zero_copy_only=False)
     ends = pc.match_substring_regex(dictionary, r"[.!?,;:]$").to_numpy(zero_copy_only=False)
     unique = [np.unique(codes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -72,7 +73,7 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
         return np.bincount(doc, weights=of_word, minlength=len(n)) / per
 
     bare = pc.utf8_trim(dictionary, ".,;:!?\"'()")
-    found = pc.is_in(bare.cast(pa.large_string()), value_set=pa.array(INSULTS, pa.large_string())).to_numpy(zero_copy_only=False)
+    found = pc.is_in(bare, value_set=pa.array(INSULTS, pa.large_string())).to_numpy(zero_copy_only=False)
     return out | {
         "n": n, "repeats": mean(again), "variety": np.array([len(u) for u in unique]) / np.sqrt(per), "sentences": mean(ends[codes]),
         "length": mean(lengths[codes]), "insults": np.bincount(doc, weights=found[codes], minlength=len(n)), "unique": unique, "dictionary": dictionary}
@@ -133,7 +134,7 @@ def features(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], dict[
     """Hashed features of each text: of its distinct words (the word, its first five characters, its shape) and,
     apart, of its statistics in steps."""
     s = statistics(texts)
-    d = s["dictionary"].cast(pa.large_string())
+    d = s["dictionary"]
     mask = np.uint64(BUCKETS - 1)
 
     def hashed(values: pa.Array, salt: int) -> np.ndarray:
