@@ -16,9 +16,9 @@ def test_bucketed_basket_join_has_no_exchange(spark, small_tables):
     try:
         items = tables.write_bucketed(small_tables["items"], "items_b", "TRANSACTION_SET_ID", 4)
         sets = tables.write_bucketed(small_tables["sets"], "sets_b", "TRANSACTION_SET_ID", 4)
-        lines = payments.payment_lines(sets, items, small_tables["gtin"])  # products broadcast (size-checked)
+        lines = payments.payment_lines(sets, items, small_tables["gtin"])
         summary = payments.payment_summary(lines)
-        plan = _plan(summary)
+        plan = _plan(lines.baskets)
         below_join = plan.split("SortMergeJoin [TRANSACTION_SET_ID")[1]
         assert "Exchange hashpartitioning(TRANSACTION_SET_ID" not in below_join
         # same numbers as the unbucketed plan

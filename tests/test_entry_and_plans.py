@@ -32,14 +32,38 @@ def test_semi_join_for_period_items(spark):
     assert "LeftSemi" in plan
 
 
-def test_weekly_broadcasts_bounded_top_k(spark):
-    plan = _plan(QUERIES["weekly_top_products"](spark, SF))
-    assert "LeftSemi" in plan and "BroadcastExchange" in plan
+def test_one_pass_answers_the_top_list_and_its_weeks(spark):
+    """The line table is scanned by the one kept product x week frame, however many results read it."""
+    for name in ("weekly_top_products", "top_products_kpis"):
+        df = QUERIES[name](spark, SF)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in re.sub(r"(?s)InMemoryRelation.*?(?=InMemoryRelation|$)", "InMemoryRelation", plan)
+        assert df.count() > 0
+
+
+def test_building_a_query_starts_no_count_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "build")
+    try:
+        for name in ("top_products", "payment_summary_published", "daily_rollup"):
+            QUERIES[name](spark, SF)
+        jobs = [j for j in tracker.getJobIdsForGroup("build")]
+        # reading a Parquet footer for the schema may start a job of one task; nothing else does
+        assert all(tracker.getStageInfo(s) is None or tracker.getStageInfo(s).numTasks <= 1 for j in jobs for s in tracker.getJobInfo(j).stageIds)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_period_reaches_the_basket_scan(spark):
+    for name in ("filter_year_month", "home_kpis", "store_activity"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+        pushed = [x for x in re.findall(r"PushedFilters: \[([^\]]*)", plan)]
+        assert any("GreaterThanOrEqual(o_orderdate" in x and "LessThan(o_orderdate" in x for x in pushed), name
 
 
 def test_basket_aggregate_reuses_join_partitioning(spark):
-    """With no broadcast (as at scale) the per-basket aggregate sits in the
-    same stage as the basket join: no exchange between them."""
+    """With no broadcast (as at scale) the first aggregate over the joined lines sits in the same stage as the
+    basket join: no exchange between them."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     aqe = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -49,14 +73,9 @@ def test_basket_aggregate_reuses_join_partitioning(spark):
         from tillroll.sources import fixtures
 
         t = fixtures.retail_tables(spark, SF)
-        lines = payments.payment_lines(t["sets"], t["items"], t["gtin"], max_product_rows=-1)
-        plan = _plan(payments.payment_summary(lines))
-        lines_ = plan.splitlines()
-        smj = next(i for i, l in enumerate(lines_) if "SortMergeJoin" in l and "TRANSACTION_SET_ID" in l)
-        above = "\n".join(lines_[:smj])
-        # exactly one exchange above the basket join: the final, tiny by-type one
-        assert above.count("Exchange hashpartitioning") == 1
-        assert "PAYMENT_TYPE" in above.split("Exchange hashpartitioning")[1].split("\n")[0]
+        plan = _plan(payments.payment_lines(t["sets"], t["items"], t["gtin"]).baskets)
+        above = plan[: plan.index("SortMergeJoin")]
+        assert "HashAggregate" in above and "Exchange" not in above
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.set("spark.sql.adaptive.enabled", aqe)

@@ -3,36 +3,22 @@ import json
 
 from tillroll.sources import census
 from tillroll.sources.schemas import GEOCODE_RAW
-from tillroll.streaming import land_responses
 
 
 def _payload(tract):
     return json.dumps({"result": {"geographies": {"Census Tracts": [{"STATE": "16", "COUNTY": "051", "TRACT": tract}]}}})
 
 
-def test_landing_stream_is_incremental(spark, tmp_path):
-    landing, out, ckpt = str(tmp_path / "landing"), str(tmp_path / "parsed"), str(tmp_path / "ckpt")
-    t0 = dt.datetime(2024, 1, 1)
-    spark.createDataFrame([("1", _payload("000100"), t0), ("2", "bad", t0)], GEOCODE_RAW) \
-        .write.mode("append").parquet(landing)
-    land_responses(spark, landing, GEOCODE_RAW, census.parse_geocode, out, ckpt)
-    first = spark.read.parquet(out)
-    assert first.count() == 2
-    assert {r.STORE_ID: r.TRACT for r in first.collect()} == {"1": "000100", "2": None}
-
-    # a second landing: only the new file is parsed; a re-fetch of store 2 lands too
-    t1 = dt.datetime(2024, 1, 2)
-    spark.createDataFrame([("3", _payload("000300"), t1), ("2", _payload("000200"), t1)], GEOCODE_RAW) \
-        .write.mode("append").parquet(landing)
-    land_responses(spark, landing, GEOCODE_RAW, census.parse_geocode, out, ckpt)
-    allrows = spark.read.parquet(out)
-    assert allrows.count() == 4
-    newest = {r.STORE_ID: r.TRACT for r in census.latest(allrows, ["STORE_ID"]).collect()}
-    assert newest == {"1": "000100", "2": "000200", "3": "000300"}
-
-    # nothing new landed: a rerun appends nothing
-    land_responses(spark, landing, GEOCODE_RAW, census.parse_geocode, out, ckpt)
-    assert spark.read.parquet(out).count() == 4
+def test_failed_retry_keeps_the_earlier_tract(spark):
+    from pyspark.sql import functions as F
+
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    raw = spark.createDataFrame([("1", _payload("000100"), t0), ("1", "Gateway Time-out", t1), ("2", "bad", t0)], GEOCODE_RAW)
+    parsed = census.parse_geocode(raw)
+    kept = census.latest(parsed, ["STORE_ID"], ok=F.col("TRACT").isNotNull())
+    assert {r.STORE_ID: r.TRACT for r in kept.collect()} == {"1": "000100", "2": None}
+    stores = spark.createDataFrame([(1, 43.0, -111.0), (2, 44.0, -112.0), (3, None, None)], "STORE_ID bigint, LATITUDE double, LONGITUDE double")
+    assert {r.STORE_ID for r in census.pending_stores(stores, kept).collect()} == {"2", "3"}
 
 
 def test_read_if_fresh(spark):

@@ -41,8 +41,8 @@ def duck():
 
 
 def _names():
-    from __spark_entry__ import oracle_sql
-    return sorted(oracle_sql())
+    from tillroll.plans.oracle import ORACLE
+    return sorted(ORACLE)
 
 
 @pytest.mark.skipif(not os.path.exists(SF_ORACLE), reason="driver data missing")
@@ -65,5 +65,6 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    from __spark_entry__ import oracle_sql, queries
-    assert set(queries()) == set(oracle_sql())
+    from tillroll.plans.oracle import ORACLE
+    from tillroll.plans.queries import QUERIES
+    assert set(QUERIES) == set(ORACLE)

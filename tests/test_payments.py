@@ -48,7 +48,10 @@ def test_duplicate_gtin_doubles_lines_and_is_reported(spark):
            (12, "Drinks", None, "C", "P12")]
     sets, items, gtin = _frames(spark, dup)
     lines = payments.payment_lines(sets, items, gtin)
-    assert lines.where(F.col("GTIN") == 10).count() == 2
+    cash = _by_type(payments.payment_summary(lines))["CASH"]
+    assert cash.total_spend == 120 and cash.num_transactions == 1 and cash.total_items == 5   # four joined lines
+    p = {(r.PAYMENT_TYPE, r.SKUPOS_DESCRIPTION): r for r in payments.product_by_payment(lines).collect()}
+    assert p[("CASH", "P10")].revenue == 60 and p[("CASH", "P10")].purchase_count == 1
     prof = kpis.key_profile(gtin, "GTIN").first()
     assert prof.duplicates == 1
 
@@ -76,3 +79,16 @@ def test_product_by_payment_counts_distinct_baskets(spark):
     p = {(r.PAYMENT_TYPE, r.SKUPOS_DESCRIPTION): r for r in payments.product_by_payment(lines).collect()}
     assert p[("CASH", "P10")].purchase_count == 1
     assert p[("CASH", "P10")].revenue == 60  # basket total once per line (two lines)
+
+
+def test_selection_is_within_the_three_types(spark):
+    sets, items, gtin = _frames(spark)
+    mobile = sets.withColumn("PAYMENT_TYPE", F.lit("MOBILE"))
+    assert payments.payment_summary(payments.payment_lines(mobile, items, gtin, ["MOBILE"])).count() == 0
+
+
+def test_amounts_keep_three_decimals(spark):
+    sets, _, gtin = _frames(spark)
+    items = spark.createDataFrame([(1, 10, D("12.345"), D("3.459"))], "TRANSACTION_SET_ID bigint, GTIN bigint, UNIT_QUANTITY decimal(18,3), GRAND_TOTAL_AMOUNT decimal(18,3)")
+    row = _by_type(payments.payment_summary(payments.payment_lines(sets, items, gtin), "line"))["CASH"]
+    assert row.total_items == D("12.345") and row.total_spend == D("3.459")

@@ -31,7 +31,7 @@ def test_items_in_period_never_increases_rows(small_tables):
 
 def test_slice_totals_zero_when_empty(small_tables):
     t = small_tables
-    sl = period.period_slice(t["daily"], t["sets"], t["items"], 1996, [])
+    sl = period.period_slice(t, 1996, [])
     row = sl.totals().first()
     assert row.total_revenue == 0.0 and row.total_transactions == 0 and row.unique_stores == 0
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tillroll.operators import payments
+from tillroll.sources.schemas import ITEMS
+from tillroll.sources.tables import load_items
 
 SKEW_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -44,7 +46,8 @@ def _frames(spark):
     return items, sets, gtin
 
 
-def test_hot_basket_summary_exact(spark):
+def test_hot_basket_summary_exact(spark, tmp_path):
+    """Lines read through ``load_table``, products broadcast (by hint here, by AQE at run time otherwise)."""
     items, sets, gtin = _frames(spark)
     old = {k: spark.conf.get(k, None) for k in SKEW_CONF}
     for k, v in SKEW_CONF.items():
@@ -55,7 +58,9 @@ def test_hot_basket_summary_exact(spark):
         s_sets = spark.createDataFrame(sets, "TRANSACTION_SET_ID bigint, PAYMENT_TYPE string, "
                                              "GRAND_TOTAL_AMOUNT decimal(18,2)").repartition(8)
         s_gtin = spark.createDataFrame(gtin, "GTIN bigint, CATEGORY string, SKUPOS_DESCRIPTION string")
-        lines = payments.payment_lines(s_sets, s_items, s_gtin, max_product_rows=-1)
+        s_items.write.parquet(str(tmp_path / "items"))
+        s_items = load_items(spark, str(tmp_path / "items"), ITEMS)
+        lines = payments.payment_lines(s_sets, s_items, F.broadcast(s_gtin))
         summary = payments.payment_summary(lines)
         got = {r.PAYMENT_TYPE: r for r in summary.collect()}
         final_plan = summary._jdf.queryExecution().executedPlan().toString()

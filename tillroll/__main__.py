@@ -7,7 +7,8 @@
 Pages: home, validation, top_products, brands, payments, demographics.
 Without ``--geocode/--tract/--county`` the demographics page uses responses
 derived from the fixture tables. Each frame is pulled through the client
-edge (sorted where the page has a display order, capped at ``--max-rows``).
+edge whole, in its display order. ``--data`` reads the nine retail tables of a
+folder; the demographics page then needs the landed responses.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import argparse
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 
 def _ints(text: str | None):
@@ -24,7 +26,8 @@ def _ints(text: str | None):
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="python -m tillroll")
     ap.add_argument("page", choices=["home", "validation", "top_products", "brands", "payments", "demographics"])
-    ap.add_argument("--sf", default="/root/testdata/sf0.1", help="folder of the input tables")
+    ap.add_argument("--sf", default="/root/testdata/sf0.1", help="folder of the fixture tables")
+    ap.add_argument("--data", help="folder of the nine retail tables (instead of --sf)")
     ap.add_argument("--year", type=int, default=None, help="calendar year (default: all years)")
     ap.add_argument("--months", default=None, help="comma list, e.g. 1,2,3 (default: all)")
     ap.add_argument("--categories", default=None, help="top products: comma list of categories")
@@ -38,16 +41,15 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--tract", help="demographics: landed tract ACS responses (Parquet)")
     ap.add_argument("--county", help="demographics: landed county ACS responses (Parquet)")
     ap.add_argument("--clean", action="store_true", help="demographics: drop ACS annotation codes")
-    ap.add_argument("--max-rows", type=int, default=20)
     a = ap.parse_args(argv)
 
     from tillroll.operators import brands, demographics, products
     from tillroll.plans import pages
     from tillroll.session import local_session
-    from tillroll.sources import census, client, fixtures
+    from tillroll.sources import census, client, fixtures, tables
 
     spark = local_session()
-    t = fixtures.retail_tables(spark, a.sf)
+    t = tables.load_folder(spark, a.data) if a.data else fixtures.retail_tables(spark, a.sf)
     months = _ints(a.months)
     if a.page == "home":
         page = pages.home_page(t, a.year, months)
@@ -70,6 +72,8 @@ def main(argv: list[str] | None = None) -> None:
             raw = {"geocode_raw": spark.read.parquet(a.geocode), "tract_raw": spark.read.parquet(a.tract)}
             if a.county:
                 raw["county_raw"] = spark.read.parquet(a.county)
+        elif a.data:
+            ap.error("--data needs --geocode and --tract for the demographics page")
         else:
             raw = fixtures.census_tables(spark, a.sf, t["stores"])
         parsed = {"store_tract": census.parse_geocode(raw["geocode_raw"]),
@@ -78,9 +82,15 @@ def main(argv: list[str] | None = None) -> None:
             parsed["county_acs"] = census.parse_county_acs(raw["county_raw"])
         page = pages.demographics_page(t, parsed, a.year, months, clean=a.clean)
 
-    order = {"weekly": products.weekly_order(), "state_summary": demographics.summary_order(),
-             "drop": ["revenue" if a.rank_by == "revenue" else a.rank_by, "BRAND"],
-             "top": ["total_revenue"], "performance": ["revenue"]}
+    by_state = [F.asc_nulls_first("STATE"), "STORE_ID"]
+    order = {
+        "weekly": products.weekly_order(), "state_summary": demographics.summary_order(), "state_table": ["position"],
+        "drop": [a.rank_by, "BRAND"], "top": [F.desc("total_revenue"), *products.PRODUCT_KEYS], "performance": [F.desc("revenue"), "BRAND"],
+        "top_products": ["PAYMENT_TYPE", F.desc("purchase_count"), F.asc_nulls_first("SKUPOS_DESCRIPTION"), F.asc_nulls_first("CATEGORY")],
+        "summary": ["PAYMENT_TYPE"], "kpis": ["PAYMENT_TYPE"] if a.page == "payments" else None, "points": by_state, "enriched": by_state,
+        "income_box": [F.asc_nulls_first("STATE")], "pending_tracts": ["STATEFP", "COUNTYFP", "TRACT"], "pending_stores": ["STORE_ID"],
+        "year_options": ["y"], "profile": ["table_name", "column_name"], "row_counts": ["table_name"],
+    }
     if a.page == "top_products":
         from tillroll.operators.present import months_subtitle
 
@@ -88,7 +98,7 @@ def main(argv: list[str] | None = None) -> None:
     with pd.option_context("display.width", 200, "display.max_columns", 40):
         for name, df in page.items():
             print(f"== {name}")
-            print(client.to_client(df, a.max_rows, order.get(name)).to_string(index=False))
+            print(client.to_client(df, order.get(name)).to_string(index=False))
     if hasattr(page, "release"):
         page.release()
     spark.stop()

@@ -11,10 +11,11 @@ change numbers, so the operators always go through these helpers:
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 
 def _col(c: str | Column) -> Column:
@@ -50,20 +51,20 @@ def ratio(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(_col(num).cast("double"), _col(den).cast("double"))
 
 
-def cents(c: str | Column) -> Column:
-    """Exact integer cents of a 2-decimal amount.
+def exact(df: DataFrame, col: str) -> tuple[Column, Callable[[Column], Column]]:
+    """``col`` in whole units of its own last decimal place, and the way back from a sum of them.
 
-    Line-level sums run on these longs: ``sum(decimal(18,2))`` widens to a
-    38-digit buffer that leaves Spark's fast 64-bit decimal path, while a
-    long sum stays in it (about 1.4x faster per row measured locally). ANSI
-    mode raises on long overflow (9.2e16 currency units), never wraps.
+    Sums of a narrow decimal run on 64-bit integers (``sum(decimal(18,2))`` widens to a 38-digit buffer,
+    outside Spark's fast path) and lose nothing, whatever its scale. ANSI mode raises on overflow, never
+    wraps. Wider decimals, integers and doubles are summed as they are.
     """
-    return (_col(c).cast("decimal(18,2)") * F.lit(100)).cast("bigint")
-
-
-def from_cents(c: str | Column) -> Column:
-    """Exact decimal(38,2) amount from integer cents."""
-    return (_col(c).cast("decimal(38,0)") / F.lit(100)).cast("decimal(38,2)")
+    t = df.schema[col].dataType
+    if not isinstance(t, DecimalType) or t.precision > 18 or t.scale > 6:
+        return F.col(col), lambda c: c
+    if t.scale == 0:
+        return F.col(col).cast("bigint"), lambda c: c.cast("decimal(38,0)")
+    unit = F.lit(10**t.scale)
+    return (F.col(col) * unit).cast("bigint"), lambda c: (c.cast("decimal(38,0)") / unit).cast(f"decimal(38,{t.scale})")
 
 
 def matches_any(cols: Iterable[str], words: Iterable[str]) -> Column:
@@ -82,8 +83,9 @@ def matches_any(cols: Iterable[str], words: Iterable[str]) -> Column:
 
 
 def id_text(c: str | Column) -> Column:
-    """Normalise a numeric store id to text (``1`` never ``1.0``)."""
-    return _col(c).cast("bigint").cast("string")
+    """A store id as text: integers as such (``1``), doubles without ``.0``, text unchanged."""
+    text = _col(c).cast("string")
+    return F.regexp_replace(text, r"^(-?\d+)\.0$", "$1")
 
 
 def currency(c: str | Column, decimals: int = 2) -> Column:
@@ -94,19 +96,3 @@ def currency(c: str | Column, decimals: int = 2) -> Column:
 def thousands(c: str | Column, decimals: int = 0) -> Column:
     """``1,234`` text (fixed decimals, thousands separators)."""
     return F.format_number(_col(c).cast("double"), decimals)
-
-
-def sized_broadcast(df, max_rows: int = 1_000_000):
-    """Broadcast ``df`` only after checking its row count against ``max_rows``.
-
-    For dimension tables (products, stores) whose size is unknown up front.
-    The check reads at most ``max_rows + 1`` rows (a limited count), so a
-    huge table passed by mistake costs a bounded read, not a full scan.
-    Above the bound the frame is returned unchanged and the planner falls
-    back to a shuffle join (AQE may still switch to broadcast from the
-    *measured* shuffle size).
-    """
-    if max_rows < 0:
-        return df
-    within = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if within else df

@@ -14,10 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import id_text, zero_sum
+from tillroll.operators.present import formatted, present, rounded
 from tillroll.sources.schemas import ACS_VARS, HOME_VALUE, INCOME, POPULATION, POVERTY, TRACT_KEYS
 
 # Display names of the four variables the summary reports.
@@ -108,6 +109,17 @@ def state_summary(valid: DataFrame) -> DataFrame:
     )
 
 
+def state_table(summary: DataFrame) -> DataFrame:
+    """The state summary as displayed: means without decimals, incomes and home values as currency. O4: in the
+    order of ``position`` (one row a state, so one task)."""
+    money, counts = ["Avg_Median_Income", "Avg_Home_Value"], ["Stores", "Avg_Tract_Pop", "Avg_Below_Poverty"]
+    shown = present(summary.withColumn("position", F.row_number().over(Window.orderBy(*summary_order()))), {
+        "position": "position", "State": "STATE", "Stores": "store_count", "Avg_Tract_Pop": "avg_tract_pop",
+        "Avg_Median_Income": "avg_income", "Avg_Below_Poverty": "avg_poverty", "Avg_Home_Value": "avg_home_value",
+    })
+    return formatted(rounded(shown, [*money, *counts[1:]], 0), money=money, counts=counts)
+
+
 def box_stats(df: DataFrame, group: str, value: str, exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Quartiles (linear interpolation), min, max and 1.5 IQR fences.
 

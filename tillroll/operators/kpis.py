@@ -69,11 +69,24 @@ def table_profile(spec: Iterable[tuple[str, DataFrame, str]], approx: bool = Fal
     ~2% error) for very high-cardinality columns on huge tables.
     """
     distinct = approx_n_unique if approx else n_unique
-    parts = [
-        df.agg(F.count(F.lit(1)).alias("n_rows"), distinct(col).alias("n_distinct")).select(
-            F.lit(name).alias("table_name"), F.lit(col).alias("column_name"), "n_rows", "n_distinct")
-        for name, df, col in spec
-    ]
+    tables: dict[str, tuple[DataFrame, list[str]]] = {}
+    for name, df, col in spec:
+        tables.setdefault(name, (df, []))[1].append(col)
+    parts = []
+    for name, (df, cols) in tables.items():
+        row = df.agg(F.count(F.lit(1)).alias("n_rows"), *[distinct(c).alias(f"_{i}") for i, c in enumerate(cols)])
+        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_{i}").alias("n_distinct")) for i, c in enumerate(cols)])
+        parts.append(row.select(F.lit(name).alias("table_name"), "n_rows", F.explode(pairs).alias("_p")).select(
+            "table_name", "_p.column_name", "n_rows", "_p.n_distinct"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def row_counts(tables: Iterable[tuple[str, DataFrame]]) -> DataFrame:
+    """Rows of each table; no column is read."""
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, df in tables]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

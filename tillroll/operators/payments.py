@@ -4,21 +4,24 @@ J2/J3 ``payment_lines``, A4 ``payment_summary``, A5 ``product_by_payment``,
 W1 ``top_n_per_group``, A10 ``mean_of_group_means``.
 
 Scale notes. There are only three payment types, so grouping lines straight
-by type would send every line of a type through one reducer. Every
-aggregate here first reduces to one row per *basket* (per basket x product
-for A5). That step is keyed by the basket id, which is also the join key,
-so it runs inside the join's partitions with no shuffle; only the reduced
-rows (with map-side partial aggregation) reach the small final groups.
+by type would send every line of a type through one reducer. The chosen
+baskets join their lines first and are reduced to one row per basket and
+GTIN inside the join's partitions. The summary needs no product attribute:
+only how often a GTIN occurs in the product master (a duplicate multiplies
+its lines, as published), then one row per basket. Product attributes are
+joined to the reduced rows, for A5 alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.exprs import cents, from_cents, ratio, sized_broadcast
+from tillroll.functions.exprs import exact, ratio
+from tillroll.operators.present import formatted, present, rounded
 
 # The payment types compared, and the default selection.
 PAYMENT_TYPES = ("CASH", "CREDIT", "DEBIT")
@@ -27,55 +30,60 @@ DEFAULT_SELECTION = ("CASH", "CREDIT")
 AMOUNT_BASES = ("basket_per_line", "basket", "line")
 
 
-def payment_lines(sets: DataFrame, items: DataFrame, gtin: DataFrame,
-                  types: Iterable[str] = PAYMENT_TYPES, max_product_rows: int = 1_000_000) -> DataFrame:
-    """J2 + J3: one row per basket line of a chosen payment type, with the
-    product's category/description (left join: unknown products kept).
+MEASURES = ("set_amount_lines", "n_set_amount", "line_amount", "n_line_amount", "units")
 
-    Both amounts are kept under distinct names: ``set_amount`` (the basket
-    total, repeated on each of its lines) and ``line_amount``. The type
-    filter is applied to the basket table before the join. The product
-    master is broadcast when its row count is within ``max_product_rows``.
-    """
-    baskets = sets.where(F.col("PAYMENT_TYPE").isNotNull() & F.col("PAYMENT_TYPE").isin(list(types))).select(
-        "TRANSACTION_SET_ID", "PAYMENT_TYPE", F.col("GRAND_TOTAL_AMOUNT").alias("set_amount"),
-    )
-    lines = items.select(
-        "TRANSACTION_SET_ID", "GTIN", "UNIT_QUANTITY", F.col("GRAND_TOTAL_AMOUNT").alias("line_amount"),
-    )
-    products = sized_broadcast(gtin.select("GTIN", "CATEGORY", "SKUPOS_DESCRIPTION"), max_product_rows)
-    # Product join first, basket join last: the basket-keyed partitioning it
-    # leaves behind is what the per-basket aggregates below reuse.
-    return lines.join(products, "GTIN", "left").join(baskets, "TRANSACTION_SET_ID", "inner")
 
+@dataclass(frozen=True)
+class PaymentLines:
+    """The lines of the chosen baskets, reduced to one row per basket and GTIN, and the product master.
 
-def basket_products(lines: DataFrame) -> DataFrame:
-    """One row per basket x payment type x product (description, category)
-    with every measure the payment page needs.
-
-    Keyed by the basket id (the join key), so it runs inside the join's
-    partitions. Both A4 and A5 roll up from it, so a page that shows both
-    can persist this frame (at most one row per line, only key and measure
-    columns) and scan it twice instead of repeating the basket join.
+    ``baskets`` columns: TRANSACTION_SET_ID, PAYMENT_TYPE, GTIN, ``set_amount_lines`` (basket total x its
+    lines), ``n_set_amount``, ``basket_amount`` (once), ``line_amount``, ``n_line_amount``, ``units``; amounts
+    in whole units of the input's scale, which ``set_back``, ``line_back`` and ``units_back`` undo.
     """
-    set_c, line_c, qty_c = cents("set_amount"), cents("line_amount"), cents("UNIT_QUANTITY")
-    return lines.groupBy("TRANSACTION_SET_ID", "PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY").agg(
-        F.sum(set_c).alias("set_amount_lines"),   # basket total x its lines (cents)
-        F.count(set_c).alias("n_set_amount"),
-        F.max(set_c).alias("basket_amount"),      # basket total once (cents)
-        F.sum(line_c).alias("line_amount"),
-        F.count(line_c).alias("n_line_amount"),
-        F.sum(qty_c).alias("units"),
+
+    baskets: DataFrame
+    gtin: DataFrame
+    set_back: Callable[[Column], Column]
+    line_back: Callable[[Column], Column]
+    units_back: Callable[[Column], Column]
+
+
+def payment_lines(sets: DataFrame, items: DataFrame, gtin: DataFrame, types: Iterable[str] = PAYMENT_TYPES) -> PaymentLines:
+    """Baskets of the chosen types (always of ``PAYMENT_TYPES``) joined with all their lines."""
+    chosen = [t for t in types if t in PAYMENT_TYPES]
+    set_c, set_back = exact(sets, "GRAND_TOTAL_AMOUNT")
+    line_c, line_back = exact(items, "GRAND_TOTAL_AMOUNT")
+    unit_c, units_back = exact(items, "UNIT_QUANTITY")
+    baskets = sets.where(F.col("PAYMENT_TYPE").isin(chosen)).select("TRANSACTION_SET_ID", "PAYMENT_TYPE", set_c.alias("_set"))
+    lines = items.select("TRANSACTION_SET_ID", "GTIN", line_c.alias("_line"), unit_c.alias("_units"))
+    reduced = lines.join(baskets, "TRANSACTION_SET_ID", "inner").groupBy("TRANSACTION_SET_ID", "PAYMENT_TYPE", "GTIN").agg(
+        F.sum("_set").alias("set_amount_lines"), F.count("_set").alias("n_set_amount"), F.max("_set").alias("basket_amount"),
+        F.sum("_line").alias("line_amount"), F.count("_line").alias("n_line_amount"), F.sum("_units").alias("units"),
     )
+    return PaymentLines(reduced, gtin, set_back, line_back, units_back)
 
 
-def _bp(df: DataFrame) -> DataFrame:
-    return df if "set_amount_lines" in df.columns else basket_products(df)
+def basket_totals(lines: PaymentLines) -> DataFrame:
+    """One row per basket: its measures, each line once for every product row that its GTIN matches (an unknown
+    GTIN counts once). Only GTINs that occur more than once are joined."""
+    times = lines.gtin.where(F.col("GTIN").isNotNull()).groupBy("GTIN").agg(F.count(F.lit(1)).cast("int").alias("_times")).where("_times > 1")
+    n = F.coalesce("_times", F.lit(1))
+    matched = lines.baskets.join(times, "GTIN", "left")
+    return matched.groupBy("TRANSACTION_SET_ID", "PAYMENT_TYPE").agg(
+        *[F.sum(F.col(c) * n).alias(c) for c in MEASURES], F.max("basket_amount").alias("basket_amount"))
 
 
-def payment_summary(lines: DataFrame, amount_basis: str = "basket_per_line") -> DataFrame:
+def basket_products(lines: PaymentLines) -> DataFrame:
+    """One row per basket and product (description, category), known category only."""
+    products = lines.gtin.where(F.col("CATEGORY").isNotNull()).select("GTIN", "CATEGORY", "SKUPOS_DESCRIPTION")
+    joined = lines.baskets.join(products, "GTIN", "inner")
+    return joined.groupBy("TRANSACTION_SET_ID", "PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY").agg(F.sum("set_amount_lines").alias("set_amount_lines"))
+
+
+def payment_summary(lines: PaymentLines, amount_basis: str = "basket_per_line") -> DataFrame:
     """A4: per payment type - distinct baskets, spend, mean ticket, items and
-    items per basket. ``lines`` is ``payment_lines`` or ``basket_products``.
+    items per basket.
 
     ``amount_basis``:
       * ``"basket_per_line"`` (published): the basket total is summed once per
@@ -85,37 +93,31 @@ def payment_summary(lines: DataFrame, amount_basis: str = "basket_per_line") ->
     """
     if amount_basis not in AMOUNT_BASES:
         raise ValueError(f"amount_basis must be one of {AMOUNT_BASES}")
-    per_basket = _bp(lines).groupBy("TRANSACTION_SET_ID", "PAYMENT_TYPE").agg(
-        F.sum("set_amount_lines").alias("set_amount_lines"), F.sum("n_set_amount").alias("n_set_amount"),
-        F.max("basket_amount").alias("basket_amount"), F.sum("line_amount").alias("line_amount"),
-        F.sum("n_line_amount").alias("n_line_amount"), F.sum("units").alias("units"),
-    )
-    spend, n = {
-        "basket_per_line": (F.sum("set_amount_lines"), F.sum("n_set_amount")),
-        "basket": (F.sum("basket_amount"), F.count("basket_amount")),
-        "line": (F.sum("line_amount"), F.sum("n_line_amount")),
+    spend, n, back = {
+        "basket_per_line": (F.sum("set_amount_lines"), F.sum("n_set_amount"), lines.set_back),
+        "basket": (F.sum("basket_amount"), F.count("basket_amount"), lines.set_back),
+        "line": (F.sum("line_amount"), F.sum("n_line_amount"), lines.line_back),
     }[amount_basis]
     return (
-        per_basket.groupBy("PAYMENT_TYPE")
+        basket_totals(lines).groupBy("PAYMENT_TYPE")
         .agg(
             F.count(F.lit(1)).alias("num_transactions"),
-            from_cents(F.coalesce(spend, F.lit(0))).alias("total_spend"),
-            ratio(from_cents(spend), n).alias("avg_ticket"),
-            from_cents(F.coalesce(F.sum("units"), F.lit(0))).alias("total_items"),
+            back(F.coalesce(spend, F.lit(0))).alias("total_spend"),
+            ratio(back(spend), n).alias("avg_ticket"),
+            lines.units_back(F.coalesce(F.sum("units"), F.lit(0))).alias("total_items"),
         )
         .withColumn("avg_items_per_txn", ratio("total_items", "num_transactions"))
     )
 
 
-def product_by_payment(lines: DataFrame) -> DataFrame:
+def product_by_payment(lines: PaymentLines) -> DataFrame:
     """A5: per type x product x category (non-null category) - distinct
     baskets (``purchase_count``) and revenue on the published basis (basket
     total once per line). Rows of ``basket_products`` are one per basket
     within a group, so ``count(*)`` is the distinct basket count."""
-    bp = _bp(lines).where(F.col("CATEGORY").isNotNull())
-    return bp.groupBy("PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY").agg(
+    return basket_products(lines).groupBy("PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY").agg(
         F.count(F.lit(1)).alias("purchase_count"),
-        from_cents(F.coalesce(F.sum("set_amount_lines"), F.lit(0))).alias("revenue"),
+        lines.set_back(F.coalesce(F.sum("set_amount_lines"), F.lit(0))).alias("revenue"),
     )
 
 
@@ -131,7 +133,7 @@ def top_n_per_group(df: DataFrame, group: str | Sequence[str], order: Sequence[C
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def top_products_by_payment(lines: DataFrame, n: int = 5) -> DataFrame:
+def top_products_by_payment(lines: PaymentLines, n: int = 5) -> DataFrame:
     """W1 on A5: most-purchased products per payment type; description then
     category (NULL first) break ties."""
     return top_n_per_group(
@@ -140,16 +142,24 @@ def top_products_by_payment(lines: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
+def payment_table(top: DataFrame) -> DataFrame:
+    """The top products per type as displayed: revenue rounded and as currency, counts with separators."""
+    shown = present(top, {
+        "Payment_Type": "PAYMENT_TYPE", "Product": "SKUPOS_DESCRIPTION", "Category": "CATEGORY", "Purchase_Count": "purchase_count",
+        "Revenue": F.col("revenue").cast("double"),
+    })
+    return formatted(rounded(shown, ["Revenue"], 2), money=["Revenue"], counts=["Purchase_Count"])
+
+
 def mean_of_group_means(summary: DataFrame, col: str = "avg_ticket") -> DataFrame:
     """A10: the published "overall average" line - the unweighted mean of the
     per-type means (not the overall mean; see ``weighted_mean``)."""
     return summary.agg(F.avg(col).alias("overall_avg"))
 
 
-def weighted_mean(lines: DataFrame) -> DataFrame:
+def weighted_mean(lines: PaymentLines) -> DataFrame:
     """The overall mean ticket over all lines (weighted alternative to A10)."""
-    bp = _bp(lines)
-    return bp.agg(ratio(from_cents(F.sum("set_amount_lines")), F.sum("n_set_amount")).alias("overall_avg"))
+    return basket_totals(lines).agg(ratio(lines.set_back(F.sum("set_amount_lines")), F.sum("n_set_amount")).alias("overall_avg"))
 
 
 def payment_kpis(summary: DataFrame, selection: Iterable[str] = DEFAULT_SELECTION) -> DataFrame:

@@ -98,7 +98,10 @@ class Slice:
         )
 
 
-def period_slice(daily: DataFrame, sets: DataFrame, items: DataFrame,
-                 year: int | None = None, months: Iterable[int] | None = None) -> Slice:
-    fs = filter_sets(sets, year, months)
-    return Slice(daily=filter_daily(daily, year, months), sets=fs, items=items_in_period(items, fs))
+def period_slice(tables, year: int | None = None, months: Iterable[int] | None = None) -> Slice:
+    """``tables``: daily, sets and items by name. Tables that derive the daily aggregate (``daily_in``) restrict
+    its baskets first."""
+    ms = None if months is None else list(months)
+    fs = filter_sets(tables["sets"], year, ms)
+    daily = tables.daily_in(year, ms) if hasattr(tables, "daily_in") else filter_daily(tables["daily"], year, ms)
+    return Slice(daily=daily, sets=fs, items=items_in_period(tables["items"], fs))

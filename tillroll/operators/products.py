@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.exprs import ratio, zero_sum
+from tillroll.functions.exprs import n_unique, ratio, zero_sum
 
 # The excluded category and the product grouping keys.
 FUEL = "FUEL"
@@ -31,9 +31,14 @@ def filter_categories(daily: DataFrame, categories: Iterable[str] | None = None,
 
 
 def category_list(daily: DataFrame, fuel: str | None = FUEL) -> DataFrame:
-    """Distinct categories (fuel excluded unless ``fuel`` is None)."""
+    """Distinct categories in sort order (fuel excluded unless ``fuel`` is None)."""
     df = exclude(daily, "CATEGORY", fuel) if fuel is not None else daily
-    return df.select("CATEGORY").distinct()
+    return df.select("CATEGORY").distinct().orderBy(F.asc_nulls_first("CATEGORY"))
+
+
+def category_count(daily: DataFrame) -> DataFrame:
+    """The number of categories found (NULL counts as one)."""
+    return daily.agg(n_unique("CATEGORY").alias("n_categories"))
 
 
 def category_head(daily: DataFrame, n: int = 20) -> DataFrame:
@@ -41,6 +46,14 @@ def category_head(daily: DataFrame, n: int = 20) -> DataFrame:
     return daily.select("CATEGORY").distinct().orderBy(F.asc_nulls_first("CATEGORY")).limit(n)
 
 
+def product_weeks(daily: DataFrame) -> DataFrame:
+    """Sums by product and week: small (products x weeks), and enough for the totals, the top k and the weekly
+    series, so that one pass over the facts answers them all."""
+    return daily.groupBy("CALENDAR_YEAR", "CALENDAR_WEEK", *PRODUCT_KEYS).agg(
+        F.sum("TOTAL_REVENUE_AMOUNT").alias("TOTAL_REVENUE_AMOUNT"), F.sum("QUANTITY").alias("QUANTITY"),
+        F.sum("TRANSACTION_COUNT").alias("TRANSACTION_COUNT"))
+
+
 def product_totals(daily: DataFrame) -> DataFrame:
     """A1: revenue, units, transactions per product with non-null keys.
 
@@ -70,7 +83,7 @@ def top_products(totals: DataFrame, k: int = 5, by: str = "total_revenue") -> Da
 
 
 def weekly_totals(daily: DataFrame, products: DataFrame, grain: str = "week",
-                  product_col: str = "SKUPOS_DESCRIPTION", max_products: int | None = None) -> DataFrame:
+                  product_col: str = "SKUPOS_DESCRIPTION") -> DataFrame:
     """J8 + A2: weekly revenue/units of the chosen products.
 
     Rows are matched on the description only and brands are kept apart (a
@@ -78,14 +91,10 @@ def weekly_totals(daily: DataFrame, products: DataFrame, grain: str = "week",
     ``grain="week"`` folds the same week number of different years together
     (published); ``grain="year_week"`` keeps years apart.
 
-    ``products`` is a top-k result: pass ``max_products`` (its proven row
-    bound) to broadcast it; without a bound the planner sizes it.
+    ``products`` is a top-k result, which the planner or AQE sizes.
     """
     keys = {"week": ["CALENDAR_WEEK"], "year_week": ["CALENDAR_YEAR", "CALENDAR_WEEK"]}[grain]
-    chosen = products.select(product_col)
-    if max_products is not None:
-        chosen = F.broadcast(chosen)
-    rows = daily.join(chosen, product_col, "left_semi").where(F.col("CALENDAR_WEEK").isNotNull())
+    rows = daily.join(products.select(product_col), product_col, "left_semi").where(F.col("CALENDAR_WEEK").isNotNull())
     return rows.groupBy(*keys, "SKUPOS_DESCRIPTION", "BRAND").agg(
         zero_sum("TOTAL_REVENUE_AMOUNT").alias("weekly_revenue"),
         zero_sum("QUANTITY").alias("weekly_units"),

@@ -1,21 +1,22 @@
 """Supporting job: the day x store x product aggregate (``daily``).
 
 The dashboard receives ``daily`` already aggregated; this builds it from the
-basket and line tables. Plan shape (checked with ``explain``):
-
-1. lines LEFT JOIN products on GTIN - the product master is a dimension;
-   it is broadcast after a row-count check (``max_product_rows``) and
-   sort-merged otherwise (AQE splits a hot product's partition);
-2. INNER JOIN baskets on TRANSACTION_SET_ID - one shuffle of both sides;
-3. aggregate per (basket, day, store, product attributes) - keyed by the
-   join key, so it reuses the join's hash partitioning (no shuffle) and makes
-   each basket count once per product group;
+basket and line tables. Plan shape:
+
+1. lines INNER JOIN baskets on TRANSACTION_SET_ID - one shuffle of both
+   sides; a period filter on the baskets reaches their scan and restricts
+   the lines before any product work. A hot basket is split by AQE's skew
+   join;
+2. aggregate per (basket, day, store, GTIN) - keyed by the join key, so it
+   reuses the join's hash partitioning (no shuffle);
+3. LEFT JOIN products on GTIN (AQE broadcasts a product master that it has
+   measured small) and aggregate per (basket, product attributes), so each
+   basket counts once per product group;
 4. aggregate to the daily grain with partial (map-side) aggregation, so a hot
    product or store is pre-reduced before the only remaining shuffle.
 
-``count(DISTINCT basket)`` therefore becomes ``count(*)`` of step 3 rows, with
-no extra distinct-aggregation shuffle. Amounts are summed as exact integer
-cents (fast 64-bit path) and turned back into decimals at the end.
+``count(DISTINCT basket)`` therefore becomes ``count(*)`` of step 3 rows.
+Amounts keep the input's own scale (``functions.exprs.exact``).
 """
 
 from __future__ import annotations
@@ -23,18 +24,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.exprs import cents, from_cents, sized_broadcast
+from tillroll.functions.exprs import exact
 
 PRODUCT_ATTRS = ("CATEGORY", "SUBCATEGORY", "BRAND", "SKUPOS_DESCRIPTION")
 DAILY_KEYS = ("CALENDAR_YEAR", "CALENDAR_MONTH", "CALENDAR_WEEK", "CALENDAR_DATE", "STORE_ID") + PRODUCT_ATTRS
 
 
-def daily_rollup(items: DataFrame, sets: DataFrame, gtin: DataFrame, max_product_rows: int = 1_000_000) -> DataFrame:
-    lines = items.select(
-        "TRANSACTION_SET_ID", "GTIN",
-        cents("UNIT_QUANTITY").alias("_qty"), cents("GRAND_TOTAL_AMOUNT").alias("_amount"),
-    )
-    products = sized_broadcast(gtin.select("GTIN", *PRODUCT_ATTRS), max_product_rows)
+def daily_rollup(items: DataFrame, sets: DataFrame, gtin: DataFrame) -> DataFrame:
+    qty, qty_back = exact(items, "UNIT_QUANTITY")
+    amount, amount_back = exact(items, "GRAND_TOTAL_AMOUNT")
+    lines = items.select("TRANSACTION_SET_ID", "GTIN", qty.alias("_qty"), amount.alias("_amount"))
     baskets = sets.select(
         "TRANSACTION_SET_ID", "STORE_ID",
         F.year("DATE_TIME").alias("CALENDAR_YEAR"),
@@ -42,12 +41,12 @@ def daily_rollup(items: DataFrame, sets: DataFrame, gtin: DataFrame, max_product
         F.weekofyear("DATE_TIME").alias("CALENDAR_WEEK"),
         F.to_date("DATE_TIME").alias("CALENDAR_DATE"),
     )
-    joined = lines.join(products, "GTIN", "left").join(baskets, "TRANSACTION_SET_ID", "inner")
-    per_basket = joined.groupBy("TRANSACTION_SET_ID", *DAILY_KEYS).agg(
-        F.sum("_amount").alias("_amount"), F.sum("_qty").alias("_qty"),
-    )
+    calendar = ("CALENDAR_YEAR", "CALENDAR_MONTH", "CALENDAR_WEEK", "CALENDAR_DATE", "STORE_ID")
+    sums = (F.sum("_amount").alias("_amount"), F.sum("_qty").alias("_qty"))
+    per_product = lines.join(baskets, "TRANSACTION_SET_ID", "inner").groupBy("TRANSACTION_SET_ID", *calendar, "GTIN").agg(*sums)
+    per_basket = per_product.join(gtin.select("GTIN", *PRODUCT_ATTRS), "GTIN", "left").groupBy("TRANSACTION_SET_ID", *DAILY_KEYS).agg(*sums)
     return per_basket.groupBy(*DAILY_KEYS).agg(
-        from_cents(F.sum("_amount")).alias("TOTAL_REVENUE_AMOUNT"),
-        from_cents(F.sum("_qty")).alias("QUANTITY"),
+        amount_back(F.sum("_amount")).alias("TOTAL_REVENUE_AMOUNT"),
+        qty_back(F.sum("_qty")).alias("QUANTITY"),
         F.count(F.lit(1)).alias("TRANSACTION_COUNT"),
     )

@@ -22,7 +22,7 @@ sets AS (
    WHEN '3-MEDIUM' THEN 'DEBIT' WHEN '5-LOW' THEN 'MOBILE' END AS PAYMENT_TYPE FROM orders),
 items AS (
  SELECT l_orderkey AS TRANSACTION_SET_ID, l_partkey AS GTIN,
-  CAST(l_quantity AS DECIMAL(18,2)) AS UNIT_QUANTITY,
+  CAST(CAST(l_quantity AS DECIMAL(15,3)) + CAST(l_linenumber % 8 AS DECIMAL(9,0)) * CAST(0.125 AS DECIMAL(4,3)) AS DECIMAL(18,3)) AS UNIT_QUANTITY,
   CAST(l_extendedprice AS DECIMAL(18,2)) AS GRAND_TOTAL_AMOUNT FROM lineitem),
 stores AS (
  SELECT c_custkey AS STORE_ID, c_mktsegment AS STORE_CHAIN_NAME, n_name AS STATE, c_name AS CITY, c_nationkey
@@ -87,7 +87,7 @@ ENRICHED = (
     + TRACT_KEYS_SQL + ",\n  "
     + ",\n  ".join(_tract_var(k, v) for k, v in enumerate(ACS_VARS, start=1))
     + ",\n  CASE WHEN g > 1 THEN n.n_name END AS county_NAME,"
-    + "\n  CASE WHEN g > 1 THEN CAST(n.n_regionkey*1000 + n.n_nationkey AS VARCHAR) END AS county_B01003_001E,"
+    + "".join(f"\n  CASE WHEN g > 1 THEN CAST({k}*(n.n_regionkey*1000 + n.n_nationkey) AS VARCHAR) END AS county_{v}," for k, v in enumerate(ACS_VARS, start=1))
     + "\n  p.revenue, p.transactions"
     + "\n FROM geo LEFT JOIN nation n ON geo.nk = n.n_nationkey"
     + "\n LEFT JOIN (SELECT STORE_ID, sum(TOTAL_REVENUE_AMOUNT) AS revenue, sum(TRANSACTION_COUNT) AS transactions"
@@ -177,7 +177,7 @@ ORACLE: dict[str, str] = {
     "top_products_by_payment": VIEWS + PAY + "SELECT PAYMENT_TYPE, SKUPOS_DESCRIPTION, CATEGORY, purchase_count, CAST(revenue AS DOUBLE) AS revenue FROM (SELECT *, row_number() OVER (PARTITION BY PAYMENT_TYPE ORDER BY purchase_count DESC, SKUPOS_DESCRIPTION ASC NULLS FIRST, CATEGORY ASC NULLS FIRST) AS rn FROM (SELECT PAYMENT_TYPE, SKUPOS_DESCRIPTION, CATEGORY, count(DISTINCT TRANSACTION_SET_ID) AS purchase_count, sum(set_amount) AS revenue FROM pay WHERE CATEGORY IS NOT NULL GROUP BY 1,2,3) a) b WHERE rn <= 5",
     "mean_of_group_means": VIEWS + PAY + "SELECT round(avg(t),3) AS overall_avg FROM (SELECT CAST(sum(set_amount) AS DOUBLE)/count(set_amount) AS t FROM pay GROUP BY PAYMENT_TYPE) z",
     "overall_mean_ticket": VIEWS + PAY + "SELECT round(CAST(sum(set_amount) AS DOUBLE)/count(set_amount),3) AS overall_avg FROM pay",
-    "store_enriched": VIEWS + ENRICHED + "SELECT STORE_ID, STATE, STATEFP, COUNTYFP, TRACT, B01003_001E, B19019_001E, B17001_002E, B25077_001E, county_NAME, county_B01003_001E, CAST(revenue AS DOUBLE) AS revenue, CAST(transactions AS BIGINT) AS transactions FROM enriched",
+    "store_enriched": VIEWS + ENRICHED + "SELECT STORE_ID, STATE, STATEFP, COUNTYFP, TRACT, " + ", ".join(ACS_VARS) + ", county_NAME, " + ", ".join(f"county_{v}" for v in ACS_VARS) + ", CAST(revenue AS DOUBLE) AS revenue, CAST(transactions AS BIGINT) AS transactions FROM enriched",
     "store_performance": VIEWS + "SELECT CAST(STORE_ID AS VARCHAR) AS STORE_ID, CAST(sum(TOTAL_REVENUE_AMOUNT) AS DOUBLE) AS revenue, CAST(sum(TRANSACTION_COUNT) AS BIGINT) AS transactions FROM daily GROUP BY 1",
     "state_summary": _summary(False),
     "state_summary_clean": _summary(True),
@@ -194,7 +194,19 @@ ORACLE: dict[str, str] = {
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, {n_unique_sql(c)} AS n_distinct FROM {t}"
         for t, c in (("stores", "STATE"), ("stores", "STORE_CHAIN_NAME"), ("gtin", "BRAND"),
                      ("sets", "PAYMENT_TYPE"), ("items", "GTIN"))),
-    "daily_key_profile": VIEWS + "SELECT count(*) AS n_rows, count(DISTINCT GTIN) AS n_keys, count(*)-count(DISTINCT GTIN) AS duplicates FROM gtin",
+    "daily_key_profile": VIEWS + "SELECT count(*) AS n_rows, count(DISTINCT GTIN) AS n_keys, count(*)-count(DISTINCT GTIN) AS duplicates FROM items",
+    "gtin_key_profile": VIEWS + "SELECT count(*) AS n_rows, count(DISTINCT GTIN) AS n_keys, count(*)-count(DISTINCT GTIN) AS duplicates FROM (SELECT GTIN FROM gtin UNION ALL SELECT GTIN FROM gtin WHERE GTIN % 7 = 0) g",
     "parameter_values": VIEWS + "SELECT CAST(unnest(range(min(CALENDAR_YEAR), max(CALENDAR_YEAR)+1)) AS INTEGER) AS y FROM daily",
     "daily_rollup": VIEWS + f"SELECT {_daily_cols()}, CAST(TOTAL_REVENUE_AMOUNT AS DOUBLE) AS revenue, CAST(QUANTITY AS DOUBLE) AS quantity, TRANSACTION_COUNT FROM daily",
+    "category_count": VIEWS + f"SELECT {n_unique_sql('CATEGORY')} AS n_categories FROM daily",
+    "weekly_top_products_ranked": VIEWS + TOP5 + WEEKLY + "SELECT CALENDAR_WEEK, SKUPOS_DESCRIPTION, BRAND, CAST(row_number() OVER (ORDER BY CALENDAR_WEEK, r DESC NULLS FIRST, SKUPOS_DESCRIPTION NULLS FIRST, BRAND NULLS FIRST) AS INTEGER) AS position FROM wk",
+    "weekly_top_products_target": VIEWS + TOP5 + WEEKLY + "SELECT CALENDAR_WEEK, SKUPOS_DESCRIPTION, BRAND, CAST(50000 AS DOUBLE) AS target FROM wk",
+    "payment_table": VIEWS + PAY + "SELECT PAYMENT_TYPE AS Payment_Type, SKUPOS_DESCRIPTION AS Product, CATEGORY AS Category, printf('%,d', n) AS Purchase_Count, printf('$%,.2f', round(CAST(rev AS DOUBLE),2)) AS Revenue FROM (SELECT *, row_number() OVER (PARTITION BY PAYMENT_TYPE ORDER BY n DESC, SKUPOS_DESCRIPTION ASC NULLS FIRST, CATEGORY ASC NULLS FIRST) AS rn FROM (SELECT PAYMENT_TYPE, SKUPOS_DESCRIPTION, CATEGORY, count(DISTINCT TRANSACTION_SET_ID) AS n, sum(set_amount) AS rev FROM pay WHERE CATEGORY IS NOT NULL GROUP BY 1,2,3) g) z WHERE rn <= 5",
+    "payment_summary_duplicate_gtin": VIEWS + ", twice AS (SELECT GTIN FROM gtin UNION ALL SELECT GTIN FROM gtin WHERE GTIN % 7 = 0) SELECT s.PAYMENT_TYPE, count(DISTINCT s.TRANSACTION_SET_ID) AS num_transactions, CAST(sum(s.GRAND_TOTAL_AMOUNT) AS DOUBLE) AS total_spend, CAST(sum(i.UNIT_QUANTITY) AS DOUBLE) AS total_items FROM sets s JOIN items i ON s.TRANSACTION_SET_ID = i.TRANSACTION_SET_ID LEFT JOIN twice g ON i.GTIN = g.GTIN WHERE s.PAYMENT_TYPE IN ('CASH','CREDIT','DEBIT') GROUP BY 1",
+    "state_table": "SELECT CAST(row_number() OVER (ORDER BY store_count DESC, STATE) AS INTEGER) AS position, STATE AS State, printf('%,d', store_count) AS Stores, printf('%,d', CAST(round(avg_tract_pop) AS BIGINT)) AS Avg_Tract_Pop, CASE WHEN round(avg_income) < 0 THEN '$-' ELSE '$' END || printf('%,.2f', abs(round(avg_income))) AS Avg_Median_Income, printf('%,d', CAST(round(avg_poverty) AS BIGINT)) AS Avg_Below_Poverty, printf('$%,.2f', round(avg_home_value)) AS Avg_Home_Value FROM (" + _summary(False) + ") z",
+    "parse_county_acs_reordered": _parse_county(),
+    "pending_stores": VIEWS + "SELECT CAST(STORE_ID AS VARCHAR) AS STORE_ID FROM stores WHERE STORE_ID % 4 = 2 OR STORE_ID % 10 IN (0, 1)",
+    "fresh_responses": VIEWS + "SELECT CAST(STORE_ID AS VARCHAR) AS STORE_ID FROM stores WHERE STORE_ID % 300 < 120",
+    "table_counts": VIEWS + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("stores", "gtin", "sets", "items")),
+    "months_subtitle": VIEWS + "SELECT 'Months: ' || string_agg(CAST(m AS VARCHAR), ', ' ORDER BY m) AS subtitle FROM (SELECT DISTINCT CALENDAR_MONTH AS m FROM daily) z",
 }

@@ -23,13 +23,10 @@ Tables = Mapping[str, DataFrame]
 class PageResult(dict):
     """Named result frames of a page, plus the intermediates it persisted.
 
-    A page's outputs share intermediates (the top-k list, the per-basket
-    payment aggregate, ...). With ``persist=True`` these are kept with
-    ``MEMORY_AND_DISK`` so each is computed once for all outputs; call
-    ``release()`` after the page has been pulled. The per-basket payment
-    frame has about one row per line: for an all-history page on very large
-    data, write it once as a table (``tables.materialize``) or pass
-    ``persist=False`` rather than caching it on executors.
+    A page's outputs share intermediates (the product x week frame, the top-k
+    list, a summary, ...), all of them aggregates. With ``persist=True`` these
+    are kept with ``MEMORY_AND_DISK`` so each is computed once for all
+    outputs; call ``release()`` after the page has been pulled.
     """
 
     def __init__(self, frames: Mapping[str, DataFrame], cached: list[DataFrame]):
@@ -50,7 +47,7 @@ def _keep(df: DataFrame, persist: bool, cached: list[DataFrame]) -> DataFrame:
 
 
 def _slice(t: Tables, year, months) -> period.Slice:
-    return period.period_slice(t["daily"], t["sets"], t["items"], year, months)
+    return period.period_slice(t, year, months)
 
 
 def home_page(t: Tables, year: int | None = None, months: Iterable[int] | None = None) -> dict[str, DataFrame]:
@@ -69,8 +66,9 @@ def validation_page(t: Tables) -> dict[str, DataFrame]:
     return {
         "profile": kpis.table_profile([
             ("stores", t["stores"], "STATE"), ("stores", t["stores"], "STORE_CHAIN_NAME"),
-            ("gtin", t["gtin"], "GTIN"), ("sets", t["sets"], "STORE_ID"), ("items", t["items"], "GTIN"),
+            ("gtin", t["gtin"], "GTIN"),
         ]),
+        "row_counts": kpis.row_counts([("sets", t["sets"]), ("items", t["items"])]),
         "gtin_keys": kpis.key_profile(t["gtin"], "GTIN"),
     }
 
@@ -81,9 +79,9 @@ def top_products_page(t: Tables, year=None, months=None, categories: Iterable[st
     """Top non-fuel products, their weekly series and KPIs."""
     sl = _slice(t, year, months)
     cached: list[DataFrame] = []
-    cat = products.filter_categories(sl.daily, categories)
-    top = _keep(products.top_products(products.product_totals(cat), k), persist, cached)
-    weekly = _keep(products.weekly_totals(cat, top, grain, max_products=k), persist, cached)
+    weeks = _keep(products.product_weeks(products.filter_categories(sl.daily, categories)), persist, cached)
+    top = _keep(products.top_products(products.product_totals(weeks), k), persist, cached)
+    weekly = _keep(products.weekly_totals(weeks, top, grain), persist, cached)
     if target is not None:
         weekly = present.with_threshold(weekly, target, "target")
     table = present.formatted(
@@ -112,6 +110,7 @@ def brands_page(t: Tables, year=None, months=None, min_transactions: int = brand
     perf = _keep(brands.brand_performance(sl.daily, min_transactions=min_transactions), persist, cached)
     drop = brands.drop_candidates(perf, k, rank_by)
     return PageResult({
+        "category_count": products.category_count(sl.daily),
         "categories_head": products.category_head(sl.daily, 20),
         "performance": present.with_threshold(perf, threshold),
         "drop": drop,
@@ -131,21 +130,21 @@ def payments_page(t: Tables, year=None, months=None, selection: Iterable[str] =
                   amount_basis: str = "basket_per_line", n: int = 5, persist: bool = True) -> PageResult:
     """C4: payment-type comparison, top products per type, mean-of-means line.
 
-    Both roll-ups read the same per-basket x product pre-aggregate, which is
-    persisted (``persist=True``) so the basket join runs once per page.
+    Only the two small roll-ups are kept (``persist=True``), not the reduced
+    lines: their join runs once for each, over the period's baskets.
     """
     sl = _slice(t, year, months)
     # The inner join with the period's baskets already restricts the lines;
     # a semi join of the items first would only add a pass.
     lines = payments.payment_lines(sl.sets, t["items"], t["gtin"], list(selection))
     cached: list[DataFrame] = []
-    bp = _keep(payments.basket_products(lines), persist, cached)
-    summary = _keep(payments.payment_summary(bp, amount_basis), persist, cached)
+    summary = _keep(payments.payment_summary(lines, amount_basis), persist, cached)
+    top = _keep(payments.top_products_by_payment(lines, n), persist, cached)
     return PageResult({
         "summary": summary,
-        "top_products": payments.top_n_per_group(
-            payments.product_by_payment(bp), "PAYMENT_TYPE",
-            [F.desc("purchase_count"), F.asc_nulls_first("SKUPOS_DESCRIPTION"), F.asc_nulls_first("CATEGORY")], n),
+        "kpis": payments.payment_kpis(summary, list(selection)),
+        "top_products": top,
+        "table": payments.payment_table(top),
         "overall_avg": payments.mean_of_group_means(summary),
     }, cached)
 
@@ -157,7 +156,8 @@ def land_census(census_raw: Mapping[str, DataFrame], out_dir: str,
     dashboard cached them in files; returns the re-read tables.
 
     When responses carry ``fetched_at`` and a key was fetched more than once,
-    only its latest response is kept, so the enrichment joins stay 1:1. With
+    only its latest successful response is kept (a failed one where there is
+    no other), so the enrichment joins stay 1:1. With
     ``ttl_seconds`` (the dashboard cached lookups for 7,200 s) older
     responses are ignored, so their keys return to the pending work list.
     """
@@ -166,14 +166,14 @@ def land_census(census_raw: Mapping[str, DataFrame], out_dir: str,
         census_raw = {k: (tables.read_if_fresh(v, ttl_seconds) if "fetched_at" in v.columns else v)
                       for k, v in census_raw.items()}
     parsed = {
-        "store_tract": (census.parse_geocode(census_raw["geocode_raw"]), ["STORE_ID"]),
-        "tract_acs": (census.parse_tract_acs(census_raw["tract_raw"]), ["STATEFP", "COUNTYFP", "TRACT"]),
-        "county_acs": (census.parse_county_acs(census_raw["county_raw"]), ["state", "county"]),
+        "store_tract": (census.parse_geocode(census_raw["geocode_raw"]), ["STORE_ID"], F.col("TRACT").isNotNull()),
+        "tract_acs": (census.parse_tract_acs(census_raw["tract_raw"]), ["STATEFP", "COUNTYFP", "TRACT"], None),
+        "county_acs": (census.parse_county_acs(census_raw["county_raw"]), ["state", "county"], None),
     }
     out = {}
-    for name, (df, keys) in parsed.items():
+    for name, (df, keys, ok) in parsed.items():
         if "fetched_at" in df.columns:
-            df = census.latest(df, keys)
+            df = census.latest(df, keys, ok=ok)
         path = f"{out_dir.rstrip('/')}/{name}"
         tables.materialize(df, path)
         out[name] = spark.read.parquet(path)
@@ -197,10 +197,13 @@ def demographics_page(t: Tables, census_tables: Mapping[str, DataFrame], year=No
     enriched = _keep(enriched, persist, cached)
     valid = demographics.valid_stores(enriched)
     points = demographics.demographic_points(valid)
+    summary = demographics.state_summary(valid)
     return PageResult({
+        "pending_stores": census.pending_stores(t["stores"], store_tract),
         "pending_tracts": census.pending_keys(store_tract, tract_acs, ("STATEFP", "COUNTYFP", "TRACT")),
         "enriched": enriched,
-        "state_summary": demographics.state_summary(valid),
+        "state_summary": summary,
+        "state_table": demographics.state_table(summary),
         "points": points,
         "income_box": demographics.box_stats(points, "STATE", "income"),
     }, cached)

@@ -9,24 +9,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import zero_sum
 from tillroll.operators import brands, demographics, kpis, payments, period, present, products
 from tillroll.operators.rollup import DAILY_KEYS
-from tillroll.sources import census, fixtures
-from tillroll.sources.schemas import TRACT_KEYS
+from tillroll.sources import census, fixtures, tables
+from tillroll.sources.schemas import ACS_VARS, TRACT_KEYS
 
 # The period and thresholds the checks run with.
 YEAR = 1997
 MONTHS = (1, 2, 3)
 THRESHOLD = 36_000_000
 TOP_K = 5
+TARGET = 50_000.0
 DROP_K = 10
 
 
-def _t(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _t(spark: SparkSession, sf_dir: str) -> fixtures.RetailTables:
     return fixtures.retail_tables(spark, sf_dir)
 
 
@@ -41,13 +42,13 @@ def _r4(c: str, name: str | None = None):
 # --- period slice ----------------------------------------------------------
 
 def filter_year_month(spark, sf_dir):
-    d = period.filter_daily(_t(spark, sf_dir)["daily"], YEAR, MONTHS)
+    d = _t(spark, sf_dir).daily_in(YEAR, MONTHS)
     return d.agg(F.count(F.lit(1)).alias("n_rows"), zero_sum("TOTAL_REVENUE_AMOUNT").cast("double").alias("revenue"))
 
 
 def set_kpis(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return period.period_slice(t["daily"], t["sets"], t["items"], YEAR, MONTHS).totals()
+    return period.period_slice(t, YEAR, MONTHS).totals()
 
 
 def items_in_period(spark, sf_dir):
@@ -62,6 +63,10 @@ def category_list(spark, sf_dir):
     return products.category_list(_t(spark, sf_dir)["daily"])
 
 
+def category_count(spark, sf_dir):
+    return products.category_count(_t(spark, sf_dir)["daily"])
+
+
 def category_list_head(spark, sf_dir):
     return products.category_head(_t(spark, sf_dir)["daily"], 20)
 
@@ -78,28 +83,43 @@ def top_products(spark, sf_dir):
     )
 
 
-def _weekly(daily: DataFrame, grain: str) -> DataFrame:
-    cat = products.filter_categories(daily)
-    top = products.top_products(products.product_totals(cat), TOP_K)
-    return products.weekly_totals(cat, top, grain, max_products=TOP_K)
+def _product_weeks(spark, sf_dir) -> DataFrame:
+    """The small product x week frame, kept because the top list and its weekly series both read it."""
+    return tables.cached(products.product_weeks(products.filter_categories(_t(spark, sf_dir)["daily"])))
+
+
+def _weekly(weeks: DataFrame, grain: str) -> DataFrame:
+    top = products.top_products(products.product_totals(weeks), TOP_K)
+    return products.weekly_totals(weeks, top, grain)
 
 
 def weekly_top_products(spark, sf_dir):
-    w = _weekly(_t(spark, sf_dir)["daily"], "week")
+    w = _weekly(_product_weeks(spark, sf_dir), "week")
     return w.select("CALENDAR_WEEK", "SKUPOS_DESCRIPTION", "BRAND", _d("weekly_revenue"), _d("weekly_units"))
 
 
+def weekly_top_products_ranked(spark, sf_dir):
+    """O3: the display order of the weekly series, as a rank."""
+    w = _weekly(_product_weeks(spark, sf_dir), "week")
+    order = [*products.weekly_order(), F.asc_nulls_first("SKUPOS_DESCRIPTION"), F.asc_nulls_first("BRAND")]
+    return w.select("CALENDAR_WEEK", "SKUPOS_DESCRIPTION", "BRAND", F.row_number().over(Window.orderBy(*order)).alias("position"))
+
+
+def weekly_top_products_target(spark, sf_dir):
+    """the weekly series with the user's target line."""
+    w = _weekly(_product_weeks(spark, sf_dir), "week")
+    return present.with_threshold(w, TARGET, "target").select("CALENDAR_WEEK", "SKUPOS_DESCRIPTION", "BRAND", "target")
+
+
 def weekly_top_products_year_week(spark, sf_dir):
-    w = _weekly(_t(spark, sf_dir)["daily"], "year_week")
+    w = _weekly(_product_weeks(spark, sf_dir), "year_week")
     return w.select("CALENDAR_YEAR", "CALENDAR_WEEK", "SKUPOS_DESCRIPTION", "BRAND", _d("weekly_revenue"))
 
 
 def top_products_kpis(spark, sf_dir):
-    daily = _t(spark, sf_dir)["daily"]
-    cat = products.filter_categories(daily)
-    top = products.top_products(products.product_totals(cat), TOP_K)
-    weekly = products.weekly_totals(cat, top, "week", max_products=TOP_K)
-    k = kpis.top_products_kpis(top, weekly)
+    weeks = _product_weeks(spark, sf_dir)
+    top = products.top_products(products.product_totals(weeks), TOP_K)
+    k = kpis.top_products_kpis(top, products.weekly_totals(weeks, top, "week"))
     return k.select("total_revenue", "total_units", _r4("avg_weekly_revenue"), "n_weeks")
 
 
@@ -126,10 +146,8 @@ def top_products_selected_categories(spark, sf_dir):
 
 def weekly_top_products_period(spark, sf_dir):
     """C2 on a period slice: the weekly series of the period's top five."""
-    t = _t(spark, sf_dir)
-    cat = products.filter_categories(period.filter_daily(t["daily"], YEAR, MONTHS))
-    top = products.top_products(products.product_totals(cat), TOP_K)
-    w = products.weekly_totals(cat, top, "week", max_products=TOP_K)
+    weeks = tables.cached(products.product_weeks(products.filter_categories(_t(spark, sf_dir).daily_in(YEAR, MONTHS))))
+    w = _weekly(weeks, "week")
     return w.select("CALENDAR_WEEK", "SKUPOS_DESCRIPTION", "BRAND", _d("weekly_revenue"), _d("weekly_units"))
 
 
@@ -165,7 +183,7 @@ def below_threshold(spark, sf_dir):
 
 # --- question 3 --------------------------------------------------------------
 
-def _lines(spark, sf_dir, types=payments.PAYMENT_TYPES) -> DataFrame:
+def _lines(spark, sf_dir, types=payments.PAYMENT_TYPES) -> payments.PaymentLines:
     t = _t(spark, sf_dir)
     return payments.payment_lines(t["sets"], t["items"], t["gtin"], types)
 
@@ -203,6 +221,21 @@ def payment_summary_period(spark, sf_dir):
                     _d("total_items"), _r4("avg_items_per_txn"))
 
 
+def payment_table(spark, sf_dir):
+    """P2 + F3 + F10: the top products of each type as displayed."""
+    p = payments.payment_table(payments.top_products_by_payment(_lines(spark, sf_dir), TOP_K))
+    return p.select("Payment_Type", "Product", "Category", "Purchase_Count", "Revenue")
+
+
+def payment_summary_duplicate_gtin(spark, sf_dir):
+    """Products listed twice multiply their lines."""
+    t = _t(spark, sf_dir)
+    twice = t["gtin"].unionByName(t["gtin"].where(F.col("GTIN") % 7 == 0))
+    lines = payments.payment_lines(t["sets"], t["items"], twice)
+    s = payments.payment_summary(lines)
+    return s.select("PAYMENT_TYPE", "num_transactions", _d("total_spend"), _d("total_items"))
+
+
 def product_by_payment(spark, sf_dir):
     p = payments.product_by_payment(_lines(spark, sf_dir))
     return p.select("PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY", "purchase_count", _d("revenue"))
@@ -239,8 +272,7 @@ def _enriched(spark, sf_dir) -> DataFrame:
 def store_enriched(spark, sf_dir):
     e = _enriched(spark, sf_dir)
     return e.select(
-        "STORE_ID", "STATE", *TRACT_KEYS, "B01003_001E", "B19019_001E", "B17001_002E", "B25077_001E",
-        "county_NAME", "county_B01003_001E", _d("revenue"), F.col("transactions").cast("bigint").alias("transactions"),
+        "STORE_ID", "STATE", *TRACT_KEYS, *ACS_VARS, "county_NAME", *[f"county_{v}" for v in ACS_VARS], _d("revenue"), F.col("transactions").cast("bigint").alias("transactions"),
     )
 
 
@@ -257,6 +289,11 @@ def state_summary(spark, sf_dir):
     return _summary_cols(demographics.state_summary(demographics.valid_stores(_enriched(spark, sf_dir))))
 
 
+def state_table(spark, sf_dir):
+    """P2 + F3 + F10 + O4: the state summary as displayed, with its position."""
+    return demographics.state_table(demographics.state_summary(demographics.valid_stores(_enriched(spark, sf_dir))))
+
+
 def state_summary_clean(spark, sf_dir):
     e = demographics.clean_annotations(_enriched(spark, sf_dir))
     return _summary_cols(demographics.state_summary(demographics.valid_stores(e)))
@@ -286,6 +323,27 @@ def parse_county_acs(spark, sf_dir):
     return census.parse_county_acs(raw)
 
 
+def parse_county_acs_reordered(spark, sf_dir):
+    """The header names the columns, whatever their order."""
+    raw = fixtures.supplier_county_payloads(fixtures.read_driver(spark, sf_dir, "supplier"), reverse=True)
+    return census.parse_county_acs(raw)
+
+
+def pending_stores(spark, sf_dir):
+    """S13 for stores: never geocoded, or geocoded without a tract."""
+    stores = _t(spark, sf_dir)["stores"]
+    parsed = census.parse_geocode(fixtures.geocode_payloads(stores.where(F.col("STORE_ID") % 4 != 2)))
+    return census.pending_stores(stores, parsed)
+
+
+def fresh_responses(spark, sf_dir):
+    """Landed responses younger than two hours at a fixed moment (store n's landed n % 300 minutes before)."""
+    stores = _t(spark, sf_dir)["stores"]
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    landed = fixtures.geocode_payloads(stores).withColumn("fetched_at", now - F.make_interval(mins=(F.col("STORE_ID").cast("int") % 300)))
+    return tables.read_if_fresh(landed, 7200, now=now).select("STORE_ID")
+
+
 def pending_keys(spark, sf_dir):
     """Tracts of geocoded stores that still lack ACS data (their landed
     response held no data row), i.e. the next fetch's work list."""
@@ -302,12 +360,12 @@ def year_bounds(spark, sf_dir):
 
 def store_activity(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return kpis.store_activity(t["stores"], t["daily"], period.filter_daily(t["daily"], YEAR, MONTHS))
+    return kpis.store_activity(t["stores"], t["daily"], t.daily_in(YEAR, MONTHS))
 
 
 def home_kpis(spark, sf_dir):
     t = _t(spark, sf_dir)
-    sl = period.period_slice(t["daily"], t["sets"], t["items"], YEAR, MONTHS)
+    sl = period.period_slice(t, YEAR, MONTHS)
     return kpis.home_kpis(t["stores"], t["gtin"], sl)
 
 
@@ -320,7 +378,26 @@ def table_profile(spark, sf_dir):
 
 
 def daily_key_profile(spark, sf_dir):
-    return kpis.key_profile(_t(spark, sf_dir)["gtin"], "GTIN")
+    """T12 on the line table, whose GTIN repeats."""
+    return kpis.key_profile(_t(spark, sf_dir)["items"], "GTIN")
+
+
+def gtin_key_profile(spark, sf_dir):
+    """T12 on a product master that lists every seventh product twice."""
+    g = _t(spark, sf_dir)["gtin"]
+    return kpis.key_profile(g.unionByName(g.where(F.col("GTIN") % 7 == 0)), "GTIN")
+
+
+def table_counts(spark, sf_dir):
+    """Rows of the five tables."""
+    t = _t(spark, sf_dir)
+    return kpis.row_counts([(n, t[n]) for n in ("stores", "gtin", "sets", "items")])
+
+
+def months_subtitle(spark, sf_dir):
+    """the months in the data, as the table's subtitle."""
+    months = F.array_sort(F.collect_set("CALENDAR_MONTH"))   # twelve at most
+    return _t(spark, sf_dir)["daily"].agg(F.concat(F.lit("Months: "), F.concat_ws(", ", months.cast("array<string>"))).alias("subtitle"))
 
 
 def parameter_values(spark, sf_dir):
@@ -336,14 +413,15 @@ def daily_rollup(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         filter_year_month, set_kpis, items_in_period, category_list, category_list_head,
-        top_products, weekly_top_products, weekly_top_products_year_week, top_products_kpis, summary_text,
+        category_count, top_products, weekly_top_products, weekly_top_products_ranked, weekly_top_products_target,
+        weekly_top_products_year_week, top_products_kpis, summary_text,
         top_products_selected_categories, weekly_top_products_period, payment_summary_period,
         brand_performance, drop_candidates, drop_candidates_by_units, threshold_count, below_threshold,
         payment_summary_published, payment_summary_per_basket, payment_summary_line, payment_kpis,
-        product_by_payment, top_products_by_payment, mean_of_group_means, overall_mean_ticket,
-        store_enriched, store_performance, state_summary, state_summary_clean, demographic_points, box_stats,
-        parse_geocode, parse_tract_acs, parse_county_acs, pending_keys,
-        year_bounds, store_activity, home_kpis, table_profile, daily_key_profile, parameter_values, daily_rollup,
+        payment_table, payment_summary_duplicate_gtin, product_by_payment, top_products_by_payment, mean_of_group_means, overall_mean_ticket,
+        store_enriched, store_performance, state_summary, state_table, state_summary_clean, demographic_points, box_stats,
+        parse_geocode, parse_tract_acs, parse_county_acs, parse_county_acs_reordered, pending_keys, pending_stores, fresh_responses,
+        year_bounds, store_activity, home_kpis, table_profile, table_counts, daily_key_profile, gtin_key_profile, parameter_values, months_subtitle, daily_rollup,
     )
 }
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import id_text
@@ -36,7 +36,7 @@ def parse_geocode(raw: DataFrame, id_col: str = "STORE_ID", payload_col: str = "
     parsed = F.from_json(F.col(payload_col), GEOCODE_JSON)
     first = F.get(parsed["result"]["geographies"]["Census Tracts"], 0)
     return raw.select(
-        id_text(F.col(id_col)).alias("STORE_ID") if dict(raw.dtypes)[id_col] != "string" else F.col(id_col),
+        id_text(F.col(id_col)).alias("STORE_ID"),
         first["STATE"].alias("STATEFP"),
         first["COUNTY"].alias("COUNTYFP"),
         first["TRACT"].alias("TRACT"),
@@ -79,18 +79,29 @@ def parse_county_acs(raw: DataFrame, payload_col: str = "payload", variables: Se
     return rows.select(*[F.get("_r", F.array_position("_h", n).cast("int") - 1).alias(n) for n in names], *kept)
 
 
-def latest(df: DataFrame, keys: Sequence[str], ts_col: str = "fetched_at") -> DataFrame:
+def latest(df: DataFrame, keys: Sequence[str], ts_col: str = "fetched_at", ok: Column | None = None) -> DataFrame:
     """The most recent landed row per key (a key fetched again replaces its
-    older response). One aggregate per key; versions per key are few.
+    older response); with ``ok``, the most recent one that is, so a failed
+    retry does not erase an earlier success. One aggregate per key; versions
+    per key are few.
 
-    ``max`` of a struct led by the timestamp compares field by field, so
-    responses landed at the same instant still resolve deterministically.
+    ``max`` of a struct led by the flag and the timestamp compares field by
+    field, so responses landed at the same instant still resolve
+    deterministically.
     """
     others = [ts_col] + [c for c in df.columns if c not in keys and c != ts_col]
-    newest = F.max(F.struct(*others)).alias("_n")
+    good = F.lit(True) if ok is None else F.coalesce(ok, F.lit(False))
+    newest = F.max(F.struct(good.alias("_ok"), *others)).alias("_n")
     return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_n.{c}").alias(c) for c in others])
 
 
+def pending_stores(stores: DataFrame, store_tract: DataFrame) -> DataFrame:
+    """S13 for stores: those never geocoded, or geocoded without a tract, to fetch next."""
+    done = store_tract.where(F.col("TRACT").isNotNull()).select("STORE_ID").distinct()
+    columns = [c for c in ("LATITUDE", "LONGITUDE") if c in stores.columns]
+    return stores.select(id_text("STORE_ID").alias("STORE_ID"), *columns).join(done, "STORE_ID", "left_anti")
+
+
 def pending_keys(keys: DataFrame, landed: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct complete keys not landed yet (incremental work list).
 

@@ -1,6 +1,5 @@
-"""The presentation edge. Only small, already-aggregated results
-cross to the driver, and always behind a row cap that is part of the display
-(a table page), never a way to cut work.
+"""The presentation edge. Only already-aggregated results (a KPI row, a
+summary table, a chart's points) cross to the driver, whole.
 """
 
 from __future__ import annotations
@@ -8,11 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 
 
-def to_client(df: DataFrame, max_rows: int = 10_000, order_by: list[str | Column] | None = None):
-    """Hand an aggregated result to a client as pandas (sorted, capped)."""
-    if order_by:
-        df = df.orderBy(*order_by)
-    return df.limit(max_rows).toPandas()
+def to_client(df: DataFrame, order_by: list[str | Column] | None = None):
+    """Hand a result to a client as pandas, in display order and with every row."""
+    return (df.orderBy(*order_by) if order_by else df).toPandas()
 
 
 def scalar(df: DataFrame, default=None):

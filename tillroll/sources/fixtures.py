@@ -13,12 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.operators.period import filter_daily, filter_sets
 from tillroll.operators.rollup import daily_rollup
 from tillroll.sources.tables import load_table
 from tillroll.sources.schemas import ACS_VARS
 
-FACT_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}   # basket id of each fact table
-
 # Fixture mapping of part types to categories, and of order
 # priorities to payment types.
 CATEGORY_OF_TYPE = {"ECONOMY": "FUEL", "PROMO": "Packaged Beverages", "SMALL": "Energy Drinks", "LARGE": None}
@@ -27,7 +26,7 @@ STATE_FIPS = "16"
 
 
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return load_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", fact=FACT_KEYS.get(name, False))
+    return load_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _null_str() -> Column:
@@ -66,7 +65,8 @@ def items_view(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(
         F.col("l_orderkey").alias("TRANSACTION_SET_ID"),
         F.col("l_partkey").alias("GTIN"),
-        F.col("l_quantity").cast("decimal(18,2)").alias("UNIT_QUANTITY"),
+        # three decimals, as fuel lines have
+        (F.col("l_quantity").cast("decimal(15,3)") + (F.col("l_linenumber") % 8).cast("decimal(9,0)") * F.lit("0.125").cast("decimal(4,3)")).cast("decimal(18,3)").alias("UNIT_QUANTITY"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("GRAND_TOTAL_AMOUNT"),
     )
 
@@ -88,8 +88,16 @@ class RetailTables(dict):
         if key != "daily":
             raise KeyError(key)
         self["daily"] = daily_rollup(self["items"], self["sets"], self["gtin"])
+        self.derived = True
         return self["daily"]
 
+    def daily_in(self, year: int | None, months) -> DataFrame:
+        """The daily aggregate of a period. Where it is derived, the period restricts the baskets before the
+        join, so it reaches their scan; a table that was given is filtered (and pruned by its folders)."""
+        if "daily" in self and not getattr(self, "derived", False):
+            return filter_daily(self["daily"], year, months)
+        return daily_rollup(self["items"], filter_sets(self["sets"], year, months), self["gtin"])
+
 
 def retail_tables(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> RetailTables:
     """gtin, sets, items, stores and the daily aggregate (all lazy).
@@ -176,16 +184,19 @@ def county_payloads(nation: DataFrame) -> DataFrame:
     return nation.select(F.concat(F.lit("["), header, F.lit(","), row, F.lit("]")).alias("payload"))
 
 
-def supplier_county_payloads(supplier: DataFrame) -> DataFrame:
+def supplier_county_payloads(supplier: DataFrame, reverse: bool = False) -> DataFrame:
     """County-style responses with two data rows each, one per supplier; the
-    second row is short (no ``county``) when s_suppkey % 5 = 0."""
+    second row is short (no ``county``) when s_suppkey % 5 = 0. ``reverse``:
+    the variables come in the opposite order, after the name."""
     base = F.col("s_suppkey")
-    header = _json_array([F.lit(f'"{h}"') for h in (*ACS_VARS, "NAME", "state", "county")])
+    names = ("NAME", *reversed(ACS_VARS), "state", "county") if reverse else (*ACS_VARS, "NAME", "state", "county")
+    header = _json_array([F.lit(f'"{h}"') for h in names])
     state = _json_str(F.lpad(F.col("s_nationkey").cast("string"), 2, "0"))
 
     def row(tag: int, short: Column | None = None) -> Column:
         vals = [_json_str((base * k + tag).cast("string")) for k in range(1, len(ACS_VARS) + 1)]
-        vals += [_json_str(F.col("s_name")), state]
+        name = _json_str(F.col("s_name"))
+        vals = [name, *reversed(vals), state] if reverse else [*vals, name, state]
         full = _json_array(vals + [_json_str(F.concat(F.lpad(base.cast("string"), 5, "0"), F.lit(str(tag))))])
         return full if short is None else F.when(short, _json_array(vals)).otherwise(full)
 

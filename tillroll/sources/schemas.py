@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql.types import (
     ArrayType,
-    DateType,
-    DecimalType,
     DoubleType,
     IntegerType,
     LongType,
@@ -19,8 +17,6 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-AMOUNT = DecimalType(18, 2)
-
 # The ten American Community Survey 5-year variables the store
 # demographics compare, in request order (public Census variable codes).
 ACS_VARS = (
@@ -46,37 +42,54 @@ def _s(name, t, nullable=True):
     return StructField(name, t, nullable)
 
 
+def _id(name):
+    """Integers and text stay what they are."""
+    return StructField(name, LongType(), True, {"kind": "id"})
+
+
+def _amount(name):
+    """Any number keeps its type and scale; text becomes a double."""
+    return StructField(name, DoubleType(), True, {"kind": "amount"})
+
+
 DAILY = StructType([
-    _s("CALENDAR_YEAR", IntegerType()), _s("CALENDAR_MONTH", IntegerType()),
-    _s("CALENDAR_WEEK", IntegerType()), _s("CALENDAR_DATE", DateType()),
-    _s("STORE_ID", LongType()), _s("CATEGORY", StringType()), _s("SUBCATEGORY", StringType()),
+    _s("CALENDAR_YEAR", IntegerType()), _s("CALENDAR_MONTH", IntegerType()), _s("CALENDAR_WEEK", IntegerType()),
+    _id("STORE_ID"), _s("CATEGORY", StringType()), _s("SUBCATEGORY", StringType()),
     _s("BRAND", StringType()), _s("SKUPOS_DESCRIPTION", StringType()),
-    _s("TOTAL_REVENUE_AMOUNT", AMOUNT), _s("QUANTITY", AMOUNT), _s("TRANSACTION_COUNT", LongType()),
+    _amount("TOTAL_REVENUE_AMOUNT"), _amount("QUANTITY"), _s("TRANSACTION_COUNT", LongType()),
 ])
 
-# Source column names that differ from the contract (matched case-insensitively).
-DAILY_ALIASES = {"CALENDAR_WEEK": ("WEEk",)}
-
 SETS = StructType([
-    _s("TRANSACTION_SET_ID", LongType()), _s("DATE_TIME", TimestampType()),
-    _s("STORE_ID", LongType()), _s("GRAND_TOTAL_AMOUNT", AMOUNT), _s("PAYMENT_TYPE", StringType()),
+    _id("TRANSACTION_SET_ID"), _s("DATE_TIME", TimestampType()), _id("STORE_ID"), _amount("GRAND_TOTAL_AMOUNT"),
+    _s("PAYMENT_TYPE", StringType()),
 ])
 
-ITEMS = StructType([
-    _s("TRANSACTION_SET_ID", LongType()), _s("GTIN", LongType()),
-    _s("UNIT_QUANTITY", AMOUNT), _s("UNIT_PRICE", AMOUNT), _s("GRAND_TOTAL_AMOUNT", AMOUNT),
-])
+ITEMS = StructType([_id("TRANSACTION_SET_ID"), _id("GTIN"), _amount("UNIT_QUANTITY"), _amount("GRAND_TOTAL_AMOUNT")])
 
-GTIN = StructType([
-    _s("GTIN", LongType()), _s("CATEGORY", StringType()), _s("SUBCATEGORY", StringType()),
-    _s("BRAND", StringType()), _s("SKUPOS_DESCRIPTION", StringType()),
-])
+GTIN = StructType([_id("GTIN"), _s("CATEGORY", StringType()), _s("SKUPOS_DESCRIPTION", StringType())])
 
 STORES = StructType([
-    _s("STORE_ID", LongType()), _s("LATITUDE", DoubleType()), _s("LONGITUDE", DoubleType()),
+    _id("STORE_ID"), StructField("LATITUDE", DoubleType(), True, {"optional": True}),
+    StructField("LONGITUDE", DoubleType(), True, {"optional": True}),
     _s("STATE", StringType()), _s("CITY", StringType()), _s("STORE_CHAIN_NAME", StringType()),
 ])
 
+# Source column names that differ from the contract (matched case-insensitively).
+ALIASES = {"daily": {"CALENDAR_WEEK": ("WEEk",)}}
+
+# The data folder's nine tables, their files, and the contracts of those that the queries use.
+DATASETS = (
+    ("gtin", "cstore_master_ctin.parquet", GTIN),
+    ("discounts", "cstore_discounts.parquet", None),
+    ("stores", "cstore_stores.parquet", STORES),
+    ("payments", "cstore_payments.parquet", None),
+    ("daily", "cstore_transactions_daily_agg.parquet", DAILY),
+    ("shopper", "cstore_shopper.parquet", None),
+    ("sets", "cstore_transaction_sets.parquet", SETS),
+    ("status", "cstore_store_status.parquet", None),
+    ("items", "transaction_items", ITEMS),
+)
+
 STORE_TRACT = StructType([_s("STORE_ID", StringType())] + [_s(k, StringType()) for k in TRACT_KEYS])
 
 TRACT_ACS = StructType([_s(k, StringType()) for k in TRACT_KEYS] + [_s(v, StringType()) for v in ACS_VARS])

@@ -4,23 +4,24 @@ materialisation of derived tables and freshness of landed lookups.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, NumericType, StringType, StructType
 
 
 def check_contract(df: DataFrame, schema: StructType, name: str = "table",
                    aliases: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
-    """Fail fast when a required column is missing; project to the contract.
+    """Fail fast when a column that the queries use is missing; project to the contract.
 
     Names match case-insensitively; ``aliases`` maps a contract name to
-    source names it may appear under (``WEEk`` -> ``CALENDAR_WEEK``). Types
-    are cast to the contract type (a no-op when they already agree), so
-    downstream arithmetic sees the documented types.
+    source names it may appear under (``WEEk`` -> ``CALENDAR_WEEK``). Ids and
+    amounts keep the type (and so the scale) they come in, as long as it is
+    the right kind; other columns are cast to the contract type (a no-op when
+    they already agree). Columns the contract doesn't name are dropped.
     """
     have = {f.name.lower(): f.name for f in df.schema.fields}
     for target, sources in (aliases or {}).items():
@@ -29,68 +30,61 @@ def check_contract(df: DataFrame, schema: StructType, name: str = "table",
                 if src.lower() in have:
                     have[target.lower()] = have[src.lower()]
                     break
-    missing = [f.name for f in schema.fields if f.name.lower() not in have]
+    missing = [f.name for f in schema.fields if f.name.lower() not in have and not f.metadata.get("optional")]
     if missing:
         raise ValueError(f"{name}: missing columns {missing}")
     cols = []
     for f in schema.fields:
+        if f.name.lower() not in have:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+            continue
         src = F.col(f"`{have[f.name.lower()]}`")
         actual = df.schema[have[f.name.lower()]].dataType
-        cols.append((src if actual == f.dataType else src.cast(f.dataType)).alias(f.name))
+        kind = f.metadata.get("kind")
+        own = kind == "id" and isinstance(actual, (IntegralType, StringType)) or kind == "amount" and isinstance(actual, NumericType)
+        cols.append((src if own or actual == f.dataType else src.cast(f.dataType)).alias(f.name))
     return df.select(*cols)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None, key: str | None = None) -> DataFrame:
-    """Use every core even when a scan yields few partitions.
-
-    Parquet splits at row-group boundaries, so a table stored as a few huge
-    row groups scans in a few tasks and everything up to the first shuffle
-    (joins with broadcast dimensions, partial aggregation) runs there too.
-    Below ``min_partitions`` (default: the cluster's default parallelism)
-    the rows are redistributed - by ``key`` when given (the basket id of a
-    fact table, so a later broadcast join keeps that partitioning and the
-    per-basket aggregates need no further exchange), else round-robin. At
-    scale, where a scan has thousands of splits, this is a no-op and adds no
-    shuffle.
-    """
-    spark = df.sparkSession
-    try:
-        n = min_partitions or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view
-        return df
-    if have >= n:
-        return df
-    if key:
-        # Same count as the shuffles that follow, so a later join or
-        # aggregate on ``key`` reuses this partitioning.
-        return df.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
-    return df.repartition(n)
-
-
 def load_table(spark: SparkSession, path: str | list[str], schema: StructType | None = None,
-               name: str = "table", fact: bool | str = False,
-               aliases: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
+               name: str = "table", aliases: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
     """Read a Parquet table (file, folder or list of files).
 
     With a contract, columns are pruned to it and checked; Parquet still only
     reads the columns a later query uses (column pruning) and row groups its
-    filters keep (pushed filters). ``fact=True`` (or the name of the join
-    key) applies :func:`spread`.
+    filters keep (pushed filters).
     """
     paths = [path] if isinstance(path, str) else list(path)
     df = spark.read.parquet(*paths)
-    if fact:
-        df = spread(df, key=fact if isinstance(fact, str) else None)
     return check_contract(df, schema, name, aliases) if schema is not None else df
 
 
+def load_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """S3: the nine named tables of a data folder, under their contracts, also as temp views.
+
+    The five that the queries use must be there; the other four are loaded as
+    they are where present. The item table is a folder of any number of parts.
+    """
+    from tillroll.sources import schemas
+
+    root = folder.rstrip("/")
+    out = {}
+    for name, file, contract in schemas.DATASETS:
+        if contract is None:
+            df = read_or_none(spark, f"{root}/{file}")
+            if df is not None:
+                out[name] = df
+        else:
+            out[name] = load_table(spark, f"{root}/{file}", contract, name, schemas.ALIASES.get(name))
+    return register(spark, out)
+
+
 def load_daily(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The daily aggregate under its contract (source ``WEEk`` is normalised
     to ``CALENDAR_WEEK``); partition columns of a year/month layout prune."""
-    from tillroll.sources.schemas import DAILY, DAILY_ALIASES
+    from tillroll.sources.schemas import ALIASES, DAILY
 
-    return load_table(spark, path, DAILY, "daily", aliases=DAILY_ALIASES)
+    return load_table(spark, path, DAILY, "daily", aliases=ALIASES["daily"])
 
 
 def load_items(spark: SparkSession, path: str | list[str], schema: StructType | None = None) -> DataFrame:
@@ -100,16 +94,7 @@ def load_items(spark: SparkSession, path: str | list[str], schema: StructType |
     files into ``spark.sql.files.maxPartitionBytes`` pieces, so part count
     does not bound parallelism.
     """
-    return load_table(spark, path, schema, "items", fact="TRANSACTION_SET_ID")
-
-
-def stack(frames: Iterable[DataFrame]) -> DataFrame:
-    """U1 for frames: union all by name; schemas must agree."""
-    frames = list(frames)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return load_table(spark, path, schema, "items")
 
 
 def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
@@ -151,8 +136,9 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str
     Writing the basket table and the line table once with the same bucket
     count on the basket id makes every later basket join a sort-merge join
     with *no* exchange on either side (and the per-basket aggregates stay in
-    the same stage), instead of shuffling both fact tables per query. Read
-    bucketed tables with ``spark.table`` and do not ``spread`` them.
+    the same stage; a hot basket then stays in one bucket, so leave tables
+    with one to AQE), instead of shuffling both fact tables per query. Read
+    bucketed tables with ``spark.table``.
     """
     df.write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
     return df.sparkSession.table(table)
@@ -171,14 +157,6 @@ def read_or_none(spark: SparkSession, path: str, schema: StructType | None = Non
         return None
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Like :func:`read_or_none` but an empty typed frame when missing, so a
-    left join against a not-yet-landed lookup still plans (all matches NULL).
-    """
-    df = read_or_none(spark, path, schema)
-    return df if df is not None else spark.createDataFrame([], schema)
-
-
 def read_if_fresh(df: DataFrame, ttl_seconds: int = 7200, ts_col: str = "fetched_at",
                   now: Column | None = None) -> DataFrame:
     """Landed lookup rows younger than ``ttl_seconds`` (default two hours)."""
@@ -186,9 +164,13 @@ def read_if_fresh(df: DataFrame, ttl_seconds: int = 7200, ts_col: str = "fetched
     return df.where(F.col(ts_col) > now - F.make_interval(secs=F.lit(ttl_seconds)))
 
 
-def refresh(spark: SparkSession, paths: Iterable[str], frames: Iterable[DataFrame] = ()) -> None:
-    """Drop cached copies of derived tables so the next read sees new files."""
+def refresh(spark: SparkSession, derived: Mapping[str, Callable[[], DataFrame]], frames: Iterable[DataFrame] = ()) -> dict[str, DataFrame]:
+    """Rebuild derived tables. Each path is written anew from its function, cached copies are dropped, and the new tables are returned by path."""
     for f in frames:
         f.unpersist()
-    for p in paths:
-        spark.catalog.refreshByPath(p)
+    out = {}
+    for path, build in derived.items():
+        materialize(build(), path)
+        spark.catalog.refreshByPath(path)
+        out[path] = spark.read.parquet(path)
+    return out
