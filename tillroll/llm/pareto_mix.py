@@ -99,7 +99,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix-
     outer = ranked.where(~crossing).withColumn("more", (F.col("before") + F.col("words") <= F.col("rest")).cast("int"))
     columns = ["doc_id", "size", "source_size", "target", "whole", "more", "p", "source", "draw"]
     both = outer.select(*columns).unionByName(inner.select(*columns))
-    copies = F.col("whole") + F.when(F.col("p") > 0, F.col("more")).otherwise(0)
+    copies = F.col("whole") + F.when((F.col("p") > 0) & (F.col("size") > 0), F.col("more")).otherwise(0)
     return both.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"), "source", "draw")
 
 

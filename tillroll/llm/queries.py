@@ -58,4 +58,40 @@ def op10_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_weak_labels, op3_id_shards, op4_compact_windows, op5_nn_descent, op6_heap_bpe, op7_count_rtree,
                                     op8_itq_dups, op9_automaton_bpe, op10_ngram_trie)}
 
-ORACLE: dict[str, str] = {}
+#: The mix without bins: every source ranked as a whole. Other operators hash, encode or search: tests/llm holds
+#: them against brute force, round trips, the libraries themselves or measured recall.
+ORACLE: dict[str, str] = {"op1_pareto_mix": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(concat_ws('|', 'mix-1', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(source, ''), coalesce(text, ''))) AS draw
+  FROM documents),
+drawn AS (SELECT *, (CAST(CAST('0x' || substr(draw, 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM d),
+sized AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+weighed AS (
+  SELECT *, source_size * CAST(2.0 AS DOUBLE) AS most,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN CAST(5 AS DOUBLE) WHEN 1 THEN CAST(2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS w
+  FROM sized),
+levels AS (
+  SELECT *, most / w AS ratio,
+    (CAST((SELECT sum(source_size) FROM sized) AS DOUBLE) * CAST(1.5 AS DOUBLE)
+      - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+targets AS (
+  SELECT source, source_size, CASE WHEN level >= ratio THEN most ELSE (SELECT max(level) FROM levels WHERE level < ratio) * w END AS target FROM levels),
+rates AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE CAST(0 AS DOUBLE) END AS rate FROM targets),
+parts AS (
+  SELECT *, floor(rate) AS whole, rate - floor(rate) AS p, target - floor(rate) * source_size AS rest FROM rates),
+ranked AS (
+  SELECT d.*, t.source_size, t.target, t.whole, t.p, t.rest,
+    CASE WHEN t.p > 0 THEN d.u / (1 - d.u) / (t.p / (1 - t.p)) ELSE CAST('inf' AS DOUBLE) END AS rnk
+  FROM drawn d JOIN parts t ON d.source IS NOT DISTINCT FROM t.source),
+summed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rnk, u, doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reached,
+    sum(size) OVER (PARTITION BY source, rnk, u, doc_id, size) AS step FROM ranked),
+decided AS (
+  SELECT *, CAST(whole AS BIGINT) + CASE WHEN p > 0 AND size > 0 AND reached - step < rest AND (reached <= rest OR reached - rest <= rest - (reached - step))
+    THEN 1 ELSE 0 END AS copies FROM summed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies, source, draw FROM decided
+"""}
