@@ -232,8 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE):
     rows.sort(key=lambda r: str(r["doc_id"]))
     trained = []
     for column, (share, table) in zip(("q", "t"), models, strict=True):
-        v = np.array([["01-".index(c) for c in r[column]] for r in rows]).reshape(len(rows), -1)
-        p = posterior(v, share, table) if len(rows) else []
+        p = posterior(np.array([["01-".index(c) for c in r[column]] for r in rows]), share, table) if rows else []
         trained.append(train([(np.frombuffer(r["w"], np.int32), np.frombuffer(r["s"], np.int32), float(x)) for r, x in zip(rows, p, strict=True)]))
     shipped = spark.sparkContext.broadcast(trained)   # 2 x BUCKETS weights
 
