@@ -2,8 +2,10 @@
 
 Step 1 materialises the supporting ``daily`` aggregate (partitioned by year
 and month, as the dashboard receives it) into the session's shared
-checkpoint folder; steps 2.. time each page pulling all of its result
-frames. Each timing is the median of ``BENCH_REPS`` runs after a warm-up.
+checkpoint folder; steps 2.. time each page computing all of its result
+frames (a no-op write: no row crosses to the driver). Each timing is the
+median of ``BENCH_REPS`` runs after a warm-up. ``fixed_cost`` is what a page
+takes over empty tables; only the rest grows with the data.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_REPS (default 3), BENCH_EVENT_LOG (optional folder for Spark's event
@@ -28,13 +30,12 @@ from tillroll.sources import fixtures, tables  # noqa: E402
 YEAR, MONTHS = 1997, (1, 2, 3)
 
 
-def _pull(frames: dict) -> int:
-    n = 0
+def _pull(frames: dict) -> None:
+    """Compute every frame in full; nothing crosses to the driver."""
     for df in frames.values():
-        n += len(df.collect())
+        df.write.format("noop").mode("overwrite").save()
     if hasattr(frames, "release"):
         frames.release()
-    return n
 
 
 def _sf_number(sf_dir: str):
@@ -53,7 +54,7 @@ def main() -> None:
     if os.environ.get("BENCH_EVENT_LOG"):   # stage/task times without any UI
         extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
     spark = local_session(cpus, cpus * 2, app_name="tillroll-bench", extra=extra)
-    root = ensure_checkpoint_dir(spark, "/tmp/tillroll-checkpoints")
+    root = ensure_checkpoint_dir(spark, "/tmp/tillroll-checkpoints")   # used only where none is set (local runs)
     out_dir = f"{root.rstrip('/')}/tillroll-bench-{uuid.uuid4().hex[:8]}"
 
     t = fixtures.retail_tables(spark, sf_dir)
@@ -92,12 +93,24 @@ def main() -> None:
     timed("payments", lambda: _pull(pages.payments_page(pt, None, None, ("CASH", "CREDIT", "DEBIT"))))
     timed("demographics", lambda: _pull(pages.demographics_page(pt, census_parsed)))
 
+    # What a page costs besides its data: the same pages over the same tables with no rows in them.
+    empty = fixtures.retail_tables(spark, sf_dir, daily=daily.where("false"))
+    for name in ("gtin", "sets", "items", "stores"):
+        empty[name] = empty[name].where("false")
+    fixed: dict[str, float] = {}
+    for name, page in {"home": lambda x: pages.home_page(x, YEAR, MONTHS), "top_products": pages.top_products_page, "brands": pages.brands_page, "payments": pages.payments_page}.items():
+        _pull(page(empty))
+        t0 = time.perf_counter()
+        _pull(page(empty))
+        fixed[name] = round(time.perf_counter() - t0, 3)
+
     med = {k: round(statistics.median(v), 3) for k, v in timings.items()}
     print(json.dumps({
         "metric": "dashboard_pages_total_median",
         "value": round(sum(med.values()), 3),
         "unit": "sec",
         "queries": med,
+        "fixed_cost": fixed,
         "sf": _sf_number(sf_dir),
         "cpus": cpus,
         "reps": reps,

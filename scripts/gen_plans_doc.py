@@ -11,10 +11,7 @@ spark = local_session(8, 8, extra={"spark.sql.autoBroadcastJoinThreshold": "-1",
 names = ["daily_rollup", "payment_summary_published", "top_products_by_payment", "weekly_top_products", "items_in_period"]
 out = ["# Physical plans at scale settings", "",
        "Generated by `python scripts/gen_plans_doc.py` (size-based broadcasts and AQE off, so",
-       "every exchange a large cluster would run is visible; the product master is still broadcast",
-       "because `sized_broadcast` checked its row count). Only the operator trees are kept.",
-       "The `Exchange` directly above a `Scan` of lineitem/orders is `tables.spread`: the test files are",
-       "a single row group, so the scan is redistributed by basket id; on split-rich input it is absent.", ""]
+       "every exchange a large cluster would run is visible). Only the operator trees are kept.", ""]
 for n in names:
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
