@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +79,13 @@ def _lists(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[n]) for c, n in zip(columns, names, strict=True)], names)
 
 
+def _flat(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vec_id, ends, values) of a column of lists: row i has values[ends[i]:ends[i + 1]]; a null list is empty."""
+    lists = table.column(column).combine_chunks()
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return table.column("vec_id").to_numpy(), np.concatenate([[0], np.cumsum(size)]), lists.flatten().to_numpy(zero_copy_only=False)
+
+
 class Graph:
     """The neighbour graph of a table: ``vectors`` (vec_id, part, v) and ``lists`` (vec_id, part, ids, scores)."""
 
@@ -129,10 +137,9 @@ class Graph:
             part = table.column("part").to_numpy()
             x = np.stack([np.frombuffer(v, np.float64) for v in table.column("v").to_pylist()])
             s = x @ x.T
-            out = []
-            for i in range(len(ids)):
-                others = np.arange(len(ids)) != i
-                out.append((ids[i], part[i], *nearest(ids[others], s[i][others], k)))
+            np.fill_diagonal(s, -np.inf)
+            best = np.argpartition(-s, min(k, len(ids) - 1) - 1, axis=1)[:, :min(k, len(ids) - 1)] if len(ids) > 1 else np.zeros((len(ids), 0), np.int64)
+            out = [(v, p, ids[b], s[i, b]) for i, (v, p, b) in enumerate(zip(ids, part, best, strict=True))]
             return pa.Table.from_batches([_lists(out, ["vec_id", "part", "ids", "scores"])])
 
         found = rows.groupBy("tree", "leaf", "block").applyInArrow(within, f"vec_id long, part long, {_LIST}")
@@ -172,17 +179,37 @@ class Graph:
             order = np.argsort(vec_ids)
             vec_ids = vec_ids[order]
             x = np.frombuffer(b"".join(vectors.column("v").to_pylist()), np.float64).reshape(len(vec_ids), -1)[order]
-            near = dict(zip(lists.column("vec_id").to_pylist(), (np.array(i, np.int64) for i in lists.column("ids").to_pylist()), strict=True))
+            list_ids, ends, near = _flat(lists, "ids")   # every id in a list has its vector here
+            near = np.searchsorted(vec_ids, near)
+            by_id = np.argsort(list_ids)
+            own_ids, own_part = own.column("vec_id").to_numpy(), own.column("part").to_numpy()
+            _, expand_ends, expand = _flat(own, "expand")
+            at = np.minimum(np.searchsorted(list_ids, expand, sorter=by_id), max(0, len(list_ids) - 1))
+            expand = np.where(list_ids[by_id[at]] == expand, by_id[at], -1) if len(list_ids) else np.full(len(expand), -1)
+            _, had_ends, had = _flat(own, "ids")
+            had_scores = _flat(own, "scores")[2]
+            place = np.searchsorted(vec_ids, own_ids)
+            seen = np.zeros(len(vec_ids), bool)
             out = []
-            for v, part, ids, scores, expand in zip(*(own.column(c).to_pylist() for c in ("vec_id", "part", "ids", "scores", "expand")), strict=True):
-                had, had_scores = np.array(ids or [], np.int64), np.array(scores or [], np.float64)
-                new = np.unique(np.concatenate([near[u] for u in expand or [] if u in near] or [np.zeros(0, np.int64)]))
-                new = new[(new != v) & ~np.isin(new, had)]
-                if len(new):
-                    me = x[np.searchsorted(vec_ids, v)]
-                    s = x[np.searchsorted(vec_ids, new)] @ me
-                    had, had_scores = np.concatenate([had, new]), np.concatenate([had_scores, s])
-                out.append((v, part, *nearest(had, had_scores, keep)))
+            for first in range(0, len(own_ids), 128):
+                scores = x[place[first:first + 128]] @ x.T
+                for i in range(first, min(first + 128, len(own_ids))):
+                    old, old_scores = had[had_ends[i]:had_ends[i + 1]], had_scores[had_ends[i]:had_ends[i + 1]]
+                    through = [near[ends[u]:ends[u + 1]] for u in expand[expand_ends[i]:expand_ends[i + 1]] if u >= 0]
+                    if through:
+                        seen[np.concatenate(through)] = True
+                        seen[place[i]] = False
+                        spot = np.minimum(np.searchsorted(vec_ids, old), len(vec_ids) - 1)
+                        seen[spot[vec_ids[spot] == old]] = False
+                        new = np.flatnonzero(seen)
+                        seen[new] = False
+                        s = scores[i - first, new]
+                        if len(new) > keep:   # ties with the last stay until they are ordered
+                            good = s >= np.partition(s, len(s) - keep)[len(s) - keep]
+                            new, s = new[good], s[good]
+                        old, old_scores = np.concatenate([old, vec_ids[new]]), np.concatenate([old_scores, s])
+                    best = np.lexsort((old, -old_scores))[:keep]
+                    out.append((own_ids[i], own_part[i], old[best], old_scores[best]))
             return pa.Table.from_batches([_lists(out, ["vec_id", "part", "ids", "scores"])])
 
         return rows.groupBy("part").applyInArrow(step, f"vec_id long, part long, {_LIST}")
