@@ -2,7 +2,8 @@
 
 No match of the splitting pattern runs past the start of white space that follows something else, so a text
 may be cut before each space or line feed that has no white space before it. Most pieces are words that
-come again and again; a worker remembers what they gave, up to ``MEMO_LIMIT`` pieces, then starts afresh.
+come again and again; a worker remembers what they gave. When ``MEMO_LIMIT`` pieces are held, they become the old
+generation: those met again move to the new one, the rest go with the next change.
 """
 
 from __future__ import annotations
@@ -10,12 +11,11 @@ from __future__ import annotations
 import re
 
 #: Every character that any of the libraries takes for white space, but for space and line feed.
-OTHER_SPACES = ("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 ᠎       "
-                "        　")
+OTHER_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _CUT = re.compile(r"(?<=[^\s" + OTHER_SPACES + r"])(?=[ \n])")
 
-#: Pieces a worker remembers (about 200 bytes each).
+#: Pieces in each of the two generations a worker remembers (about 200 bytes each).
 MEMO_LIMIT = 300_000
 
 
@@ -33,34 +33,39 @@ class Memo:
         self.encode_many, self.limit = encode_many, limit
         self.spaced: dict = {}   # of " " + key, or of the key if it begins with a line feed
         self.whole: dict = {}    # of the key itself
+        self.old: tuple[dict, dict] = ({}, {})
 
-    def _fill(self, memo: dict, keys, pieces) -> None:
-        memo.update(zip(keys, self.encode_many(pieces), strict=True))
+    def _fill(self, memo: dict, old: dict, keys: list[str], piece) -> None:
+        new = []
+        for k in dict.fromkeys(keys):
+            if k not in memo:
+                if (v := old.get(k)) is None:
+                    new.append(k)
+                else:
+                    memo[k] = v
+        if new:
+            memo.update(zip(new, self.encode_many([piece(k) for k in new]), strict=True))
 
     def of(self, text: str) -> list:
         """What the pieces of the text give, in order."""
         if not text:
             return []
         if len(self.spaced) + len(self.whole) > self.limit:
-            self.spaced.clear()
-            self.whole.clear()
+            self.old, self.spaced, self.whole = (self.spaced, self.whole), {}, {}
         if not _plain(text):
             keys = _CUT.split(text)
-            new = list({k: None for k in keys if k not in self.whole})
-            if new:
-                self._fill(self.whole, new, new)
+            self._fill(self.whole, self.old[1], keys, str)
             return list(map(self.whole.__getitem__, keys))
         keys = text.replace("\n", " \n").split(" ")
         first = keys[0]
         if first not in self.whole:
-            self._fill(self.whole, [first], [first])
+            self._fill(self.whole, self.old[1], [first], str)
         keys[0] = first = self.whole[first]
         memo = self.spaced
         try:
             out = list(map(memo.__getitem__, keys[1:]))
         except KeyError:
-            new = list({k: None for k in keys[1:] if k not in memo})
-            self._fill(memo, new, [k if k[:1] == "\n" else f" {k}" for k in new])
+            self._fill(memo, self.old[0], keys[1:], lambda k: k if k[:1] == "\n" else f" {k}")
             out = list(map(memo.__getitem__, keys[1:]))
         out.insert(0, first)
         return out
