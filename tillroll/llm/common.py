@@ -65,9 +65,14 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     Returns (bounds, codes, dictionary): text i has the words ``codes[bounds[i]:bounds[i + 1]]``, numbers
     into ``dictionary`` (binary). A null text has no words.
     """
-    words = [t.lower().split() for t in pc.fill_null(texts, "").cast(pa.binary()).to_pylist()]   # bytes: ASCII only
-    bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, count=len(words)))]).astype(np.int64)
-    enc = pa.array(list(chain.from_iterable(words)), pa.large_binary()).dictionary_encode()
+    raw = pc.fill_null(texts, "").cast(pa.binary())
+    counts, parts = [np.zeros(1, np.int64)], [pa.array([], pa.large_binary())]
+    for at in range(0, len(raw), 256):   # few words are Python objects at once
+        words = [t.lower().split() for t in raw.slice(at, 256).to_pylist()]   # bytes: ASCII only
+        counts.append(np.fromiter(map(len, words), np.int64, count=len(words)))
+        parts.append(pa.array(list(chain.from_iterable(words)), pa.large_binary()))
+    bounds = np.cumsum(np.concatenate(counts))
+    enc = pa.concat_arrays(parts).dictionary_encode()
     return bounds, enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), enc.dictionary
 
 
