@@ -7,7 +7,7 @@ bad documents, without knowing which are which. The posteriors then label a boun
 documents, on which a hashed linear scorer is trained; the scorer gives every whole document's probability.
 The same is done for a second target, toxicity, with labellers of its own.
 
-A document is kept if it is more likely good than not and not more likely toxic than not. Null texts and texts
+A document is kept if it is more likely good than not and its probability of being toxic is under ``TOXIC_FROM``. Null texts and texts
 without words have probability 0 of being good and are not kept. Rows with the same id each get their row;
 extra columns go no further; an empty table gives an empty result (with nothing to learn from, any table does
 as the labellers' starting accuracies say).
@@ -30,6 +30,10 @@ from tillroll.llm.common import fresh, hash_words, land, mix64, slices, words_of
 SAMPLE = 8000
 #: Weights of the scorer (a power of two).
 BUCKETS = 1 << 18
+#: Under so many words a text's averages say little: labellers abstain and the scorer sees a step of their own.
+SHORT = 40
+#: Probability from which a document counts as toxic: the scorer shrinks what few words say.
+TOXIC_FROM = 0.1
 #: Features in fewer documents of the sample get no weight.
 LEAST_DOCS = 3
 
@@ -81,18 +85,18 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def votes(s: dict[str, np.ndarray]) -> tuple[list[str], list[str]]:
     """Vote patterns for quality (1 good, 0 bad, - abstains) and toxicity, without the people's votes."""
-    long = s["n"] >= 40
+    long = s["n"] >= SHORT
 
     def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
         return np.where(bad, "0", np.where(good, "1", "-"))
 
-    q = [vote(s["upper"] > 0.3, s["upper"] < 0.1),
+    q = [vote(s["upper"] > 0.3, s["upper"] < 0.15),
          vote(s["symbols"] > 0.03, s["symbols"] < 0.005),
          vote(s["repeats"] > 0.2, long & (s["repeats"] < 0.05)),
          vote(s["lines"] > 0.3, s["lines"] < 0.1),
          vote(long & (s["variety"] < 3), long & (s["variety"] > 5)),
          vote(long & ((s["sentences"] < 0.01) | (s["sentences"] > 0.6)), (s["sentences"] > 0.03) & (s["sentences"] < 0.4)),
-         vote((s["length"] > 6.5) | (s["length"] < 3.5), (s["length"] > 4.4) & (s["length"] < 5.8))]
+         vote(long & ((s["length"] > 6.5) | (s["length"] < 3.5)), (s["length"] > 4.4) & (s["length"] < 5.8))]
     t = [np.where(s["insults"] > 0, "1", "-")]
     return ["".join(x) for x in zip(*q, strict=True)], ["".join(x) for x in zip(*t, strict=True)]
 
@@ -147,7 +151,7 @@ def features(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], dict[
     else:
         of_word = np.zeros((3, 0), np.int32)
     words = [np.unique(of_word[:, u]) for u in s["unique"]]
-    steps = [np.minimum(s[k] * m, 15).astype(np.int64) for k, m in
+    steps = [np.where((s["n"] < SHORT) & (k not in ("upper", "symbols")), 40, np.minimum(s[k] * m, 15)).astype(np.int64) for k, m in
              (("upper", 15), ("symbols", 60), ("repeats", 15), ("lines", 10), ("variety", 1), ("sentences", 15), ("length", 2))]
     shapes = [(mix64(np.array([j * 64 + x[i] for j, x in enumerate(steps)], np.uint64) + np.uint64(7777)) & mask).astype(np.int32) for i in range(len(words))]
     return words, shapes, s
@@ -158,7 +162,8 @@ def margin(words: np.ndarray, shapes: np.ndarray, w: np.ndarray, bias: float) ->
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, decay: float = 1e-4, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """Logistic regression by full-batch AdaGrad; the labels are probabilities."""
+    """Logistic regression by full-batch AdaGrad; the labels are probabilities. A feature counts by its log odds
+    between the classes, so the few telling ones outweigh the many that every document has."""
     w, bias = np.zeros(BUCKETS, np.float64), 0.0
     if not rows:
         return w.astype(np.float32), bias
@@ -171,6 +176,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, d
     keep = used[at]
     at, row, value = at[keep], row[keep], value[keep]
     names, at = np.unique(at, return_inverse=True)
+    in_one, in_all = np.bincount(at, weights=y[row], minlength=len(names)) + 1, np.bincount(at, minlength=len(names)) + 2
+    tell = np.log(in_one / (y.sum() + 1)) - np.log((in_all - in_one) / (len(y) - y.sum() + 1))
+    value = value * tell[at]
     v, past, past_bias = np.zeros(len(names)), np.full(len(names), 1e-6), 1e-6
     for _ in range(rounds):
         z = bias + np.bincount(row, weights=v[at] * value, minlength=len(y))
@@ -181,7 +189,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, d
         gb = error.sum()
         past_bias += gb * gb
         bias -= rate * gb / math.sqrt(past_bias)
-    w[names] = v
+    w[names] = v * tell
     return w.astype(np.float32), float(bias)
 
 
@@ -244,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE):
     return score
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, threshold: float = 0.5, toxic: float = TOXIC_FROM) -> DataFrame:
     """(doc_id, p_good, p_toxic, kept) of every document."""
     score = fit(docs, labels, sample)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -252,20 +260,20 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAM
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                good, toxic = score(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(good), pa.array(toxic), pa.array((good >= threshold) & (toxic < threshold))], ["doc_id", "p_good", "p_toxic", "kept"])
+                good, bad = score(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(good), pa.array(bad), pa.array((good >= threshold) & (bad < toxic))], ["doc_id", "p_good", "p_toxic", "kept"])
 
     return fresh(docs, doc_id="doc_id", text="text").mapInArrow(run, f"doc_id {kind}, p_good double, p_toxic double, kept boolean")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, threshold: float = 0.5, toxic: float = TOXIC_FROM) -> DataFrame:
     """The documents that are kept, with all their columns."""
     score = fit(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                good, toxic = score(part.column("text"))
-                yield part.filter(pa.array((good >= threshold) & (toxic < threshold)))
+                good, bad = score(part.column("text"))
+                yield part.filter(pa.array((good >= threshold) & (bad < toxic)))
 
     return docs.mapInArrow(run, docs.schema)
