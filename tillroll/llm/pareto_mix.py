@@ -7,8 +7,8 @@ until the words still missing are reached (the last one only if that comes neare
 unequal-probability sample, as p differs between sources and, with ``weight``, between documents.
 
 Ranks are summed without one task holding a source: words are pre-aggregated by (source, bin of u), a prefix
-sum over the bins (at most ``BINS`` rows a source) finds the bin where the target is reached, and only that
-bin's rows are ranked one by one.
+sum over the bins (at most ``BINS`` rows a source) finds the bin where the target is reached, that bin is cut
+into as many again, and only the rows of the one of these that holds the target are ranked one by one.
 
 Null text: size 0. Null source: a source of its own, last in order. Rows that repeat a document (same id,
 text and source) share a draw and so their fate. Extra columns go no further; an empty table gives an empty
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import WORD, fresh, land
 
-#: Bins of the draw in which a source's words are pre-aggregated.
-BINS = 16384
+#: Bins of the draw in which a source's words are pre-aggregated, and again of the bin where the target lies.
+BINS = 128
 
 
 def targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -54,6 +54,17 @@ def draw_of(doc_id: Column, source: Column, text: Column, seed: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), part(doc_id), part(source), part(text)))
 
 
+def _located(rows: DataFrame, column: str) -> DataFrame:
+    """Rows of (source, column, size, before) with the ``words`` of their bin, and ``before`` grown by those of the
+    source's earlier bins."""
+    bins = rows.groupBy("source", column).agg(F.sum("size").alias("words"), F.min("before").alias("base"))
+    upto = Window.partitionBy("source").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(F.col("source").alias("b_source"), F.col(column).alias("b_bin"), "words",
+                       (F.col("base") + F.coalesce(F.sum("words").over(upto), F.lit(0))).alias("b_before"))
+    at = F.col("source").eqNullSafe(F.col("b_source")) & (F.col(column) == F.col("b_bin"))
+    return rows.drop("words", "before").join(bins, at).withColumnRenamed("b_before", "before").drop("b_source", "b_bin")
+
+
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix-1", weight: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, source, draw) of every document.
 
@@ -81,22 +92,21 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix-
     rank = F.when(F.col("p") > 0, F.col("u") / (1 - F.col("u")) / inclusion).otherwise(F.lit(float("inf")))
     ranked = ranked.withColumn("rank", rank)
     place = F.when(F.col("p") > 0, F.col("rank") * F.col("p") / (1 - F.col("p")))   # the draw's own odds, when documents weigh the same
-    ranked = ranked.withColumn("bin", F.coalesce(F.least(F.floor(place / (1 + place) * BINS), F.lit(BINS - 1)), F.lit(BINS - 1)).cast("int"))
-    bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(F.col("source").alias("b_source"), F.col("bin").alias("b_bin"), "words", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("before"))
-    at = (F.col("source").eqNullSafe(F.col("b_source"))) & (F.col("bin") == F.col("b_bin"))
-    ranked = ranked.join(bins, at).drop("b_source", "b_bin")
+    spot = F.coalesce(F.least(F.floor(place / (1 + place) * (BINS * BINS)), F.lit(BINS * BINS - 1)), F.lit(BINS * BINS - 1)).cast("int")
+    ranked = ranked.withColumn("coarse", F.floor(spot / BINS).cast("int")).withColumn("bin", spot).withColumn("before", F.lit(0).cast("long"))
+    ranked = _located(ranked, "coarse")
     crossing = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
+    below = (F.col("before") + F.col("words") <= F.col("rest")).cast("int")
+    inner = _located(ranked.where(crossing), "bin")
+    outer = ranked.where(~crossing).withColumn("more", below).unionByName(inner.where(~crossing).withColumn("more", below))
+    inner = inner.where(crossing)
     order = Window.partitionBy("source", "bin").orderBy(F.struct("rank", "u", "doc_id", "size")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     peers = Window.partitionBy("source", "bin", "rank", "u", "doc_id", "size")
-    inner = ranked.where(crossing)
     inner = inner.withColumn("reached", F.col("before") + F.sum("size").over(order)).withColumn("step", F.sum("size").over(peers))
     # taken if it ends below the target, or steps over it and so comes nearer than stopping before it
     nearer = F.col("reached") - F.col("rest") <= F.col("rest") - (F.col("reached") - F.col("step"))
     started = F.col("reached") - F.col("step") < F.col("rest")
     inner = inner.withColumn("more", (started & ((F.col("reached") <= F.col("rest")) | nearer)).cast("int"))
-    outer = ranked.where(~crossing).withColumn("more", (F.col("before") + F.col("words") <= F.col("rest")).cast("int"))
     columns = ["doc_id", "size", "source_size", "target", "whole", "more", "p", "source", "draw"]
     both = outer.select(*columns).unionByName(inner.select(*columns))
     copies = F.col("whole") + F.when((F.col("p") > 0) & (F.col("size") > 0), F.col("more")).otherwise(0)
