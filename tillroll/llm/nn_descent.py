@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import land
 from tillroll.llm.itq_dups import matrix, sound
 
-SAMPLE, TREES, DEPTH, LEAF = 20_000, 5, 10, 120
+SAMPLE, TREES, DEPTH, LEAF = 20_000, 6, 10, 200
 #: Rows of a leaf compared with each other at once; nodes of a part.
 BLOCK, PART = 256, 1024
 #: Neighbours kept forwards and taken backwards, rounds, nodes kept and expanded by a search, its steps at most.
-K, ROUNDS, EF, EXPAND, STEPS = 20, 3, 48, 24, 4
+K, ROUNDS, EF, EXPAND, STEPS = 30, 3, 100, 60, 4
 
 _LIST = "ids array<long>, scores array<double>"
 
@@ -114,11 +114,12 @@ class Graph:
                 leaves = np.stack([leaf_of(x, *t, depth) for t in trees], axis=1)
                 ids = batch.column("vec_id").cast(pa.int64())
                 part = (leaves[:, 0] >> merge) * parts + np.abs(ids.to_numpy() * 2654435761 % parts)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(part), pa.array(list(leaves), pa.list_(pa.int64())), pa.array([r.tobytes() for r in x], pa.binary())], ["vec_id", "part", "leaves", "v"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(part), pa.array(list(leaves), pa.list_(pa.int64())), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], ["vec_id", "part", "leaves", "v"])
 
         dealt = good.dropDuplicates(["vec_id"]).mapInArrow(deal, "vec_id long, part long, leaves array<long>, v binary")
         dealt = land(dealt, "vectors", "none")
-        self.vectors = dealt.select("vec_id", "part", "v")
+        self.vectors = dealt.select("vec_id", "part", "v")   # 32-bit copies to search with
+        self.exact = good.select(F.col("vec_id").cast("long").alias("vec_id"), "v").dropDuplicates(["vec_id"])
         self.lists = self._start(dealt)
         for _ in range(rounds):
             links = self.links()
@@ -135,7 +136,7 @@ class Graph:
         def within(table: pa.Table) -> pa.Table:
             ids = table.column("vec_id").to_numpy()
             part = table.column("part").to_numpy()
-            x = np.stack([np.frombuffer(v, np.float64) for v in table.column("v").to_pylist()])
+            x = np.stack([np.frombuffer(v, np.float32) for v in table.column("v").to_pylist()])
             s = x @ x.T
             np.fill_diagonal(s, -np.inf)
             best = np.argpartition(-s, min(k, len(ids) - 1) - 1, axis=1)[:, :min(k, len(ids) - 1)] if len(ids) > 1 else np.zeros((len(ids), 0), np.int64)
@@ -178,7 +179,7 @@ class Graph:
             vec_ids = vectors.column("vec_id").to_numpy()
             order = np.argsort(vec_ids)
             vec_ids = vec_ids[order]
-            x = np.frombuffer(b"".join(vectors.column("v").to_pylist()), np.float64).reshape(len(vec_ids), -1)[order]
+            x = np.frombuffer(b"".join(vectors.column("v").to_pylist()), np.float32).reshape(len(vec_ids), -1)[order]
             list_ids, ends, near = _flat(lists, "ids")   # every id in a list has its vector here
             near = np.searchsorted(vec_ids, near)
             by_id = np.argsort(list_ids)
@@ -219,7 +220,8 @@ class Graph:
         picks as queries. A query starts at its own node."""
         ef = max(ef, 2 * count)
         links = self.links()
-        beam = self.lists.where(chosen).withColumn("done", F.array().cast("array<long>"))
+        # queries are fewer than nodes, so a part of theirs takes in eight of the nodes'
+        beam = self.lists.where(chosen).withColumn("part", F.floor(F.col("part") / 8)).withColumn("done", F.array().cast("array<long>"))
         for step in range(STEPS):
             todo = F.slice(F.array_except("ids", "done"), 1, EXPAND if step else self.k)
             now = land(beam.withColumn("expand", todo), "beam")
@@ -229,14 +231,14 @@ class Graph:
             done = now.select("vec_id", F.array_union("done", "expand").alias("done"))
             beam = after.join(done, "vec_id")
         best = beam.select(F.col("vec_id").alias("query_id"), F.posexplode(F.slice(F.arrays_zip("ids", "scores"), 1, count)).alias("place", "found"))
-        own, other = self.vectors.select("vec_id", "v"), self.vectors.select(F.col("vec_id").alias("near_id"), F.col("v").alias("near_v"))
+        own, other = self.exact, self.exact.select(F.col("vec_id").alias("near_id"), F.col("v").alias("near_v"))
         pairs = best.select("query_id", F.col("found.ids").alias("near_id"))
         pairs = pairs.join(own, pairs["query_id"] == own["vec_id"]).join(other, "near_id").select("query_id", "near_id", "v", "near_v")
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    a, b = (np.stack([np.frombuffer(v, np.float64) for v in batch.column(c).to_pylist()]) for c in ("v", "near_v"))
+                    a, b = (matrix(batch.column(c)) for c in ("v", "near_v"))
                     yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("near_id"), pa.array((a * b).sum(axis=1))], ["query_id", "vec_id", "score"])
 
         scored = pairs.mapInArrow(exact, "query_id long, vec_id long, score double")
