@@ -170,15 +170,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, d
     y = np.array([r[2] for r in rows])
     at = np.concatenate([np.concatenate([r[0], r[1]]) for r in rows])
     size = np.array([len(r[0]) + len(r[1]) for r in rows])
-    row = np.repeat(np.arange(len(rows)), size)
-    value = np.concatenate([np.concatenate([np.full(len(r[0]), 1 / math.sqrt(max(1, len(r[0])))), np.ones(len(r[1]))]) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    value = np.concatenate([np.concatenate([np.full(len(r[0]), 1 / math.sqrt(max(1, len(r[0]))), np.float32), np.ones(len(r[1]), np.float32)]) for r in rows])
     used = np.bincount(at, minlength=BUCKETS) >= LEAST_DOCS
     keep = used[at]
     at, row, value = at[keep], row[keep], value[keep]
     names, at = np.unique(at, return_inverse=True)
+    at = at.astype(np.int32)
     in_one, in_all = np.bincount(at, weights=y[row], minlength=len(names)) + 1, np.bincount(at, minlength=len(names)) + 2
     tell = np.log(in_one / (y.sum() + 1)) - np.log((in_all - in_one) / (len(y) - y.sum() + 1))
-    value = value * tell[at]
+    value *= tell[at].astype(np.float32)
     v, past, past_bias = np.zeros(len(names)), np.full(len(names), 1e-6), 1e-6
     for _ in range(rounds):
         z = bias + np.bincount(row, weights=v[at] * value, minlength=len(y))
