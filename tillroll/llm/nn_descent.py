@@ -31,7 +31,7 @@ SAMPLE, TREES, DEPTH, LEAF = 20_000, 6, 10, 200
 #: Rows of a leaf compared with each other at once; nodes of a part.
 BLOCK, PART = 256, 1024
 #: Neighbours kept forwards and taken backwards, rounds, nodes kept and expanded by a search, its steps at most.
-K, ROUNDS, EF, EXPAND, STEPS = 30, 3, 100, 60, 4
+K, ROUNDS, EF, EXPAND, STEPS = 30, 4, 200, 100, 5
 
 _LIST = "ids array<long>, scores array<double>"
 
