@@ -47,6 +47,19 @@ def test_links_equal_brute_force(spark, monkeypatch):
     assert itq_dups.near_duplicates(frame(spark, [(1, [0.0])])).first().kept
 
 
+def test_links_of_a_large_table_are_found(spark, monkeypatch):
+    monkeypatch.setattr(itq_dups, "BUCKET", 0.01)   # chunks as wide as for millions of rows
+    r = np.random.default_rng(6)
+    x = r.normal(size=(400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = 0.952 * x + np.sqrt(1 - 0.952**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    rows = list(enumerate(x)) + [(1000 + i, v) for i, v in enumerate(y)]
+    out = {v.vec_id: v for v in itq_dups.near_duplicates(frame(spark, rows)).collect()}
+    assert sum(out[i].n_links == 1 and out[1000 + i].component_id == i for i in range(400)) >= 396
+
+
 def test_rotation_balances_and_keeps_angles():
     r = np.random.default_rng(1)
     x = r.normal(size=(2000, 32))

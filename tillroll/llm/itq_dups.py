@@ -4,9 +4,11 @@ Vectors, scaled to length 1, are centred, rotated onto their principal axes and
 whose signs balance the bits and lose least (iterative quantisation, fitted on ``SAMPLE`` vectors). The code
 is cut into chunks; each chunk is a hash table. Vectors that agree in a chunk meet in its bucket, and all
 pairs of a bucket are scored on the original vectors in double precision, block by block as matrix products:
-no pair leaves the task. A pair that meets in several tables counts in the first of them. Codes with fewer
-differing bits than chunks can't be missed; the chunks grow with the logarithm of the table, so buckets stay
-of about ``BUCKET`` rows. Buckets above ``BLOCK`` rows are cut into pairs of blocks, so none is held whole.
+no pair leaves the task. A pair that meets in several tables counts in the first of them. The chunks grow with
+the logarithm of the table, so buckets stay of about ``BUCKET`` rows, and further rotations, each with chunks of
+its own, make up for it: tables are added until at most ``MISS`` of the pairs planted in the sample at the
+threshold, the hardest ones, meet in none. Where that takes more than ``TABLES``, chunks are narrower and
+buckets larger. Buckets above ``BLOCK`` rows are cut into pairs of blocks, so none is held whole.
 
 Each block gives its vectors' link counts and, for connected vectors, an edge to the smallest of their part of
 the block: as many rows as vectors, whatever the number of links, and enough for the components.
@@ -34,6 +36,8 @@ SAMPLE = 20_000
 BUCKET, BLOCK = 64, 512
 #: Rounds of the rotation's fit.
 ROUNDS = 50
+#: Share of the planted pairs that no table may find, and tables before chunks get narrower instead.
+MISS, TABLES = 0.001, 64
 
 
 def sound(vectors: DataFrame) -> DataFrame:
@@ -66,6 +70,52 @@ def fit(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 8) -> t
     return mean, axes @ rotation
 
 
+def planted(sample: np.ndarray, least: float, seed: int = 9) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of cosine ``least``: the sample's vectors turned towards others of it, and in any direction."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for towards in (sample[rng.permutation(len(sample))], rng.normal(size=sample.shape)):
+        side = towards - (towards * sample).sum(axis=1, keepdims=True) * sample
+        size = np.linalg.norm(side, axis=1, keepdims=True)
+        some = size[:, 0] > 1e-6   # copies have no direction
+        out.append((sample[some], least * sample[some] + math.sqrt(max(0.0, 1 - least**2)) * side[some] / size[some]))
+    return out
+
+
+def signs(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """Codes of many vectors."""
+    return ((x - mean) @ projection >= 0).astype(np.uint64) @ (np.uint64(1) << np.arange(projection.shape[1], dtype=np.uint64))
+
+
+def chunk(code: np.ndarray, at: int, width: int) -> np.ndarray:
+    return (code >> np.uint64(at)) & np.uint64((1 << width) - 1)
+
+
+def tables_for(sample: np.ndarray, least: float, bits: int, width: int) -> tuple[np.ndarray, list[np.ndarray], list[tuple[int, int]], int, float]:
+    """(mean, projections, tables as (projection, first bit), width, share of planted pairs missed)."""
+    pairs = planted(sample, least)
+    mean, projections = sample.mean(axis=0), []
+    codes: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    while True:
+        cuts: list[tuple[int, int]] = []
+        open_ = [np.ones(len(a), bool) for a, _ in pairs]
+        missed = max((o.mean() for o in open_ if len(o)), default=0.0)
+        while not cuts or missed > MISS and (len(cuts) < TABLES or width == 1):
+            r, at = divmod(len(cuts), bits // width)
+            if r == len(projections):
+                mean, p = fit(sample, bits, seed=8 + r)
+                projections.append(p)
+                codes.append([(signs(a, mean, p), signs(b, mean, p)) for a, b in pairs])
+            cuts.append((r, at * width))
+            for o, (a, b) in zip(open_, codes[r], strict=True):
+                o &= chunk(a ^ b, at * width, width) != 0
+            missed = max((o.mean() for o in open_ if len(o)), default=0.0)
+        if missed <= MISS:
+            cuts += [(r, i * width) for r, at in cuts[-1:] for i in range(at // width + 1, bits // width)]   # the last rotation whole
+            return mean, projections[:cuts[-1][0] + 1], cuts, width, missed
+        width -= 1
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.95, bits: int = 64) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     spark = vectors.sparkSession
@@ -80,26 +130,27 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, bits: int = 64) ->
     rows = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
     sample = matrix(rows.column("v").combine_chunks())
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    mean, projection = fit(sample, min(bits, dim, 64))
-    bits = projection.shape[1]
+    bits = min(bits, dim, 64)
     width = max(1, min(bits, 16, math.ceil(math.log2(max(2, n / BUCKET)))))
-    tables = max(1, bits // width)
-    cuts = [(t * width, bits if t == tables - 1 else (t + 1) * width) for t in range(tables)]
+    mean, projections, cuts, width, _ = tables_for(sample, least, bits, width)
+    # single-precision components travel as they are; lengths are divided out in double precision on arrival
+    raw_type = np.float32 if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = matrix(batch.column("v"))
+            raw = pa.array([r.tobytes() for r in x.astype(raw_type)], pa.binary())
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            code = ((x - mean) @ projection >= 0).astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
-            raw = pa.array([r.tobytes() for r in x], pa.binary())
-            for t, (a, b) in enumerate(cuts):
-                bucket = (code >> np.uint64(a)) & np.uint64((1 << min(b - a, 63)) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(bucket.astype(np.int64)), batch.column("vec_id").cast(pa.int64()), pa.array(code.view(np.int64)), raw],
+            codes = np.stack([signs(x, mean, p) for p in projections], axis=1)
+            code = pa.array([r.tobytes() for r in codes], pa.binary())
+            for t, (r, at) in enumerate(cuts):
+                bucket = chunk(codes[:, r], at, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(bucket.astype(np.int64)), batch.column("vec_id").cast(pa.int64()), code, raw],
                                                  ["t", "bucket", "vec_id", "code", "v"])
 
-    dealt = land(good.mapInArrow(deal, "t int, bucket long, vec_id long, code long, v binary"), "itq", "none")
+    dealt = land(good.mapInArrow(deal, "t int, bucket long, vec_id long, code binary, v binary"), "itq", "none")
     full = dealt.groupBy("t", "bucket").agg(F.count("*").alias("rows")).where("rows > 1")
     r = dealt.join(full, ["t", "bucket"]).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     r = r.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int"))
@@ -116,11 +167,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, bits: int = 64) ->
         if not len(p) or not len(q):
             return
         link = x[p] @ x[q].T >= least
-        both = code[p][:, None] ^ code[q][None, :]
-        for a, b in cuts[:t]:   # met in an earlier table
-            link &= (both >> np.uint64(a)) & np.uint64((1 << min(b - a, 63)) - 1) != 0
         if one:
             np.fill_diagonal(link, False)
+        i, j = np.nonzero(link)
+        for r, at in cuts[:t]:   # met in an earlier table
+            met = chunk(code[p[i], r] ^ code[q[j], r], at, width) == 0
+            link[i[met], j[met]] = False
+            i, j = i[~met], j[~met]
         if not link.any():
             return
         degree = np.zeros(len(ids), np.int64)
@@ -156,8 +209,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, bits: int = 64) ->
             if not batch.num_rows:
                 continue
             g = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("t", "bucket", "b1", "b2")], axis=1)
-            x = np.stack([np.frombuffer(v, np.float64) for v in batch.column("v").to_pylist()])
-            now = (g, batch.column("block").to_numpy(), batch.column("vec_id").to_numpy(), batch.column("code").to_numpy().view(np.uint64), x)
+            x = np.stack([np.frombuffer(v, raw_type) for v in batch.column("v").to_pylist()]).astype(np.float64)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            code = np.stack([np.frombuffer(c, np.uint64) for c in batch.column("code").to_pylist()])
+            now = (g, batch.column("block").to_numpy(), batch.column("vec_id").to_numpy(), code, x)
             last = int(np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]).any(axis=1)]))[-1])
             if last:
                 yield flush([*held, tuple(v[:last] for v in now)])
