@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import (automaton_bpe, compact_windows, count_rtree, heap_bpe, id_shards, itq_dups, ngram_trie, nn_descent, pareto_mix,
-                          weak_labels)
+                          prefix_table, turn_repair, turn_trie, weak_labels)
 from tillroll.llm.common import read
 
 
@@ -55,8 +55,20 @@ def op10_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_trie.score(read(spark, sf_dir, "documents"))
 
 
+def op11_run_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired_conversations(read(spark, sf_dir, "conversations"))
+
+
+def op12_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_table.encode_texts(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_bitmap_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_weak_labels, op3_id_shards, op4_compact_windows, op5_nn_descent, op6_heap_bpe, op7_count_rtree,
-                                    op8_itq_dups, op9_automaton_bpe, op10_ngram_trie)}
+                                    op8_itq_dups, op9_automaton_bpe, op10_ngram_trie, op11_run_repair, op12_prefix_table, op13_bitmap_trie)}
 
 #: The mix without bins: every source ranked as a whole. Other operators hash, encode or search: tests/llm holds
 #: them against brute force, round trips, the libraries themselves or measured recall.
