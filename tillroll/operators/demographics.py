@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import id_text, zero_sum
@@ -120,6 +120,28 @@ def state_table(summary: DataFrame) -> DataFrame:
     return formatted(rounded(shown, [*money, *counts[1:]], 0), money=money, counts=counts)
 
 
+def quantiles(df: DataFrame, group: str, value: Column, probabilities: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Exact quantiles (linear interpolation) per group: (group, q0, q1, ..., min, max).
+
+    Equal values of a group are counted first (map-side), a running sum over the sorted counts gives each value's
+    last rank, and the values that hold the ranks asked for are picked. No task holds a group's values. Nulls
+    don't count; a group of nulls only has null quantiles.
+    """
+    counts = df.select(group, value.alias("_v")).groupBy(group, "_v").agg(F.count("_v").alias("_n"))
+    upto = Window.partitionBy(group).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_last", F.sum("_n").over(upto))
+    totals = counts.groupBy(group).agg(F.sum("_n").alias("_total"), F.min("_v").alias("min"), F.max("_v").alias("max")).withColumnRenamed(group, "_g")
+    ranked = ranked.join(totals, F.col(group).eqNullSafe(F.col("_g")))
+    holds = lambda rank: F.min(F.when((F.col("_n") > 0) & (F.col("_last") > rank), F.col("_v")))
+    picked, out = [], []
+    for i, p in enumerate(probabilities):
+        at = (F.col("_total") - 1) * F.lit(float(p))
+        picked += [holds(F.floor(at)).alias(f"_lo{i}"), holds(F.ceil(at)).alias(f"_hi{i}"), F.max(at - F.floor(at)).alias(f"_f{i}")]
+        lo, hi, f = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
+        out.append(F.when(lo == hi, lo).otherwise((1 - f) * lo + f * hi).alias(f"q{i}"))
+    return ranked.groupBy(group).agg(*picked, F.max("min").alias("min"), F.max("max").alias("max")).select(group, *out, "min", "max")
+
+
 def box_stats(df: DataFrame, group: str, value: str, exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Quartiles (linear interpolation), min, max and 1.5 IQR fences.
 
@@ -128,16 +150,17 @@ def box_stats(df: DataFrame, group: str, value: str, exact: bool = True, accurac
     sketch (``percentile_approx``) for very large groups.
     """
     v = F.col(value).cast("double")
+    d4 = "decimal(18,4)"
     if exact:
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        found = quantiles(df, group, v)
+        q1, q2, q3 = (F.col(f"q{i}").cast(d4) for i in range(3))
     else:
         q = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
-    d4 = "decimal(18,4)"
-    agg = df.groupBy(group).agg(q.alias("_q"), F.min(v).alias("min"), F.max(v).alias("max"))
-    q1, q2, q3 = (F.col("_q")[i].cast(d4) for i in range(3))
+        found = df.groupBy(group).agg(q.alias("_q"), F.min(v).alias("min"), F.max(v).alias("max"))
+        q1, q2, q3 = (F.col("_q")[i].cast(d4) for i in range(3))
     iqr = q3 - q1
     k = F.lit(1.5).cast("decimal(2,1)")
-    return agg.select(
+    return found.select(
         group,
         q1.cast("double").alias("q1"), q2.cast("double").alias("median"), q3.cast("double").alias("q3"),
         (q1 - k * iqr).cast("double").alias("lower_fence"), (q3 + k * iqr).cast("double").alias("upper_fence"),

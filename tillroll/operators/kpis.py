@@ -36,11 +36,12 @@ def store_activity(stores: DataFrame, daily: DataFrame, period_daily: DataFrame)
     )
 
 
-def home_kpis(stores: DataFrame, gtin: DataFrame, slice_, daily: DataFrame | None = None) -> DataFrame:
+def home_kpis(stores: DataFrame, gtin: DataFrame, slice_, daily: DataFrame | None = None, period_stores: DataFrame | None = None) -> DataFrame:
     """A16 (home page): store counts, product count, period revenue and
     transactions (from baskets). With ``daily`` the row also carries
     ``active_ever`` (stores with sales in any period), so the home page's
-    store-count panel (A17) needs no second frame."""
+    store-count panel (A17) needs no second frame. ``period_stores``: the
+    period's store ids (``keys.active_stores``) instead of its daily rows."""
     # Both basket numbers come from one scan: a struct-valued subquery.
     baskets = slice_.sets.agg(F.struct(
         zero_sum("GRAND_TOTAL_AMOUNT").cast("double").alias("revenue"),
@@ -49,7 +50,7 @@ def home_kpis(stores: DataFrame, gtin: DataFrame, slice_, daily: DataFrame | Non
     extra = {"active_ever": daily.agg(n_unique("STORE_ID"))} if daily is not None else {}
     row = one_row(
         stores.agg(F.count(F.lit(1)).alias("total_stores")),
-        active_stores=slice_.daily.agg(n_unique("STORE_ID")),
+        active_stores=(slice_.daily if period_stores is None else period_stores).agg(n_unique("STORE_ID")),
         total_products=gtin.agg(F.count(F.lit(1))),
         _baskets=baskets,
         **extra,

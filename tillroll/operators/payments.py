@@ -1,7 +1,7 @@
 """Question 3: cash vs credit vs debit customers.
 
 J2/J3 ``payment_lines``, A4 ``payment_summary``, A5 ``product_by_payment``,
-W1 ``top_n_per_group``, A10 ``mean_of_group_means``.
+``payment_cube`` (both in one pass), W1 ``top_n_per_group``, A10 ``mean_of_group_means``.
 
 Scale notes. There are only three payment types, so grouping lines straight
 by type would send every line of a type through one reducer. The chosen
@@ -81,9 +81,34 @@ def basket_products(lines: PaymentLines) -> DataFrame:
     return joined.groupBy("TRANSACTION_SET_ID", "PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY").agg(F.sum("set_amount_lines").alias("set_amount_lines"))
 
 
-def payment_summary(lines: PaymentLines, amount_basis: str = "basket_per_line") -> DataFrame:
+def payment_cube(lines: PaymentLines) -> DataFrame:
+    """Both levels that a comparison of payment types needs, from one pass over the lines: per type, and per type and
+    product of a known category.
+
+    Each line meets its products once; one ``GROUPING SETS`` makes rows per basket and per basket and product, a
+    second aggregation adds them up. ``PER_PRODUCT`` tells the levels apart; ``n_baskets`` counts distinct baskets.
+    """
+    products = lines.gtin.select("GTIN", "CATEGORY", "SKUPOS_DESCRIPTION")
+    joined = lines.baskets.join(products, "GTIN", "left")
+    basket, product = ["TRANSACTION_SET_ID", "PAYMENT_TYPE"], ["SKUPOS_DESCRIPTION", "CATEGORY"]
+    per_basket = joined.groupingSets([basket, [*basket, *product]], *basket, *product).agg(
+        (F.grouping("CATEGORY") == 0).alias("PER_PRODUCT"), *[F.sum(c).alias(c) for c in MEASURES], F.max("basket_amount").alias("basket_amount"))
+    known = per_basket.where(~F.col("PER_PRODUCT") | F.col("CATEGORY").isNotNull())
+    return known.groupBy("PER_PRODUCT", "PAYMENT_TYPE", *product).agg(
+        F.count(F.lit(1)).alias("n_baskets"), *[F.sum(c).alias(c) for c in MEASURES],
+        F.sum("basket_amount").alias("basket_amount"), F.count("basket_amount").alias("n_basket_amount"))
+
+
+def _type_totals(lines: PaymentLines) -> DataFrame:
+    """The measures per payment type, without the product master's attributes."""
+    return basket_totals(lines).groupBy("PAYMENT_TYPE").agg(
+        F.count(F.lit(1)).alias("n_baskets"), *[F.sum(c).alias(c) for c in MEASURES],
+        F.sum("basket_amount").alias("basket_amount"), F.count("basket_amount").alias("n_basket_amount"))
+
+
+def payment_summary(lines: PaymentLines, amount_basis: str = "basket_per_line", cube: DataFrame | None = None) -> DataFrame:
     """A4: per payment type - distinct baskets, spend, mean ticket, items and
-    items per basket.
+    items per basket. ``cube``: a kept ``payment_cube`` of the lines to read instead of them.
 
     ``amount_basis``:
       * ``"basket_per_line"`` (published): the basket total is summed once per
@@ -94,27 +119,29 @@ def payment_summary(lines: PaymentLines, amount_basis: str = "basket_per_line")
     if amount_basis not in AMOUNT_BASES:
         raise ValueError(f"amount_basis must be one of {AMOUNT_BASES}")
     spend, n, back = {
-        "basket_per_line": (F.sum("set_amount_lines"), F.sum("n_set_amount"), lines.set_back),
-        "basket": (F.sum("basket_amount"), F.count("basket_amount"), lines.set_back),
-        "line": (F.sum("line_amount"), F.sum("n_line_amount"), lines.line_back),
+        "basket_per_line": ("set_amount_lines", "n_set_amount", lines.set_back),
+        "basket": ("basket_amount", "n_basket_amount", lines.set_back),
+        "line": ("line_amount", "n_line_amount", lines.line_back),
     }[amount_basis]
-    return (
-        basket_totals(lines).groupBy("PAYMENT_TYPE")
-        .agg(
-            F.count(F.lit(1)).alias("num_transactions"),
-            back(F.coalesce(spend, F.lit(0))).alias("total_spend"),
-            ratio(back(spend), n).alias("avg_ticket"),
-            lines.units_back(F.coalesce(F.sum("units"), F.lit(0))).alias("total_items"),
-        )
-        .withColumn("avg_items_per_txn", ratio("total_items", "num_transactions"))
-    )
+    totals = _type_totals(lines) if cube is None else cube.where("NOT PER_PRODUCT")
+    return totals.select(
+        "PAYMENT_TYPE", F.col("n_baskets").alias("num_transactions"),
+        back(F.coalesce(F.col(spend), F.lit(0))).alias("total_spend"),
+        ratio(back(F.col(spend)), n).alias("avg_ticket"),
+        lines.units_back(F.coalesce(F.col("units"), F.lit(0))).alias("total_items"),
+    ).withColumn("avg_items_per_txn", ratio("total_items", "num_transactions"))
 
 
-def product_by_payment(lines: PaymentLines) -> DataFrame:
+def product_by_payment(lines: PaymentLines, cube: DataFrame | None = None) -> DataFrame:
     """A5: per type x product x category (non-null category) - distinct
     baskets (``purchase_count``) and revenue on the published basis (basket
     total once per line). Rows of ``basket_products`` are one per basket
-    within a group, so ``count(*)`` is the distinct basket count."""
+    within a group, so ``count(*)`` is the distinct basket count. ``cube``:
+    a kept ``payment_cube`` of the lines to read instead of them."""
+    if cube is not None:
+        return cube.where("PER_PRODUCT").select(
+            "PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY", F.col("n_baskets").alias("purchase_count"),
+            lines.set_back(F.coalesce(F.col("set_amount_lines"), F.lit(0))).alias("revenue"))
     return basket_products(lines).groupBy("PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY").agg(
         F.count(F.lit(1)).alias("purchase_count"),
         lines.set_back(F.coalesce(F.sum("set_amount_lines"), F.lit(0))).alias("revenue"),
@@ -133,11 +160,11 @@ def top_n_per_group(df: DataFrame, group: str | Sequence[str], order: Sequence[C
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def top_products_by_payment(lines: PaymentLines, n: int = 5) -> DataFrame:
+def top_products_by_payment(lines: PaymentLines, n: int = 5, cube: DataFrame | None = None) -> DataFrame:
     """W1 on A5: most-purchased products per payment type; description then
     category (NULL first) break ties."""
     return top_n_per_group(
-        product_by_payment(lines), "PAYMENT_TYPE",
+        product_by_payment(lines, cube), "PAYMENT_TYPE",
         [F.desc("purchase_count"), F.asc_nulls_first("SKUPOS_DESCRIPTION"), F.asc_nulls_first("CATEGORY")], n,
     )
 

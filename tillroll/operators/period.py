@@ -17,6 +17,9 @@ from tillroll.functions.exprs import n_unique, zero_sum
 
 ALL_MONTHS = tuple(range(1, 13))
 
+# The columns that fact tables laid out by period are foldered by (sources.layout).
+PERIOD = ("CALENDAR_YEAR", "CALENDAR_MONTH")
+
 
 def _month_list(months: Iterable[int] | None) -> list[int]:
     ms = list(ALL_MONTHS if months is None else months)
@@ -68,7 +71,30 @@ def period_predicate(df: DataFrame, ts_col: str, year: int | None, months: Itera
 def filter_sets(sets: DataFrame, year: int | None = None, months: Iterable[int] | None = None,
                 ts_col: str = "DATE_TIME") -> DataFrame:
     """Baskets whose timestamp falls in the period."""
-    return sets.where(period_predicate(sets, ts_col, year, months))
+    folders = period_folders(sets, year, months)
+    found = sets.where(period_predicate(sets, ts_col, year, months))
+    return found if folders is None else found.where(folders)
+
+
+def period_folders(df: DataFrame, year: int | None = None, months: Iterable[int] | None = None) -> Column | None:
+    """The folders of a period, for a table laid out by period; None for any other table."""
+    if not set(PERIOD) <= set(df.columns):
+        return None
+    ms = _month_list(months)
+    cond = F.col("CALENDAR_MONTH").isin(ms) if ms else F.lit(False)
+    return cond if year is None else cond & (F.col("CALENDAR_YEAR") == F.lit(year))
+
+
+def lines_in(items: DataFrame, year: int | None = None, months: Iterable[int] | None = None) -> DataFrame:
+    """Lines that can belong to baskets of the period, to be joined with them.
+
+    Lines laid out by period are read from the period's folders and the open folder (lines whose basket is
+    missing, undated or ambiguous) only; lines of any other table are all returned, since they carry no date.
+    """
+    folders = period_folders(items, year, months)
+    if folders is None:
+        return items
+    return items.where(folders | F.col("CALENDAR_YEAR").isNull()).drop(*PERIOD)
 
 
 def items_in_period(items: DataFrame, period_sets: DataFrame) -> DataFrame:
@@ -104,4 +130,4 @@ def period_slice(tables, year: int | None = None, months: Iterable[int] | None =
     ms = None if months is None else list(months)
     fs = filter_sets(tables["sets"], year, ms)
     daily = tables.daily_in(year, ms) if hasattr(tables, "daily_in") else filter_daily(tables["daily"], year, ms)
-    return Slice(daily=daily, sets=fs, items=items_in_period(tables["items"], fs))
+    return Slice(daily=daily, sets=fs, items=items_in_period(lines_in(tables["items"], year, ms), fs))

@@ -210,3 +210,38 @@ ORACLE: dict[str, str] = {
     "table_counts": VIEWS + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("stores", "gtin", "sets", "items")),
     "months_subtitle": VIEWS + "SELECT 'Months: ' || string_agg(CAST(m AS VARCHAR), ', ' ORDER BY m) AS subtitle FROM (SELECT DISTINCT CALENDAR_MONTH AS m FROM daily) z",
 }
+
+TOP5_OF_PERIOD = TOP5_PERIOD + WEEKLY.replace("FROM daily WHERE", f"FROM daily WHERE {PERIOD_DAILY} AND")
+BEV_PERIOD = BEV.replace("WHERE CATEGORY IS NOT NULL", f"WHERE {PERIOD_DAILY} AND CATEGORY IS NOT NULL")
+TRACTS = "(SELECT DISTINCT nk, tk FROM geo WHERE g > 1)"
+
+ORACLE.update({
+    "items_in_period_landed": VIEWS + f"SELECT count(*) AS n_items, CAST(coalesce(sum(UNIT_QUANTITY),0) AS DOUBLE) AS units FROM items i WHERE EXISTS (SELECT 1 FROM sets s WHERE s.TRANSACTION_SET_ID=i.TRANSACTION_SET_ID AND {PERIOD_SETS})",
+    "filter_year_month_landed": ORACLE["filter_year_month"],
+    "payment_summary_period_landed": ORACLE["payment_summary_period"],
+    "category_list_period_landed": VIEWS + f"SELECT DISTINCT CATEGORY FROM daily WHERE CATEGORY <> 'FUEL' AND {PERIOD_DAILY}",
+    "refreshed_daily": VIEWS + "SELECT CALENDAR_YEAR, CALENDAR_MONTH, count(*) AS n_rows, CAST(sum(TOTAL_REVENUE_AMOUNT) AS DOUBLE) AS revenue FROM daily GROUP BY 1, 2",
+    "top_products_cube": ORACLE["top_products"],
+    "weekly_top_products_cube": ORACLE["weekly_top_products"],
+    "top_products_kpis_cube": ORACLE["top_products_kpis"].replace(VIEWS + TOP5 + WEEKLY, VIEWS + TOP5_OF_PERIOD),
+    "payment_cube": VIEWS + PAY + "SELECT FALSE AS PER_PRODUCT, PAYMENT_TYPE, NULL AS SKUPOS_DESCRIPTION, NULL AS CATEGORY, count(DISTINCT TRANSACTION_SET_ID) AS n_baskets, CAST(sum(set_amount) AS DOUBLE) AS spend, CAST(sum(UNIT_QUANTITY) AS DOUBLE) AS units FROM pay GROUP BY 2 UNION ALL SELECT TRUE, PAYMENT_TYPE, SKUPOS_DESCRIPTION, CATEGORY, count(DISTINCT TRANSACTION_SET_ID), CAST(sum(set_amount) AS DOUBLE), CAST(sum(UNIT_QUANTITY) AS DOUBLE) FROM pay WHERE CATEGORY IS NOT NULL GROUP BY 2, 3, 4",
+    "quarantine_counts": VIEWS + GEO + f"SELECT 'geocode' AS source, CASE g WHEN 0 THEN 'no_tract' ELSE 'malformed' END AS reason, count(*) AS n FROM geo WHERE g < 2 GROUP BY 1, 2 UNION ALL SELECT 'tract', 'header_only', count(*) FROM {TRACTS} t WHERE tk % 10 = 3 HAVING count(*) > 0 UNION ALL SELECT 'county', 'short_row', count(*) FROM supplier WHERE s_suppkey % 5 = 0 HAVING count(*) > 0",
+    "pending_stores_reasons": VIEWS + "SELECT CAST(STORE_ID AS VARCHAR) AS STORE_ID, CASE WHEN STORE_ID % 4 = 2 THEN 'never_fetched' WHEN STORE_ID % 10 = 0 THEN 'no_tract' ELSE 'malformed' END AS reason FROM stores WHERE STORE_ID % 4 = 2 OR STORE_ID % 10 IN (0, 1)",
+    "distinct_sketch": VIEWS + ", sold AS (SELECT s.STORE_ID, s.TRANSACTION_SET_ID, i.GTIN FROM sets s JOIN items i ON s.TRANSACTION_SET_ID = i.TRANSACTION_SET_ID WHERE " + PERIOD_SETS.replace("DATE_TIME", "s.DATE_TIME") + ") "
+        + " UNION ALL ".join(f"SELECT '{c}' AS key, {n_unique_sql(c)} AS exact, TRUE AS within_bound FROM sold" for c in ("STORE_ID", "TRANSACTION_SET_ID", "GTIN")),
+    "load_items_parts": VIEWS + "SELECT count(*) AS n_items, CAST(coalesce(sum(UNIT_QUANTITY),0) AS DOUBLE) AS units, CAST(coalesce(sum(GRAND_TOTAL_AMOUNT),0) AS DOUBLE) AS amount FROM items",
+    "materialized_daily": VIEWS + f"SELECT CALENDAR_MONTH, count(*) AS n_rows, CAST(sum(TOTAL_REVENUE_AMOUNT) AS DOUBLE) AS revenue, CAST(sum(TRANSACTION_COUNT) AS BIGINT) AS transactions FROM daily WHERE {PERIOD_DAILY} GROUP BY 1",
+    "load_folder": VIEWS + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, {n_unique_sql(c)} AS n_distinct FROM {t}"
+        for t, c in (("stores", "STORE_ID"), ("gtin", "GTIN"), ("sets", "TRANSACTION_SET_ID"), ("items", "GTIN"), ("daily", "CATEGORY"))),
+    "page_home": VIEWS + f"SELECT (SELECT count(*) FROM stores) AS total_stores, (SELECT {n_unique_sql('STORE_ID')} FROM daily) AS active_ever, (SELECT {n_unique_sql('STORE_ID')} FROM daily WHERE {PERIOD_DAILY}) AS active_stores, (SELECT count(*) FROM gtin) AS total_products, (SELECT CAST(coalesce(sum(GRAND_TOTAL_AMOUNT),0) AS DOUBLE) FROM sets WHERE {PERIOD_SETS}) AS total_revenue, (SELECT count(*) FROM sets WHERE {PERIOD_SETS}) AS total_transactions",
+    "page_top_products": VIEWS + TOP5_PERIOD + "SELECT SKUPOS_DESCRIPTION AS Product, BRAND AS Brand, CATEGORY AS Category, printf('$%,.2f', round(CAST(rev AS DOUBLE),2)) AS Revenue, printf('%,.0f', CAST(units AS DOUBLE)) AS Units, printf('$%,.2f', round(CAST(rev AS DOUBLE)/CAST(nullif(units,0) AS DOUBLE),2)) AS \"Avg Price\", printf('%,.0f', CAST(txns AS DOUBLE)) AS Transactions FROM top5",
+    "page_brands": VIEWS + BEV_PERIOD + "SELECT count(*) AS brands, count(CASE WHEN revenue < 36000000 THEN 1 END) AS below, CAST(coalesce(sum(revenue),0) AS DOUBLE) AS total, round(coalesce(CAST(sum(revenue) AS DOUBLE)/count(revenue),0),4) AS avg_rev FROM bev",
+    "page_payments": ORACLE["payment_summary_period"],
+    "page_payments_table": ORACLE["payment_table"],
+    "page_demographics": ORACLE["state_table"],
+    "page_validation": VIEWS + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, {n_unique_sql(c)} AS n_distinct FROM {t}"
+        for t, c in (("stores", "STATE"), ("stores", "STORE_CHAIN_NAME"), ("gtin", "GTIN"))),
+})
+

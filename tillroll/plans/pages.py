@@ -14,7 +14,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.operators import brands, demographics, kpis, payments, period, present, products
+from tillroll.operators import brands, demographics, keys, kpis, payments, period, present, products
 from tillroll.sources import census, tables
 
 Tables = Mapping[str, DataFrame]
@@ -56,8 +56,8 @@ def home_page(t: Tables, year: int | None = None, months: Iterable[int] | None =
     period)."""
     sl = _slice(t, year, months)
     return {
-        "kpis": kpis.home_kpis(t["stores"], t["gtin"], sl, daily=t["daily"]),
-        "year_options": present.year_options(t["daily"]),
+        "kpis": kpis.home_kpis(t["stores"], t["gtin"], sl, daily=keys.active_stores(t), period_stores=keys.active_stores(t, (year, months))),
+        "year_options": present.year_options(keys.periods(t)),
     }
 
 
@@ -76,10 +76,11 @@ def validation_page(t: Tables) -> dict[str, DataFrame]:
 def top_products_page(t: Tables, year=None, months=None, categories: Iterable[str] | None = None,
                       k: int = 5, grain: str = "week", target: float | None = None,
                       persist: bool = True) -> PageResult:
-    """Top non-fuel products, their weekly series and KPIs."""
-    sl = _slice(t, year, months)
+    """Top non-fuel products, their weekly series and KPIs. Where ``t`` holds a kept ``cube`` (``ProductCube``), it
+    answers them and neither lines nor days are read."""
     cached: list[DataFrame] = []
-    weeks = _keep(products.product_weeks(products.filter_categories(sl.daily, categories)), persist, cached)
+    days = t["cube"].weeks(year, months) if "cube" in t else _slice(t, year, months).daily
+    weeks = _keep(products.product_weeks(products.filter_categories(days, categories)), persist, cached)
     top = _keep(products.top_products(products.product_totals(weeks), k), persist, cached)
     weekly = _keep(products.weekly_totals(weeks, top, grain), persist, cached)
     if target is not None:
@@ -93,7 +94,7 @@ def top_products_page(t: Tables, year=None, months=None, categories: Iterable[st
         money=["Revenue", "Avg Price"], counts=["Units", "Transactions"],
     )
     return PageResult({
-        "categories": products.category_list(sl.daily),
+        "categories": products.category_list(days if "cube" in t else keys.categories(t, (year, months))),
         "top": top,
         "weekly": weekly,
         "kpis": kpis.top_products_kpis(top, weekly),
@@ -110,8 +111,8 @@ def brands_page(t: Tables, year=None, months=None, min_transactions: int = brand
     perf = _keep(brands.brand_performance(sl.daily, min_transactions=min_transactions), persist, cached)
     drop = brands.drop_candidates(perf, k, rank_by)
     return PageResult({
-        "category_count": products.category_count(sl.daily),
-        "categories_head": products.category_head(sl.daily, 20),
+        "category_count": products.category_count(keys.categories(t, (year, months))),
+        "categories_head": products.category_head(keys.categories(t, (year, months)), 20),
         "performance": present.with_threshold(perf, threshold),
         "drop": drop,
         "kpis": brands.brand_kpis(perf, threshold),
@@ -130,16 +131,16 @@ def payments_page(t: Tables, year=None, months=None, selection: Iterable[str] =
                   amount_basis: str = "basket_per_line", n: int = 5, persist: bool = True) -> PageResult:
     """C4: payment-type comparison, top products per type, mean-of-means line.
 
-    Only the two small roll-ups are kept (``persist=True``), not the reduced
-    lines: their join runs once for each, over the period's baskets.
+    One pass over the lines makes ``payment_cube`` (types and types x products), which is kept and answers all.
     """
     sl = _slice(t, year, months)
     # The inner join with the period's baskets already restricts the lines;
     # a semi join of the items first would only add a pass.
-    lines = payments.payment_lines(sl.sets, t["items"], t["gtin"], list(selection))
+    lines = payments.payment_lines(sl.sets, period.lines_in(t["items"], year, months), t["gtin"], list(selection))
     cached: list[DataFrame] = []
-    summary = _keep(payments.payment_summary(lines, amount_basis), persist, cached)
-    top = _keep(payments.top_products_by_payment(lines, n), persist, cached)
+    cube = _keep(payments.payment_cube(lines), persist, cached)
+    summary = payments.payment_summary(lines, amount_basis, cube)
+    top = payments.top_products_by_payment(lines, n, cube)
     return PageResult({
         "summary": summary,
         "kpis": payments.payment_kpis(summary, list(selection)),

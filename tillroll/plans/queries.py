@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import zero_sum
-from tillroll.operators import brands, demographics, kpis, payments, period, present, products
+from tillroll.operators import brands, cube, demographics, keys, kpis, payments, period, present, products, sketches
 from tillroll.operators.rollup import DAILY_KEYS
-from tillroll.sources import census, fixtures, tables
+from tillroll.plans import pages
+from tillroll.session import scratch
+from tillroll.sources import census, fixtures, layout, refresh, schemas, tables
 from tillroll.sources.schemas import ACS_VARS, TRACT_KEYS
 
 # The period and thresholds the checks run with.
@@ -35,6 +37,18 @@ def _d(c: str):
     return F.col(c).cast("double").alias(c)
 
 
+def _landed(spark: SparkSession, sf_dir: str) -> fixtures.RetailTables:
+    """The tables with baskets and lines laid out by period in the shared folder."""
+    return fixtures.RetailTables(layout.land_by_period(spark, _t(spark, sf_dir), scratch(spark, "by-period")))
+
+
+def _kept(df: DataFrame, tag: str) -> DataFrame:
+    """A small frame that several branches of one query read, written once to the shared folder."""
+    path = scratch(df.sparkSession, tag)
+    tables.materialize(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _r4(c: str, name: str | None = None):
     return F.round(F.col(c), 4).alias(name or c)
 
@@ -57,18 +71,54 @@ def items_in_period(spark, sf_dir):
     return period.items_in_period(t["items"], s).agg(F.count(F.lit(1)).alias("n_items"))
 
 
+def items_in_period_landed(spark, sf_dir):
+    """J1 on lines laid out by period: only the period's folders and the open one are read."""
+    return period.period_slice(_landed(spark, sf_dir), YEAR, MONTHS).items.agg(
+        F.count(F.lit(1)).alias("n_items"), zero_sum("UNIT_QUANTITY").cast("double").alias("units"))
+
+
+def filter_year_month_landed(spark, sf_dir):
+    """P6 derived from facts laid out by period."""
+    d = _landed(spark, sf_dir).daily_in(YEAR, MONTHS)
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), zero_sum("TOTAL_REVENUE_AMOUNT").cast("double").alias("revenue"))
+
+
+def payment_summary_period_landed(spark, sf_dir):
+    """J2 and A4 on facts laid out by period."""
+    t = _landed(spark, sf_dir)
+    lines = payments.payment_lines(period.filter_sets(t["sets"], YEAR, MONTHS), period.lines_in(t["items"], YEAR, MONTHS), t["gtin"])
+    s = payments.payment_summary(lines)
+    return s.select("PAYMENT_TYPE", "num_transactions", _d("total_spend"), _r4("avg_ticket"), _d("total_items"), _r4("avg_items_per_txn"))
+
+
+def category_list_period_landed(spark, sf_dir):
+    """A14 on facts laid out by period: distinct GTINs of the period's folders, without the basket join."""
+    return products.category_list(keys.categories(_landed(spark, sf_dir), (YEAR, MONTHS)))
+
+
+def refreshed_daily(spark, sf_dir):
+    """A daily table built without March, then brought up to date after March's lines arrived."""
+    t, path = _t(spark, sf_dir), scratch(spark, "refreshed")
+    march = period.filter_sets(t["sets"], YEAR, (3,)).select("TRANSACTION_SET_ID")
+    before = {**t, "items": t["items"].join(march, "TRANSACTION_SET_ID", "left_anti")}
+    refresh.refresh_daily(spark, layout.land_by_period(spark, before, scratch(spark, "by-period")), path)
+    refresh.refresh_daily(spark, _landed(spark, sf_dir), path)
+    d = spark.read.parquet(f"{path}/daily")
+    return d.groupBy("CALENDAR_YEAR", "CALENDAR_MONTH").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("TOTAL_REVENUE_AMOUNT").cast("double").alias("revenue"))
+
+
 # --- question 1 --------------------------------------------------------------
 
 def category_list(spark, sf_dir):
-    return products.category_list(_t(spark, sf_dir)["daily"])
+    return products.category_list(keys.categories(_t(spark, sf_dir)))
 
 
 def category_count(spark, sf_dir):
-    return products.category_count(_t(spark, sf_dir)["daily"])
+    return products.category_count(keys.categories(_t(spark, sf_dir)))
 
 
 def category_list_head(spark, sf_dir):
-    return products.category_head(_t(spark, sf_dir)["daily"], 20)
+    return products.category_head(keys.categories(_t(spark, sf_dir)), 20)
 
 
 def _top5(daily: DataFrame) -> DataFrame:
@@ -84,8 +134,8 @@ def top_products(spark, sf_dir):
 
 
 def _product_weeks(spark, sf_dir) -> DataFrame:
-    """The small product x week frame, kept because the top list and its weekly series both read it."""
-    return tables.cached(products.product_weeks(products.filter_categories(_t(spark, sf_dir)["daily"])))
+    """The small product x week frame, written once because the top list and its weekly series both read it."""
+    return _kept(products.product_weeks(products.filter_categories(_t(spark, sf_dir)["daily"])), "product-weeks")
 
 
 def _weekly(weeks: DataFrame, grain: str) -> DataFrame:
@@ -146,11 +196,41 @@ def top_products_selected_categories(spark, sf_dir):
 
 def weekly_top_products_period(spark, sf_dir):
     """C2 on a period slice: the weekly series of the period's top five."""
-    weeks = tables.cached(products.product_weeks(products.filter_categories(_t(spark, sf_dir).daily_in(YEAR, MONTHS))))
+    weeks = _kept(products.product_weeks(products.filter_categories(_t(spark, sf_dir).daily_in(YEAR, MONTHS))), "product-weeks")
     w = _weekly(weeks, "week")
     return w.select("CALENDAR_WEEK", "SKUPOS_DESCRIPTION", "BRAND", _d("weekly_revenue"), _d("weekly_units"))
 
 
+def _cube(spark, sf_dir) -> cube.ProductCube:
+    path = scratch(spark, "cube")
+    cube.write_cube(_t(spark, sf_dir)["daily"], path)
+    return cube.read_cube(spark, path)
+
+
+def top_products_cube(spark, sf_dir):
+    """A1 and O1 from the kept cube."""
+    top = _top5(_cube(spark, sf_dir).products(everything=True))
+    return top.select(
+        *products.PRODUCT_KEYS, _d("total_revenue"), _d("total_units"),
+        F.col("total_transactions").cast("bigint").alias("total_transactions"), _r4("avg_price"),
+    )
+
+
+def weekly_top_products_cube(spark, sf_dir):
+    """J8 and A2 from the kept cube."""
+    c = _cube(spark, sf_dir)
+    w = products.weekly_totals(products.filter_categories(c.weeks(everything=True)), _top5(c.products(everything=True)), "week")
+    return w.select("CALENDAR_WEEK", "SKUPOS_DESCRIPTION", "BRAND", _d("weekly_revenue"), _d("weekly_units"))
+
+
+def top_products_kpis_cube(spark, sf_dir):
+    """A16 of the top-products page over a period, from the kept cube."""
+    c = _cube(spark, sf_dir)
+    top = _top5(c.products(YEAR, MONTHS))
+    k = kpis.top_products_kpis(top, products.weekly_totals(products.filter_categories(c.weeks(YEAR, MONTHS)), top, "week"))
+    return k.select("total_revenue", "total_units", _r4("avg_weekly_revenue"), "n_weeks")
+
+
 # --- question 2 --------------------------------------------------------------
 
 def _bev(spark, sf_dir) -> DataFrame:
@@ -255,6 +335,14 @@ def overall_mean_ticket(spark, sf_dir):
     return payments.weighted_mean(_lines(spark, sf_dir)).select(F.round("overall_avg", 3).alias("overall_avg"))
 
 
+def payment_cube(spark, sf_dir):
+    """A4 and A5 from one pass over the lines: per type, and per type and product."""
+    lines = _lines(spark, sf_dir)
+    c = payments.payment_cube(lines)
+    return c.select("PER_PRODUCT", "PAYMENT_TYPE", "SKUPOS_DESCRIPTION", "CATEGORY", "n_baskets",
+                    lines.set_back(F.col("set_amount_lines")).cast("double").alias("spend"), lines.units_back(F.col("units")).cast("double").alias("units"))
+
+
 # --- question 4 --------------------------------------------------------------
 
 def _enriched(spark, sf_dir) -> DataFrame:
@@ -344,6 +432,24 @@ def fresh_responses(spark, sf_dir):
     return tables.read_if_fresh(landed, 7200, now=now).select("STORE_ID")
 
 
+def _responses(spark, sf_dir) -> dict[str, DataFrame]:
+    raw = fixtures.census_tables(spark, sf_dir)
+    return {"geocode": raw["geocode_raw"], "tract": raw["tract_raw"], "county": fixtures.supplier_county_payloads(fixtures.read_driver(spark, sf_dir, "supplier"))}
+
+
+def quarantine_counts(spark, sf_dir):
+    """Landed responses that can't be used in full, by reason."""
+    return census.reason_counts(_responses(spark, sf_dir))
+
+
+def pending_stores_reasons(spark, sf_dir):
+    """S13 with reasons: never geocoded, no tract, or a malformed answer."""
+    stores = _t(spark, sf_dir)["stores"]
+    landed = fixtures.geocode_payloads(stores.where(F.col("STORE_ID") % 4 != 2))
+    pending = census.pending_stores(stores, census.parse_geocode(landed))
+    return census.work_list(pending, census.quarantine(landed, "geocode", ["STORE_ID"]), ["STORE_ID"]).select("STORE_ID", "reason")
+
+
 def pending_keys(spark, sf_dir):
     """Tracts of geocoded stores that still lack ACS data (their landed
     response held no data row), i.e. the next fetch's work list."""
@@ -355,18 +461,32 @@ def pending_keys(spark, sf_dir):
 # --- home page, validation, parameters ----------------------------------------
 
 def year_bounds(spark, sf_dir):
-    return kpis.year_bounds(_t(spark, sf_dir)["daily"])
+    return kpis.year_bounds(keys.periods(_t(spark, sf_dir)))
 
 
 def store_activity(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return kpis.store_activity(t["stores"], t["daily"], t.daily_in(YEAR, MONTHS))
+    return kpis.store_activity(t["stores"], keys.active_stores(t), keys.active_stores(t, (YEAR, MONTHS)))
 
 
 def home_kpis(spark, sf_dir):
     t = _t(spark, sf_dir)
     sl = period.period_slice(t, YEAR, MONTHS)
-    return kpis.home_kpis(t["stores"], t["gtin"], sl)
+    return kpis.home_kpis(t["stores"], t["gtin"], sl, period_stores=keys.active_stores(t, (YEAR, MONTHS)))
+
+
+def distinct_sketch(spark, sf_dir):
+    """A11 and A17 over a period from stored daily sketches, held against the exact counts: within three standard errors?"""
+    t = _t(spark, sf_dir)
+    path = scratch(spark, "sketches")
+    tables.materialize(sketches.daily_sketches(t["items"], t["sets"]), path, partition_by=period.PERIOD)
+    found = sketches.distinct_over(spark.read.parquet(path), YEAR, MONTHS)
+    baskets = keys.sold_baskets(t["items"], t["sets"], (YEAR, MONTHS))
+    exact = kpis.table_profile([("baskets", baskets, "STORE_ID"), ("baskets", baskets, "TRANSACTION_SET_ID"),
+                                ("lines", keys.sold_gtins(t["items"], t["sets"], (YEAR, MONTHS)), "GTIN")])
+    bound = F.col("n_distinct") * F.lit(3 * sketches.standard_error()) + 1
+    return exact.join(found, exact["column_name"] == found["key"]).select(
+        "key", F.col("n_distinct").alias("exact"), (F.abs(F.col("estimate") - F.col("n_distinct")) <= bound).alias("within_bound"))
 
 
 def table_profile(spark, sf_dir):
@@ -397,11 +517,11 @@ def table_counts(spark, sf_dir):
 def months_subtitle(spark, sf_dir):
     """the months in the data, as the table's subtitle."""
     months = F.array_sort(F.collect_set("CALENDAR_MONTH"))   # twelve at most
-    return _t(spark, sf_dir)["daily"].agg(F.concat(F.lit("Months: "), F.concat_ws(", ", months.cast("array<string>"))).alias("subtitle"))
+    return keys.periods(_t(spark, sf_dir)).agg(F.concat(F.lit("Months: "), F.concat_ws(", ", months.cast("array<string>"))).alias("subtitle"))
 
 
 def parameter_values(spark, sf_dir):
-    return present.year_options(_t(spark, sf_dir)["daily"])
+    return present.year_options(keys.periods(_t(spark, sf_dir)))
 
 
 def daily_rollup(spark, sf_dir):
@@ -410,6 +530,80 @@ def daily_rollup(spark, sf_dir):
                     F.col("QUANTITY").cast("double").alias("quantity"), "TRANSACTION_COUNT")
 
 
+# --- sources and pages ----------------------------------------------------------
+
+def load_items_parts(spark, sf_dir):
+    """The item table written in several parts and read as one scan under its contract."""
+    path = scratch(spark, "items")
+    _t(spark, sf_dir)["items"].repartition(5).write.parquet(path)
+    return tables.load_items(spark, path, schemas.ITEMS).agg(
+        F.count(F.lit(1)).alias("n_items"), zero_sum("UNIT_QUANTITY").cast("double").alias("units"), zero_sum("GRAND_TOTAL_AMOUNT").cast("double").alias("amount"))
+
+
+def materialized_daily(spark, sf_dir):
+    """The daily table written by year and month, read back, one period of it."""
+    path = scratch(spark, "daily")
+    tables.materialize(_t(spark, sf_dir)["daily"], path, partition_by=period.PERIOD)
+    d = period.filter_daily(tables.read_or_none(spark, path), YEAR, MONTHS)
+    return d.groupBy("CALENDAR_MONTH").agg(F.count(F.lit(1)).alias("n_rows"), zero_sum("TOTAL_REVENUE_AMOUNT").cast("double").alias("revenue"),
+                                           F.sum("TRANSACTION_COUNT").alias("transactions"))
+
+
+def _folder(spark, sf_dir) -> fixtures.RetailTables:
+    """The named tables written under their files' names and loaded from that folder under their contracts."""
+    t, root = _t(spark, sf_dir), scratch(spark, "folder")
+    for name, file, contract in schemas.DATASETS:
+        if contract is not None:
+            tables.materialize(t[name], f"{root}/{file}")
+    return fixtures.RetailTables(tables.load_folder(spark, root))
+
+
+def load_folder(spark, sf_dir):
+    """Rows and distinct keys of the loaded folder's tables."""
+    t = _folder(spark, sf_dir)
+    return kpis.table_profile([("stores", t["stores"], "STORE_ID"), ("gtin", t["gtin"], "GTIN"), ("sets", t["sets"], "TRANSACTION_SET_ID"),
+                               ("items", t["items"], "GTIN"), ("daily", t["daily"], "CATEGORY")])
+
+
+def page_home(spark, sf_dir):
+    """C1 over a period."""
+    return pages.home_page(_t(spark, sf_dir), YEAR, MONTHS)["kpis"]
+
+
+def page_top_products(spark, sf_dir):
+    """The table of the page, from tables loaded out of a folder."""
+    p = pages.top_products_page(_folder(spark, sf_dir), YEAR, MONTHS, persist=False)["table"]
+    return p.select("Product", "Brand", "Category", "Revenue", "Units", "Avg Price", "Transactions")
+
+
+def page_brands(spark, sf_dir):
+    """The KPIs of the page over a period."""
+    return pages.brands_page(_t(spark, sf_dir), YEAR, MONTHS, threshold=THRESHOLD, persist=False)["kpis"].select("brands", "below", _d("total"), _r4("avg_rev"))
+
+
+def page_payments(spark, sf_dir):
+    """C4: the summary of the page over a period, on facts laid out by period."""
+    s = pages.payments_page(_landed(spark, sf_dir), YEAR, MONTHS, payments.PAYMENT_TYPES, persist=False)["summary"]
+    return s.select("PAYMENT_TYPE", "num_transactions", _d("total_spend"), _r4("avg_ticket"), _d("total_items"), _r4("avg_items_per_txn"))
+
+
+def page_payments_table(spark, sf_dir):
+    """C4: the table of the page, all periods."""
+    return pages.payments_page(_t(spark, sf_dir), None, None, payments.PAYMENT_TYPES, persist=False)["table"]
+
+
+def page_demographics(spark, sf_dir):
+    """The state table of the page, from landed and parsed responses."""
+    t = _t(spark, sf_dir)
+    parsed = pages.land_census(fixtures.census_tables(spark, sf_dir, t["stores"]), scratch(spark, "census"))
+    return pages.demographics_page(t, parsed, persist=False)["state_table"]
+
+
+def page_validation(spark, sf_dir):
+    """The profile of the page."""
+    return pages.validation_page(_t(spark, sf_dir))["profile"]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         filter_year_month, set_kpis, items_in_period, category_list, category_list_head,
@@ -422,6 +616,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         store_enriched, store_performance, state_summary, state_table, state_summary_clean, demographic_points, box_stats,
         parse_geocode, parse_tract_acs, parse_county_acs, parse_county_acs_reordered, pending_keys, pending_stores, fresh_responses,
         year_bounds, store_activity, home_kpis, table_profile, table_counts, daily_key_profile, gtin_key_profile, parameter_values, months_subtitle, daily_rollup,
+        items_in_period_landed, filter_year_month_landed, payment_summary_period_landed, category_list_period_landed, refreshed_daily,
+        top_products_cube, weekly_top_products_cube, top_products_kpis_cube, payment_cube, quarantine_counts, pending_stores_reasons, distinct_sketch,
+        load_items_parts, materialized_daily, load_folder,
+        page_home, page_top_products, page_brands, page_payments, page_payments_table, page_demographics, page_validation,
     )
 }
 

@@ -8,6 +8,8 @@ as ``spark.checkpoint.dir``. ``local_session`` is for tests and the bench.
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +69,17 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return fallback
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh folder under the shared checkpoint folder; a local one only where none is set and the session is local."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        root = ensure_checkpoint_dir(spark)
+    elif spark.sparkContext.master.startswith("local["):
+        root = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="tillroll-"))
+    else:
+        raise RuntimeError("spark.checkpoint.dir is not set; name a folder that all executors share")
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
 def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Suggested submit-time settings for an input of ``input_bytes``.
 

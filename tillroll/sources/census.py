@@ -7,12 +7,14 @@ functions parse them with ``from_json`` across the cluster and compute the
 work list of keys still to fetch. No HTTP happens inside Spark tasks.
 
 S9 ``parse_geocode``, S10 ``parse_tract_acs``, S11 ``parse_county_acs``,
-S13 ``pending_keys``.
+S13 ``pending_keys``. ``quarantine`` sets unusable responses apart, each with
+its reason.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +81,58 @@ def parse_county_acs(raw: DataFrame, payload_col: str = "payload", variables: Se
     return rows.select(*[F.get("_r", F.array_position("_h", n).cast("int") - 1).alias(n) for n in names], *kept)
 
 
+# Reasons why a response is unusable, in the order in which they are tested.
+EMPTY, MALFORMED, NO_TRACT, MISSING_FIELD = "empty", "malformed", "no_tract", "missing_field"
+NO_HEADER, HEADER_ONLY, SHORT_ROW, NEVER_FETCHED = "no_header", "header_only", "short_row", "never_fetched"
+
+
+def reason(kind: str, payload_col: str = "payload", variables: Sequence[str] = ACS_VARS) -> Column:
+    """Why a landed response can't be used in full; NULL for a good one. ``kind``: geocode, tract or county.
+
+    ``empty``: no text; ``malformed``: not JSON, or JSON of another shape; geocode: ``no_tract`` (no tract listed),
+    ``missing_field`` (the first one lacks a code); tract: ``header_only``, ``short_row`` (fewer entries than the header);
+    county: ``no_header`` (a column is not named), ``header_only``, ``short_row`` (in any of the rows).
+    """
+    text = F.col(payload_col)
+    broken = F.when(text.isNull() | (F.trim(text) == ""), EMPTY).when(F.try_parse_json(text).isNull(), MALFORMED)
+    if kind == "geocode":
+        tracts = F.from_json(text, GEOCODE_JSON)["result"]["geographies"]["Census Tracts"]
+        first = F.get(tracts, 0)
+        fields = [first[c].isNull() for c in ("STATE", "COUNTY", "TRACT")]
+        return broken.when(tracts.isNull(), MALFORMED).when(F.size(tracts) == 0, NO_TRACT).when(fields[0] | fields[1] | fields[2], MISSING_FIELD)
+    if kind not in ("tract", "county"):
+        raise ValueError(f"kind must be geocode, tract or county, not {kind!r}")
+    table = F.from_json(text, TABLE_JSON)
+    header = F.get(table, 0)
+    short = F.exists(table, lambda row: row.isNull() | (F.size(row) < F.size(header)))
+    broken = broken.when(table.isNull() | header.isNull(), MALFORMED)
+    if kind == "county":
+        named = F.size(F.array_except(F.array(*[F.lit(n) for n in (*variables, "NAME", "state", "county")]), header)) == 0
+        broken = broken.when(~named, NO_HEADER)
+    return broken.when(F.size(table) < 2, HEADER_ONLY).when(short, SHORT_ROW)
+
+
+def quarantine(raw: DataFrame, kind: str, keys: Sequence[str] = (), payload_col: str = "payload") -> DataFrame:
+    """The unusable responses: their keys, ``reason`` and text (and ``fetched_at`` where there is one)."""
+    why = reason(kind, payload_col)
+    return raw.select(*keys, why.alias("reason"), payload_col, *_kept(raw, ["fetched_at"])).where("reason IS NOT NULL")
+
+
+def reason_counts(raws: Mapping[str, DataFrame], payload_col: str = "payload") -> DataFrame:
+    """(source, reason, n) over the landed responses by kind."""
+    parts = [quarantine(df, kind, (), payload_col).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("source"), "reason", "n")
+             for kind, df in raws.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def work_list(pending: DataFrame, bad: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """S13 with reasons: each pending key, and why its latest response failed (``never_fetched``: it has none)."""
+    keys = list(keys)
+    bad = bad if "fetched_at" not in bad.columns else latest(bad, keys)
+    last = bad.groupBy(*keys).agg(F.max("reason").alias("reason"))
+    return pending.join(last, keys, "left").withColumn("reason", F.coalesce("reason", F.lit(NEVER_FETCHED)))
+
+
 def latest(df: DataFrame, keys: Sequence[str], ts_col: str = "fetched_at", ok: Column | None = None) -> DataFrame:
     """The most recent landed row per key (a key fetched again replaces its
     older response); with ``ok``, the most recent one that is, so a failed

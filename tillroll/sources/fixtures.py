@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators.period import filter_daily, filter_sets
+from tillroll.operators.period import filter_daily, filter_sets, lines_in
 from tillroll.operators.rollup import daily_rollup
 from tillroll.sources.tables import load_table
 from tillroll.sources.schemas import ACS_VARS
@@ -96,7 +96,7 @@ class RetailTables(dict):
         join, so it reaches their scan; a table that was given is filtered (and pruned by its folders)."""
         if "daily" in self and not getattr(self, "derived", False):
             return filter_daily(self["daily"], year, months)
-        return daily_rollup(self["items"], filter_sets(self["sets"], year, months), self["gtin"])
+        return daily_rollup(lines_in(self["items"], year, months), filter_sets(self["sets"], year, months), self["gtin"])
 
 
 def retail_tables(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> RetailTables:
