@@ -123,15 +123,14 @@ def state_table(summary: DataFrame) -> DataFrame:
 def quantiles(df: DataFrame, group: str, value: Column, probabilities: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Exact quantiles (linear interpolation) per group: (group, q0, q1, ..., min, max).
 
-    Equal values of a group are counted first (map-side), a running sum over the sorted counts gives each value's
-    last rank, and the values that hold the ranks asked for are picked. No task holds a group's values. Nulls
-    don't count; a group of nulls only has null quantiles.
+    Equal values of a group are counted first (map-side); running sums over the sorted counts, from below and from
+    above, give each value's last rank and the group's total, and the values that hold the ranks asked for are
+    picked. No task holds a group's values. Nulls don't count; a group of nulls only has null quantiles.
     """
     counts = df.select(group, value.alias("_v")).groupBy(group, "_v").agg(F.count("_v").alias("_n"))
-    upto = Window.partitionBy(group).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("_last", F.sum("_n").over(upto))
-    totals = counts.groupBy(group).agg(F.sum("_n").alias("_total"), F.min("_v").alias("min"), F.max("_v").alias("max")).withColumnRenamed(group, "_g")
-    ranked = ranked.join(totals, F.col(group).eqNullSafe(F.col("_g")))
+    up = Window.partitionBy(group).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(group).orderBy(F.col("_v").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_last", F.sum("_n").over(up)).withColumn("_total", F.sum("_n").over(down) + F.col("_last") - F.col("_n"))
     holds = lambda rank: F.min(F.when((F.col("_n") > 0) & (F.col("_last") > rank), F.col("_v")))
     picked, out = [], []
     for i, p in enumerate(probabilities):
@@ -139,7 +138,7 @@ def quantiles(df: DataFrame, group: str, value: Column, probabilities: Sequence[
         picked += [holds(F.floor(at)).alias(f"_lo{i}"), holds(F.ceil(at)).alias(f"_hi{i}"), F.max(at - F.floor(at)).alias(f"_f{i}")]
         lo, hi, f = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
         out.append(F.when(lo == hi, lo).otherwise((1 - f) * lo + f * hi).alias(f"q{i}"))
-    return ranked.groupBy(group).agg(*picked, F.max("min").alias("min"), F.max("max").alias("max")).select(group, *out, "min", "max")
+    return ranked.groupBy(group).agg(*picked, F.min("_v").alias("min"), F.max("_v").alias("max")).select(group, *out, "min", "max")
 
 
 def box_stats(df: DataFrame, group: str, value: str, exact: bool = True, accuracy: int = 10000) -> DataFrame:
