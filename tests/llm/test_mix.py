@@ -70,3 +70,19 @@ def test_mixed_repeats_rows_with_all_columns(edge_docs, no_docs):
     assert out.columns == edge_docs.columns
     assert out.count() == sum(r.copies for r in pareto_mix.mix(edge_docs).collect())
     assert pareto_mix.mixed(no_docs).count() == 0
+
+
+def test_mixed_tells_clashing_documents_apart(spark):
+    """Null, empty and '|' in sources and texts: exactly the copies of the mix, whatever the draws."""
+    texts = ["a b c", "a b|c d", None, "", "w " * 9]
+    rows = [(i, t, s) for i in range(30) for s in (None, "", "x|a b", "x") for t in texts] + [(1, "a b c", "x")] * 2 + [(None, "p q", None), (None, "p q", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {}
+    for r in pareto_mix._decided(df, 1.5, 2.0, "mix-1").collect():
+        want[(r.doc_id, r.source, r.text_key)] = want.get((r.doc_id, r.source, r.text_key), 0) + r.copies
+    import hashlib
+    got = {}
+    for r in pareto_mix.mixed(df).collect():
+        k = (r.doc_id, r.source, None if r.text is None else hashlib.md5(r.text.encode()).hexdigest())
+        got[k] = got.get(k, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}

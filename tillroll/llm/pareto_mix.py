@@ -70,12 +70,22 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix-
 
     ``weight``: an optional column of positive relative odds of the documents' last copy.
     """
+    return _decided(docs, share, cap, seed, weight).drop("text_key")
+
+
+def _text_key(text: Column) -> Column:
+    """Tells texts apart, null from empty too."""
+    return F.when(text.isNotNull(), F.md5(text))
+
+
+def _decided(docs: DataFrame, share: float, cap: float, seed: str, weight: str | None = None) -> DataFrame:
+    """The mix's rows with ``text_key``: (doc_id, source, text_key) names a document."""
     names = {"doc_id": "doc_id", "text": "text", "source": "source"} | ({"odds": weight} if weight else {})
     d = fresh(docs, **names)
     text = F.coalesce("text", F.lit(""))
     draw = draw_of(F.col("doc_id"), F.col("source"), F.col("text"), seed)
     d = d.select(
-        "doc_id", draw.alias("draw"), "source", F.coalesce(F.col("odds"), F.lit(1.0)).cast("double").alias("odds") if weight else F.lit(1.0).alias("odds"),
+        "doc_id", draw.alias("draw"), "source", _text_key(F.col("text")).alias("text_key"), F.coalesce(F.col("odds"), F.lit(1.0)).cast("double").alias("odds") if weight else F.lit(1.0).alias("odds"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         ((F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)).alias("u"))
     d = land(d, "mix-sizes")   # narrow: the texts are read once
@@ -107,15 +117,16 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix-
     nearer = F.col("reached") - F.col("rest") <= F.col("rest") - (F.col("reached") - F.col("step"))
     started = F.col("reached") - F.col("step") < F.col("rest")
     inner = inner.withColumn("more", (started & ((F.col("reached") <= F.col("rest")) | nearer)).cast("int"))
-    columns = ["doc_id", "size", "source_size", "target", "whole", "more", "p", "source", "draw"]
+    columns = ["doc_id", "size", "source_size", "target", "whole", "more", "p", "source", "draw", "text_key"]
     both = outer.select(*columns).unionByName(inner.select(*columns))
     copies = F.col("whole") + F.when((F.col("p") > 0) & (F.col("size") > 0), F.col("more")).otherwise(0)
-    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"), "source", "draw")
+    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"), "source", "draw", "text_key")
 
 
 def mixed(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix-1") -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns."""
-    copies = mix(docs, share, cap, seed).where("copies > 0").select(F.col("draw").alias("_mix_draw"), F.col("copies").alias("_mix_copies")).distinct()
-    draw = draw_of(docs["doc_id"], docs["source"], docs["text"], seed)
-    taken = docs.join(copies, draw == F.col("_mix_draw"))
+    copies = _decided(docs, share, cap, seed).where("copies > 0").select(
+        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("text_key").alias("_mix_text"), F.col("copies").alias("_mix_copies")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_mix_id")) & docs["source"].eqNullSafe(F.col("_mix_source")) & _text_key(docs["text"]).eqNullSafe(F.col("_mix_text"))
+    taken = docs.join(copies, same)
     return taken.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
