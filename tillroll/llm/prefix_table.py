@@ -32,12 +32,16 @@ from tillroll.llm.common import fresh, slices
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 
-#: What a worker remembers: bytes of pieces of text with their ids, and adjacent pairs of tokens.
-MEMO_BYTES = 96 << 20
+#: What a worker remembers: bytes of pieces of text with their ids in each of two generations, and adjacent pairs of tokens.
+MEMO_BYTES = 80 << 20
 LONG = 64
 PAIR_LIMIT = 400_000
 
 
+#: What a piece gives: its ids as decimals joined by commas, and the bytes they decode to.
+Known = tuple[bytes, bytes]
+
+
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of the fields of a protocol buffer message."""
     def varint(at: int) -> tuple[int, int]:
@@ -60,6 +64,10 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+def _numbers(decimal: bytes) -> list[int]:
+    return list(map(int, decimal.split(b","))) if decimal else []
+
+
 class Model:
     """The pieces of a ``.model`` file of BPE type and how it prepares a text.
 
@@ -130,7 +138,9 @@ class Encoder:
         self.cuts_spaces = not any(re.search(f"[^{SPACE}]{SPACE}", t) for t in merged)
         self.cuts_lines = self.cuts_spaces and "\n" not in inside
         self.segments = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if self.cuts_spaces else r"(?s:.+)")
-        self.memo: dict[str, tuple[int, str, bytes, tuple[int, ...]]] = {}
+        self.memo: dict[str, Known] = {}    # by piece
+        self.words: dict[str, Known] = {}   # by word of a plain text, its white space taken off
+        self.old: tuple[dict[str, Known], dict[str, Known]] = ({}, {})   # the generation before; what is met again moves on
         self.held = 0
 
     def _last_merge(self, piece: str, number: int) -> tuple[int, int] | None:
@@ -200,43 +210,52 @@ class Encoder:
             at -= size
         return tuple(chain.from_iterable(reversed(out)))
 
-    def _known(self, piece: str) -> tuple[int, str, bytes, tuple[int, ...]]:
-        """(number of ids, decimal ids, decoded bytes, ids) of a piece, remembered if it is short."""
-        ids = self.piece(piece)
-        found = (len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)), ids)
-        if len(piece) <= LONG:
-            if self.held > MEMO_BYTES:
-                self.memo, self.held = {}, 0
-            self.memo[piece] = found
-            self.held += 400 + 20 * len(piece) + 16 * len(ids)
+    def _remember(self, memo: dict[str, Known], key: str, ids: tuple[int, ...]) -> Known:
+        return self._keep(memo, key, (",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids))))
+
+    def _keep(self, memo: dict[str, Known], key: str, found: Known) -> Known:
+        if len(key) <= LONG:
+            memo[key] = found
+            self.held += 300 + 4 * len(key) + len(found[0]) + len(found[1])
         return found
 
-    def cut(self, text: str) -> Iterable[str]:
-        """The pieces of a text, white space escaped and with the prefix, between which nothing merges."""
-        text = (SPACE if self.dummy else "") + text.replace(" ", SPACE)
-        if not self.cuts_lines:
-            return self.segments.findall(text)
-        out = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
-            if line[:1] == SPACE and SPACE * 2 not in line:
-                out += [SPACE + word for word in line[1:].split(SPACE)]
-            else:
-                out += self.segments.findall(line)
-        return out
+    def _turn(self) -> None:
+        """Begins a new generation where the present one is full."""
+        if self.held > MEMO_BYTES:
+            self.old, self.memo, self.words, self.held = (self.memo, self.words), {}, {}, 0
+
+    def _of_piece(self, piece: str) -> Known:
+        found = self.old[0].get(piece)
+        return self._keep(self.memo, piece, found) if found else self._remember(self.memo, piece, self.piece(piece))
+
+    def _of_word(self, word: str) -> Known:
+        found = self.old[1].get(word)
+        if found:
+            return self._keep(self.words, word, found)
+        if word[:1] != "\n":
+            return self._remember(self.words, word, self.piece(SPACE + word))
+        return self._remember(self.words, word, self.piece("\n") + (self.piece(word[1:]) if word[1:] else ()))
 
-    def known(self, text: str) -> list[tuple[int, str, bytes, tuple[int, ...]]]:
+    def known(self, text: str) -> list[Known]:
+        """The pieces of a text, between which nothing merges.
+
+        In a plain text (single spaces, none at the start) every space or line feed begins a word.
+        """
         if not text:
             return []
-        memo, out = self.memo, []
-        for piece in self.cut(text):
-            found = memo.get(piece)
-            out.append(self._known(piece) if found is None else found)
-        return out
+        self._turn()
+        if self.cuts_lines and self.dummy and "  " not in text and text[0] != " " and SPACE not in text:
+            words, keys = self.words, text.replace("\n", " \n").split(" ")
+            try:
+                return list(map(words.__getitem__, keys))
+            except KeyError:
+                return [words.get(k) or self._of_word(k) for k in keys]
+        text = (SPACE if self.dummy else "") + text.replace(" ", SPACE)
+        memo = self.memo
+        return [memo.get(p) or self._of_piece(p) for p in self.segments.findall(text)]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(x[3] for x in self.known(text)))
+        return _numbers(b",".join(x[0] for x in self.known(text)))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids as the library decodes them: bytes that are no UTF-8 become U+FFFD, the prefix goes."""
@@ -261,13 +280,13 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             for part in slices(batch, "text"):
                 n, ids_hash, text_hash, all_ids = [], [], [], []
                 for text in part.column("text").to_pylist():
-                    known = e.known(text or "")
-                    n.append(sum(x[0] for x in known))
-                    ids_hash.append(hashlib.sha256(",".join([x[1] for x in known]).encode()).hexdigest())
-                    decoded = b"".join([x[2] for x in known])
+                    decimal, decoded = zip(*e.known(text)) if text else ((), ())
+                    decimal, decoded = b",".join(decimal), b"".join(decoded)
+                    n.append(decimal.count(b",") + bool(decimal))
+                    ids_hash.append(hashlib.sha256(decimal).hexdigest())
                     text_hash.append(hashlib.sha256(decoded[1:] if e.dummy else decoded).hexdigest())
                     if with_ids:
-                        all_ids.append(list(chain.from_iterable(x[3] for x in known)))
+                        all_ids.append(_numbers(decimal))
                 columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []), names)
 
