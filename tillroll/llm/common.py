@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -42,8 +43,16 @@ def land(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def session_conf(spark: SparkSession, key: str, default: str) -> str:
-    return spark.conf.get(key, default)
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """For rows that hold texts: while an action runs inside, Python workers get at most so many rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -138,10 +147,6 @@ def fresh(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
-def cpu_count() -> int:
-    return os.cpu_count() or 1
-
-
 def squeeze(a: np.ndarray) -> bytes:
     """Bytes of an integer array, plane by plane (first all lowest bytes, ...), compressed."""
     import zstandard
