@@ -59,6 +59,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def shards_for(df: DataFrame, bytes_each: int) -> int:
+    """How many groups keep each bounded: by the size of the files that ``df`` reads, one a shuffle partition at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    known = size if size < 1 << 55 else 0   # without figures Spark assumes the largest
+    return max(partitions(df.sparkSession), -(-known // bytes_each), 1)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on unsigned 64-bit integers (wraps)."""
     x = np.asarray(x, dtype=U64)
@@ -106,9 +114,10 @@ def shingle_hashes(bounds: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.n
     total = len(hashes)
     rolled = np.zeros(total, dtype=U64)
     with np.errstate(over="ignore"):
-        for j in range(k):
-            if j < total:
-                rolled[: total - j] = rolled[: total - j] * _ODD + mix64(hashes[j:] + U64(1))
+        mixed = mix64(hashes + U64(1))
+        for j in range(min(k, total)):
+            rolled[: total - j] *= _ODD
+            rolled[: total - j] += mixed[j:]
     rolled = mix64(rolled ^ U64(k))
     count = np.where(n >= k, n - k + 1, 0)
     short = np.flatnonzero((n > 0) & (n < k))
