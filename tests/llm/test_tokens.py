@@ -58,6 +58,17 @@ def test_memo_is_bounded_and_starts_a_new_generation():
         assert len(memo.spaced) + len(memo.whole) <= 50 + 21
 
 
+def test_long_pieces_are_not_remembered(library, ranks_library):
+    """Texts without spaces: nothing of them stays, results are the libraries'."""
+    texts = ["".join(random.Random(i).choice("abcdefgh") for _ in range(3000)) for i in range(40)] + ["ab " + "c" * 500 + " ab\n" + "d" * 500 + " \t " + "e" * 500] * 2
+    c, e = heap_bpe.HeapCounter(JSON), automaton_bpe.Encoder(RANKS)
+    for t in texts:
+        assert c.count(t) == len(library.encode(t, add_special_tokens=False).ids)
+        assert e.encode(t) == ranks_library.encode_ordinary(t)
+    for held in (c.memo.spaced, c.memo.whole, c.pre, e.memo.spaced, e.memo.whole, e.words):
+        assert all(len(k) <= pretokens.LONG + 1 for k in held)
+
+
 def test_elias_fano_select_and_all():
     r = np.random.default_rng(1)
     for values in ([], [0], [0, 0, 0], [5, 5, 9, 1 << 40], np.cumsum(r.integers(0, 2000, 20_000)), np.arange(100_000), np.sort(r.integers(0, 1 << 62, 70_000))):

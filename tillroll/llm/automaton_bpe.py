@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tillroll.llm.common import fresh, slices
-from tillroll.llm.pretokens import Memo
+from tillroll.llm.pretokens import LONG, Memo
 
 #: Adjacent pairs, and matches of the pattern, that a worker remembers.
 PAIR_LIMIT = 400_000
@@ -150,7 +150,9 @@ class Encoder:
             if ids is None:
                 if len(words) >= WORD_LIMIT:
                     words.clear()
-                ids = words[m] = tuple(self.word(m))
+                ids = tuple(self.word(m))
+                if len(m) <= LONG:
+                    words[m] = ids
             out.append(ids)
         return out[0] if len(out) == 1 else tuple(chain.from_iterable(out))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tillroll.llm.common import fresh, slices
-from tillroll.llm.pretokens import Memo
+from tillroll.llm.pretokens import LONG, Memo
 
 #: Pre-tokens a worker remembers.
 PRE_LIMIT = 500_000
@@ -101,7 +101,9 @@ class HeapCounter:
             if n is None:
                 if len(pre) >= PRE_LIMIT:
                     pre.clear()
-                n = pre[m] = self.merged(m.encode())
+                n = self.merged(m.encode())
+                if len(m) <= LONG:
+                    pre[m] = n
             total += n
         return total
 

@@ -3,7 +3,8 @@
 No match of the splitting pattern runs past the start of white space that follows something else, so a text
 may be cut before each space or line feed that has no white space before it. Most pieces are words that
 come again and again; a worker remembers what they gave. When ``MEMO_LIMIT`` pieces are held, they become the old
-generation: those met again move to the new one, the rest go with the next change.
+generation: those met again move to the new one, the rest go with the next change. Pieces longer than ``LONG``
+are forgotten after their text, so what is held is bounded in bytes too.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ _CUT = re.compile(r"(?<=[^\s" + OTHER_SPACES + r"])(?=[ \n])")
 #: Pieces in each of the two generations a worker remembers (about 200 bytes each).
 MEMO_LIMIT = 300_000
 
+#: Characters of the longest piece that is remembered.
+LONG = 64
+
 
 def _plain(text: str) -> bool:
     """Whether single spaces and line feeds are the only white space and never meet."""
@@ -34,6 +38,7 @@ class Memo:
         self.spaced: dict = {}   # of " " + key, or of the key if it begins with a line feed
         self.whole: dict = {}    # of the key itself
         self.old: tuple[dict, dict] = ({}, {})
+        self.long: list[tuple[dict, str]] = []   # pieces to forget after the text
 
     def _fill(self, memo: dict, old: dict, keys: list[str], piece) -> None:
         new = []
@@ -44,10 +49,19 @@ class Memo:
                 else:
                     memo[k] = v
         if new:
+            self.long += [(memo, k) for k in new if len(k) > LONG]
             memo.update(zip(new, self.encode_many([piece(k) for k in new]), strict=True))
 
     def of(self, text: str) -> list:
         """What the pieces of the text give, in order."""
+        out = self._of(text)
+        if self.long:
+            for memo, key in self.long:
+                memo.pop(key, None)
+            self.long.clear()
+        return out
+
+    def _of(self, text: str) -> list:
         if not text:
             return []
         if len(self.spaced) + len(self.whole) > self.limit:
