@@ -106,3 +106,30 @@ def test_search_on_odd_vectors(spark):
     assert nn_descent.nearest_rows(frame(spark, [(20, [1.0, 0.0])])).count() == 0
     few = nn_descent.nearest_rows(frame(spark, [(20, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [0.5, 3.0])])).collect()
     assert [(r["rank"], r.vec_id) for r in sorted(few, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]   # all candidates; ties by id
+
+
+def test_search_among_copies_and_split_leaves(spark, monkeypatch):
+    """A third of all rows are one vector, parts and blocks are small: ties go to the smallest ids, recall holds."""
+    monkeypatch.setattr(nn_descent, "PART", 40)
+    monkeypatch.setattr(nn_descent, "BLOCK", 50)
+    r = np.random.default_rng(9)
+    rows = [(i, v.astype(np.float32).astype(float)) for i, v in enumerate(r.normal(size=(600, 12)))]
+    same = rows[7][1]
+    rows += [(1000 + i, same) for i in range(300)] + [(2000 + i, same + r.normal(size=12) * 0.01) for i in range(150)]
+    good = {i: np.asarray(v, np.float32).astype(float) for i, v in rows}
+    want = brute(good, 20, 20)
+    got = {}
+    for row in nn_descent.nearest_rows(frame(spark, rows)).collect():
+        got.setdefault(row.query_id, {})[row["rank"]] = (row.vec_id, row.score)
+    assert set(got) == set(want) and all(sorted(v) == list(range(1, 21)) for v in got.values())
+    assert np.mean([len({v for v, _ in got[q].values()} & set(want[q])) / 20 for q in want]) >= 0.95
+    for found in got.values():
+        order = [(-found[k][1], found[k][0]) for k in range(1, 21)]
+        assert order == sorted(order)
+
+
+def test_parts_are_bounded():
+    home = nn_descent.parts_of({0: 10, 1: 5000, 2: 100, 3: 1900, 9: 2048})
+    assert home[1][1] == 3 and home[2][0] == home[3][0] and home[9] == (home[3][0] + 1, 1)
+    used = [p for first, n in home.values() for p in range(first, first + n)]
+    assert sorted(set(used)) == list(range(max(used) + 1))
