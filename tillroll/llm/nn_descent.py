@@ -35,7 +35,7 @@ SAMPLE, TREES, DEPTH, LEAF = 20_000, 6, 10, 200
 #: Rows of a leaf compared with each other at once; nodes of a part.
 BLOCK, PART = 256, 2048
 #: Neighbours kept forwards and taken backwards, share of changed entries that ends the rounds, nodes kept by a search.
-K, SETTLED, EF = 30, 0.002, 80
+K, SETTLED, EF = 30, 0.004, 200
 
 #: Bits of a node's number that are its place in its part.
 BITS = 24
@@ -409,7 +409,7 @@ class Graph:
             near, score, _ = _lists(_one(rows, LISTS), k)
             lists, scores = np.full((len(at), ef), -1, np.int64), np.full((len(at), ef), -np.inf, np.float32)
             lists[:, :min(k, ef)], scores[:, :min(k, ef)] = near[at, :ef], score[at, :ef]
-            return [beam_row(part // 8, own, x, lists, scores, np.zeros(lists.shape, bool))]   # queries are fewer than nodes
+            return [beam_row(part // 4, own, x, lists, scores, np.zeros(lists.shape, bool))]   # queries are fewer than nodes
 
         def beam_row(part: int, own, x, lists, scores, done) -> tuple:
             return part, BEAM, int(((lists >= 0) & ~done).sum()), np.concatenate([own[:, None], lists], axis=1).tobytes(), x.tobytes(), scores.tobytes() + done.tobytes()
@@ -457,12 +457,14 @@ class Graph:
             return [(r[1], ANSWER, part, r[2], x[_ints(r[2]) - (part << BITS)].tobytes(), None) for r in _all(rows, ASK)]
 
         def step(part: int, rows: list[tuple]) -> list[tuple]:
-            own, x, lists, scores, done = beam_of(_all(rows, BEAM))
+            own, x, lists, scores, _ = beam_of(_all(rows, BEAM))
             found, answers = _one(rows, CANDIDATES), _all(rows, ANSWER)
             query, new = _ints(found[2]), _ints(found[3])
             at = np.searchsorted(_cat([_ints(r[2]) for r in answers], np.int64), new)
             y = np.concatenate([np.frombuffer(r[3], np.float32).reshape(-1, dim) for r in answers]) if answers else np.zeros((0, dim), np.float32)
             s = _cat([(x[query[i:i + 65536]].astype(np.float32) * y[at[i:i + 65536]]).sum(axis=1) for i in range(0, len(new), 65536)], np.float32)   # the same for a pair whatever its company
+            near_enough = s >= scores.min(axis=1)[query]   # -inf while a beam has room
+            query, new, s = query[near_enough], new[near_enough], s[near_enough]
             i, j = np.nonzero(lists >= 0)
             to, near, score = np.concatenate([i, query]), np.concatenate([lists[i, j], new]), np.concatenate([scores[i, j], s])
             known = np.concatenate([np.ones(len(i), bool), np.zeros(len(new), bool)])   # all of the beam are expanded now
@@ -473,7 +475,8 @@ class Graph:
             lists[to, column], scores[to, column], done[to, column] = near[best], score[best], known[best]
             return [beam_row(part, own, x, lists, scores, done)]
 
-        beam = land(_grouped(self.vectors.unionByName(self.lists).unionByName(chosen_rows), begin, self.width), "beam")
+        begun = _grouped(self.vectors.unionByName(self.lists).unionByName(chosen_rows), begin, self.width)
+        beam = land(_grouped(begun, lambda part, rows: [beam_row(part, *beam_of(rows))], self.width), "beam")   # one row a part
         while (beam.agg(F.sum("src")).first()[0] or 0) > 0:
             heard = _grouped(links.unionByName(_mapped(beam, expand)), give_links, self.width)
             some = land(_grouped(beam.unionByName(heard), candidates, self.width), "candidates")
