@@ -133,3 +133,27 @@ def test_parts_are_bounded():
     assert home[1][1] == 3 and home[2][0] == home[3][0] and home[9] == (home[3][0] + 1, 1)
     used = [p for first, n in home.values() for p in range(first, first + n)]
     assert sorted(set(used)) == list(range(max(used) + 1))
+
+
+def test_copies_are_one_class_with_all_their_links(spark):
+    """Half of the rows are one vector; ids are repeated, with the same vector and with another one."""
+    r = np.random.default_rng(12)
+    x = [v.astype(np.float32).astype(float) for v in r.normal(size=(60, 16))]
+    rows = list(enumerate(x)) + [(100 + i, x[5]) for i in range(60)] + [(200, x[5] + 0.001)]
+    rows += [(7, x[7]), (8, x[9])]   # a row repeated outright; an id with two vectors
+    out = {}
+    for v in itq_dups.near_duplicates(frame(spark, rows)).collect():
+        out.setdefault(v.vec_id, []).append((v.n_links, v.component_id, v.kept))
+    assert all(out[100 + i] == [(61, 5, False)] for i in range(60)) and out[5] == [(61, 5, True)] and out[200] == [(61, 5, False)]
+    assert out[7] == [(2, 7, True)] * 2   # each of the two rows links with the other; both show the sum
+    assert out[8] == [(1, 8, True)] * 2 and out[9] == [(1, 8, False)]
+    assert all(out[i] == [(0, i, True)] for i in range(60) if i not in (5, 7, 8, 9))
+
+
+def test_planted_pairs_pass_the_hamming_limit():
+    x = np.random.default_rng(2).normal(size=(3000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean, projections, cuts, _, missed = itq_dups.tables_for(x, 0.95, 48, 12)
+    most = itq_dups.limits(x, 0.95, mean, projections)
+    assert missed <= itq_dups.MISS and len(most) == len(projections) == cuts[-1][0] + 1
+    assert most == sorted(most) and most[-1] < 48 * len(projections) / 2   # below what unrelated vectors have
