@@ -86,36 +86,55 @@ EMPTY, MALFORMED, NO_TRACT, MISSING_FIELD = "empty", "malformed", "no_tract", "m
 NO_HEADER, HEADER_ONLY, SHORT_ROW, NEVER_FETCHED = "no_header", "header_only", "short_row", "never_fetched"
 
 
+def _reason(kind: str, text: Column, parsed: Column, is_json: Column, variables: Sequence[str]) -> Column:
+    broken = F.when(text.isNull() | (F.trim(text) == ""), EMPTY).when(~is_json, MALFORMED)
+    if kind == "geocode":
+        tracts = parsed["result"]["geographies"]["Census Tracts"]
+        first = F.get(tracts, 0)
+        fields = [first[c].isNull() for c in ("STATE", "COUNTY", "TRACT")]
+        return broken.when(tracts.isNull(), MALFORMED).when(F.size(tracts) == 0, NO_TRACT).when(fields[0] | fields[1] | fields[2], MISSING_FIELD)
+    header = F.get(parsed, 0)
+    short = F.exists(parsed, lambda row: row.isNull() | (F.size(row) < F.size(header)))
+    broken = broken.when(parsed.isNull() | header.isNull(), MALFORMED)
+    if kind == "county":
+        named = F.size(F.array_except(F.array(*[F.lit(n) for n in (*variables, "NAME", "state", "county")]), header)) == 0
+        broken = broken.when(~named, NO_HEADER)
+    return broken.when(F.size(parsed) < 2, HEADER_ONLY).when(short, SHORT_ROW)
+
+
+def _parsed(kind: str, text: Column) -> tuple[Column, Column]:
+    """The response by its schema, and whether it is JSON at all."""
+    if kind not in ("geocode", "tract", "county"):
+        raise ValueError(f"kind must be geocode, tract or county, not {kind!r}")
+    return F.from_json(text, GEOCODE_JSON if kind == "geocode" else TABLE_JSON), F.try_parse_json(text).isNotNull()
+
+
 def reason(kind: str, payload_col: str = "payload", variables: Sequence[str] = ACS_VARS) -> Column:
     """Why a landed response can't be used in full; NULL for a good one. ``kind``: geocode, tract or county.
 
     ``empty``: no text; ``malformed``: not JSON, or JSON of another shape; geocode: ``no_tract`` (no tract listed),
     ``missing_field`` (the first one lacks a code); tract: ``header_only``, ``short_row`` (fewer entries than the header);
     county: ``no_header`` (a column is not named), ``header_only``, ``short_row`` (in any of the rows).
+
+    As one expression it parses a response once for each use; ``quarantine`` parses it once.
     """
     text = F.col(payload_col)
-    broken = F.when(text.isNull() | (F.trim(text) == ""), EMPTY).when(F.try_parse_json(text).isNull(), MALFORMED)
-    if kind == "geocode":
-        tracts = F.from_json(text, GEOCODE_JSON)["result"]["geographies"]["Census Tracts"]
-        first = F.get(tracts, 0)
-        fields = [first[c].isNull() for c in ("STATE", "COUNTY", "TRACT")]
-        return broken.when(tracts.isNull(), MALFORMED).when(F.size(tracts) == 0, NO_TRACT).when(fields[0] | fields[1] | fields[2], MISSING_FIELD)
-    if kind not in ("tract", "county"):
-        raise ValueError(f"kind must be geocode, tract or county, not {kind!r}")
-    table = F.from_json(text, TABLE_JSON)
-    header = F.get(table, 0)
-    short = F.exists(table, lambda row: row.isNull() | (F.size(row) < F.size(header)))
-    broken = broken.when(table.isNull() | header.isNull(), MALFORMED)
-    if kind == "county":
-        named = F.size(F.array_except(F.array(*[F.lit(n) for n in (*variables, "NAME", "state", "county")]), header)) == 0
-        broken = broken.when(~named, NO_HEADER)
-    return broken.when(F.size(table) < 2, HEADER_ONLY).when(short, SHORT_ROW)
+    return _reason(kind, text, *_parsed(kind, text), variables)
 
 
 def quarantine(raw: DataFrame, kind: str, keys: Sequence[str] = (), payload_col: str = "payload") -> DataFrame:
-    """The unusable responses: their keys, ``reason`` and text (and ``fetched_at`` where there is one)."""
-    why = reason(kind, payload_col)
-    return raw.select(*keys, why.alias("reason"), payload_col, *_kept(raw, ["fetched_at"])).where("reason IS NOT NULL")
+    """The unusable responses: their keys, ``reason`` and text (and ``fetched_at`` where there is one).
+
+    Text, parsed response and reason are columns of their own, so each response is made and parsed once. The reason
+    leaves as a list of one or none: a filter on it would be pushed below the parsing, all of it written out again
+    for each use.
+    """
+    kept = [*dict.fromkeys([*keys, payload_col, *_kept(raw, ["fetched_at"])])]
+    parsed, is_json = _parsed(kind, F.col(payload_col))
+    opened = raw.select(*kept, parsed.alias("_parsed"), is_json.alias("_is_json"))
+    why = _reason(kind, F.col(payload_col), F.col("_parsed"), F.col("_is_json"), ACS_VARS)
+    found = opened.select(*kept, F.explode(F.array_compact(F.array(why))).alias("reason"))
+    return found.select(*keys, "reason", payload_col, *_kept(raw, ["fetched_at"]))
 
 
 def reason_counts(raws: Mapping[str, DataFrame], payload_col: str = "payload") -> DataFrame:
