@@ -59,6 +59,15 @@ def load_table(spark: SparkSession, path: str | list[str], schema: StructType |
     return check_contract(df, schema, name, aliases) if schema is not None else df
 
 
+def parts_for(df: DataFrame, bytes_each: int = 4 << 20, most: int = 4096) -> int:
+    """Shuffle partitions that hold about ``bytes_each`` of the files that ``df`` reads: the session's number at least, and
+    no more than ``most`` on their own account (a session for larger inputs has more, see ``session.cluster_conf``)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    known = size if size < 1 << 55 else 0   # without figures Spark assumes the largest
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-known // bytes_each), most))
+
+
 def load_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """S3: the nine named tables of a data folder, under their contracts, also as temp views.
 
